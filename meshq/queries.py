@@ -322,7 +322,7 @@ def parse_seq(spark, sf_dir):
     return table(spark, sf_dir, "nation").select("n_nationkey", text.parse_seq(F.format_string("seq%04d", "n_nationkey")).alias("seq"))
 
 
-@query("select n_nationkey, n_nationkey + 0.5::double as x, -n_nationkey::double as y, n_regionkey::double as z from nation")
+@query("select n_nationkey, n_nationkey + 0.5::double as x, (-n_nationkey)::double as y, n_regionkey::double as z from nation")
 def parse_position(spark, sf_dir):
     p = text.parse_position(F.concat(F.lit("["), F.col("n_nationkey") + 0.5, F.lit(", "), -F.col("n_nationkey"), F.lit(", "), F.col("n_regionkey"), F.lit("]")))
     return table(spark, sf_dir, "nation").withColumn("p", p).select("n_nationkey", F.col("p")[0].alias("x"), F.col("p")[1].alias("y"), F.col("p")[2].alias("z"))
