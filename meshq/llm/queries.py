@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from meshq.llm import fingerprints, licenses, mixing
+from meshq.llm import fingerprints, licenses, mixing, simhash
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -32,3 +33,9 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(table(spark, sf_dir, "documents")).drop("detections")
+
+
+@query
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = simhash.classes(table(spark, sf_dir, "documents"))
+    return c.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
