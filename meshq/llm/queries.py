@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshq.llm import fingerprints, licenses, mixing, packing, simhash, tokens
+from meshq.llm import fingerprints, licenses, mixing, packing, simhash, tokens, topk, warc
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -49,3 +49,32 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search_table(table(spark, sf_dir, "embeddings"))
+
+
+SQL["op6_topk"] = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as e from embeddings
+  where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2]))::bigint as score
+  from v q join v c on q.vec_id % 20 = 0 and c.vec_id <> q.vec_id),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
+select query_id, rank, vec_id, score from r where rank <= 20"""
+
+
+@query
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+SQL["op7_warc"] = """
+with p as (select page_id, coalesce(html, '') as h from pages),
+k as (select h, max(page_id) as m from p where strlen(h) >= 1000 group by h)
+select page_id, strlen(p.h)::bigint as payload_bytes, sha1(p.h) as payload_digest,
+  case when m <> page_id then 'revisit' else 'response' end as record_type, case when m <> page_id then m end as refers_to
+from p left join k on p.h = k.h"""
