@@ -15,8 +15,10 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,45 +26,69 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshq.llm.common import materialize
-from meshq.llm.tokens import ascii_pieces, vocabulary_path
+from meshq.llm.tokens import vocabulary_path
 
-KEPT = 300_000
+#: Distinct pieces kept per Python worker; beyond, they are tokenized anew.
+KEPT = 1_000_000
 END = 1
 
 
+def core(piece: str) -> tuple[str, str]:
+    """The piece without a full stop or comma after a letter, which is a token of its own, in lower case if that changes
+    nothing else; and that mark."""
+    mark = piece[-1] if len(piece) > 1 and piece[-1] in ".," and piece[-2].isalpha() else ""
+    rest = piece[:-1] if mark else piece
+    return (rest.lower() if rest.isascii() and "<|" not in rest else rest), mark
+
+
 class Encoder:
     """Token ids as little-endian bytes, by the tokenizers library. White space of ASCII never joins two tokens, so that the ids of the
     pieces between follow one another; those that come again are kept."""
 
-    def __init__(self, path: str | None = None) -> None:
+    def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path or vocabulary_path())
-        self.known: dict[str, bytes] = {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.known: dict[bytes, bytes] = {}
+        self.cores: dict[str, bytes] = {}
+        self.marks = {m: array("I", self.tokenizer.encode(m, add_special_tokens=False).ids).tobytes() for m in ("", ".", ",")}
 
-    def encode(self, text: str) -> bytes:
-        words = ascii_pieces(text)
-        new = list({w for w in words if w not in self.known})
+    def encode(self, text: bytes) -> bytes:
+        words = text.split()
+        new = {w for w in words if w not in self.known}
         if new:
             if len(self.known) + len(new) > KEPT:
-                self.known = {}
-                new = list(set(words))
-            for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
+                self.known.clear()
+                new = set(words)
+            parts = {w: core(w.decode("utf-8", "replace")) for w in new}
+            cores = list({c for c, _ in parts.values() if c not in self.cores})
+            if len(self.cores) + len(cores) > KEPT:
+                self.cores.clear()
+                cores = list({c for c, _ in parts.values()})
+            for c, e in zip(cores, self.tokenizer.encode_batch_fast(cores, add_special_tokens=False), strict=True):
+                self.cores[c] = array("I", e.ids).tobytes()
+            for w, (c, mark) in parts.items():
+                self.known[w] = self.cores[c] + self.marks[mark]
         return b"".join(map(self.known.__getitem__, words))
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One per Python worker, which Spark uses for task after task."""
+    return Encoder(path)
+
+
 def pieces(documents: DataFrame, capacity: int, path: str | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encode = encoder(path or vocabulary_path()).encode
         step, end = 4 * capacity, np.array([END], "<u4").tobytes()
         for b in batches:
             rows, cols = [], ([], [], [], [])
-            for i, x in enumerate(b.column(1)):
-                ids = encoder.encode(x.as_py() or "") + end
+            for i, x in enumerate(b.column(1).cast(pa.binary())):
+                ids = encode(x.as_py() or b"") + end
                 for k, at in enumerate(range(0, len(ids), step)):
                     part = ids[at : at + step]
                     rows.append(i)
