@@ -16,6 +16,7 @@ from __future__ import annotations
 import json
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 
 #: Distinct pieces kept per Python worker; beyond, they are counted anew.
-KEPT = 400_000
+KEPT = 1_000_000
 SPACES = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 NONE = np.iinfo(np.int64).max
 
@@ -129,21 +130,10 @@ def token_counts(documents: DataFrame, path: str | None = None, limit: int = 204
     """id, n_bytes, n_tokens, over_limit. path: the vocabulary's file on every machine."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = Bpe(path or vocabulary_path())
-        known: dict[str, int] = {}
+        count = counter(path or vocabulary_path())
         for b in batches:
-            size, total = [], []
-            for x in b.column(1):
-                t = x.as_py() or ""
-                size.append(len(t.encode("utf-8", "surrogatepass")))
-                words = ascii_pieces(t)
-                new = list({w for w in words if w not in known})
-                if new:
-                    if len(known) + len(new) > KEPT:
-                        known = {}
-                        new = list(set(words))
-                    known.update(zip(new, bpe.counts(new), strict=True))
-                total.append(sum(map(known.__getitem__, words)))
+            texts = [x.as_py() or b"" for x in b.column(1).cast(pa.binary())]
+            size, total = [len(t) for t in texts], [count(t) for t in texts]
             n = np.array(total, np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(size, np.int64)), pa.array(n), pa.array(n > limit)], names=[id_col, "n_bytes", "n_tokens", "over_limit"])
 
@@ -151,9 +141,24 @@ def token_counts(documents: DataFrame, path: str | None = None, limit: int = 204
     return documents.select(id_col, text).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean")
 
 
-_ascii_space = str.maketrans(dict.fromkeys("\t\n\x0b\f\r", " "))
+class Counter:
+    """Tokens of UTF-8 texts; the counts of pieces between white space of ASCII are kept."""
 
-
-def ascii_pieces(text: str) -> list[str]:
-    """What stands between white space of ASCII."""
-    return [w for w in text.translate(_ascii_space).split(" ") if w]
+    def __init__(self, path: str) -> None:
+        self.bpe, self.known = Bpe(path), {}
+
+    def __call__(self, text: bytes) -> int:
+        words = text.split()
+        new = {w for w in words if w not in self.known}
+        if new:
+            if len(self.known) + len(new) > KEPT:
+                self.known.clear()
+                new = set(words)
+            self.known.update(zip(new, self.bpe.counts([w.decode("utf-8", "replace") for w in new]), strict=True))
+        return sum(map(self.known.__getitem__, words))
+
+
+@lru_cache(maxsize=1)
+def counter(path: str) -> Counter:
+    """One per Python worker, which Spark uses for task after task."""
+    return Counter(path)
