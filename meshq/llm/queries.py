@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshq.llm import fingerprints, licenses, mixing, packing, simhash, tokens, topk, warc
+from meshq.llm import fingerprints, licenses, mixing, packing, simhash, tokens, topk, toxicity, warc
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -78,3 +78,8 @@ k as (select h, max(page_id) as m from p where strlen(h) >= 1000 group by h)
 select page_id, strlen(p.h)::bigint as payload_bytes, sha1(p.h) as payload_digest,
   case when m <> page_id then 'revisit' else 'response' end as record_type, case when m <> page_id then m end as refers_to
 from p left join k on p.h = k.h"""
+
+
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
