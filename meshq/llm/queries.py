@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshq.llm import fingerprints, licenses, mixing, packing, simhash, tokens, topk, toxicity, warc
+from meshq.llm import fingerprints, licenses, mixing, packing, secrets, simhash, tokens, topk, toxicity, warc
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -83,3 +83,10 @@ from p left join k on p.h = k.h"""
 @query
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each candidate; the value itself is given by its hash only."""
+    f = secrets.scan(table(spark, sf_dir, "documents"), ["doc_id"])
+    return f.select("doc_id", "kind", "start", "length", F.sha2("value", 256).alias("value_sha256"), "score", "predicted")
