@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from meshq.llm.common import materialize, new_path
 
 LEAST_REVISIT = 1000
+#: Repeated payloads up to this number (about 100 bytes each) are broadcast, so that payloads aren't shuffled; beyond, joined by hash.
+MOST_BROADCAST = 100_000
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 ID = "urn:meshq:page:"
 
@@ -73,7 +75,8 @@ def plan_records(pages: DataFrame) -> DataFrame:
     p = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload"))
     p = p.withColumns({"n": F.octet_length("payload").cast("long"), "digest": F.sha1(F.encode("payload", "UTF-8"))})
     again = p.filter(F.col("n") >= LEAST_REVISIT).groupBy("digest").agg(F.max("page_id").alias("largest"), F.count("*").alias("_c")).filter("_c > 1").drop("_c")
-    p = p.join(again, "digest", "left")
+    again = materialize(again, "repeated")
+    p = p.join(F.broadcast(again) if again.count() <= MOST_BROADCAST else again, "digest", "left")
     return p.withColumn("keeper", F.when(F.col("largest").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("largest")), F.col("largest"))).drop("largest")
 
 
