@@ -1 +1,45 @@
-STAGES = []
+"""A corpus prepared for training: toxic documents go, one of each group of near copies stays, secrets are blanked, sources are
+mixed to their targets, and the mix is packed.
+
+Every stage takes (spark, docs, sf_dir) and gets all rows that the stage before it kept; all but the last return the columns of
+documents. The toxicity stage learns from the table labels of the folder. SQL can't express the stages.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from meshq.llm import mixing, packing, secrets, simhash, toxicity
+from meshq.llm.common import materialize
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.without_copies(docs)
+
+
+def blank_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secrets.redact(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed_documents(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, 4096)
+
+
+STAGES = [("toxicity", drop_toxic), ("near duplicates", drop_copies), ("secrets", blank_secrets), ("mixing", mix_sources), ("packing", pack)]
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on documents; each one's result is written and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -80,7 +80,9 @@ def mixed_documents(documents: DataFrame, seed: int = 7) -> DataFrame:
     s = share.select(F.col("doc_id").alias("_id"), "text_hash", F.col("size").alias("_s"), "_n", "taken").filter("taken > 0")
     j = d.join(s, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("text_hash")) & (F.col("_n") == F.col("_n2")))
     whole, rest = F.floor(F.col("taken") / F.col("_s")).cast("int"), (F.col("taken") % F.col("_s")).cast("int")
-    cut = F.regexp_extract("text", F.concat(F.lit(r"^[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++){"), (rest - 1).cast("string"), F.lit(r"}[^\x20\x09-\x0D]+")), 0)
+    starts = F.split("text", r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])", -1)
+    blank = F.col("text").rlike(r"^[\x20\x09-\x0D]").cast("int")
+    cut = F.rtrim(F.array_join(F.slice(starts, F.lit(1), rest + blank), ""), F.lit(" \t\n\x0b\f\r"))
     texts = F.concat(F.array_repeat(F.col("text"), whole), F.when(rest > 0, F.array(cut)).otherwise(F.array().cast("array<string>")))
     out = j.withColumn("text", F.explode(texts))
     if "n_chars" in cols:

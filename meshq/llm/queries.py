@@ -90,3 +90,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each candidate; the value itself is given by its hash only."""
     f = secrets.scan(table(spark, sf_dir, "documents"), ["doc_id"])
     return f.select("doc_id", "kind", "start", "length", F.sha2("value", 256).alias("value_sha256"), "score", "predicted")
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)

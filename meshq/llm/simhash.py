@@ -20,11 +20,12 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshq.llm.common import materialize
 from meshq.llm.components import components
+from meshq.llm.fingerprints import likeness, with_fingerprint
 
 SEED = 42
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
@@ -178,3 +179,68 @@ def classes(documents: DataFrame, id_col: str = "doc_id", text: str = "text", sh
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = rooted.join(ids, "root").select("fp", "component_id")
     return fps.join(by_fp, "fp").select(id_col, "fp", "component_id")
+
+
+# Near duplicates by shingle similarity. A similarity of 0.8 on 5-word shingles leaves the sets of distinct words so alike
+# that each of the eight segments of a 184-bit fingerprint of them decodes to the same codeword about six times in ten.
+WIDE, BEHIND = 8, 3
+
+
+def word_segments(text: bytes) -> np.ndarray:
+    """Nearest codeword indices of the eight segments of the SimHash of a text's distinct words."""
+    w = set(text.lower().split())
+    if not w:
+        return np.zeros(WIDE, np.int64)
+    a, b = xxhash.xxh3_128_digest, xxhash.xxh3_64_digest
+    bits = np.unpackbits(np.frombuffer(b"".join(a(x) + b(x) for x in w), np.uint8).reshape(-1, 24), axis=1).sum(axis=0, dtype=np.int64)
+    on = (2 * bits > len(w))[: 23 * WIDE].reshape(WIDE, 23)
+    return golay().nearest(on @ (1 << np.arange(23, dtype=np.int64)))[0]
+
+
+def near_classes(documents: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """id, hash of the text, class_id: the least id of the documents that links of that similarity reach.
+
+    Equal texts are one node. A node is filed under the codeword indices of each two of its eight segments. Under a key, nodes stand
+    in the order of all their indices, so that likely copies stand together, and each is compared with the first and with
+    the three before it: the number of candidates follows the nodes, and not the square of a group. A candidate is a link if the
+    similarity that the 5-word shingles' fingerprints give reaches the threshold. Blank texts are one node without
+    links. Rows with null ids get no class.
+    """
+    d = documents.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("hash"))
+    if shingle != 5:
+        raise ValueError("fingerprints take five words")
+    d = with_fingerprint(d, "text", "sig").select("id", "hash", "sig", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seg = [word_segments(x.as_py()) for x in b.column(3).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([s.tolist() for s in seg], pa.list_(pa.int32()))], names=["id", "hash", "sig", "seg"])
+
+    kind = documents.schema[id_col].dataType.simpleString()
+    rows = materialize(d.mapInArrow(run, f"id {kind}, hash string, sig array<long>, seg array<int>"), "near")
+    texts = rows.filter("id is not null").groupBy("hash").agg(F.min("id").alias("node"), F.min_by("sig", "id").alias("sig"), F.min_by("seg", "id").alias("seg"))
+    texts = materialize(texts, "near-texts")
+    pairs = list(combinations(range(WIDE), 2))
+    key = [F.lit(p << 24).cast("long") + F.get("seg", F.lit(a)) * 4096 + F.get("seg", F.lit(b)) for p, (a, b) in enumerate(pairs)]
+    filed = texts.filter(F.size("sig") > 0).select("node", "seg", F.explode(F.array(*key)).alias("key"))
+    w = Window.partitionBy("key").orderBy("seg", "node")
+    partners = F.array_distinct(F.array_compact(F.array(F.first("node").over(w), *[F.lag("node", i).over(w) for i in range(1, BEHIND + 1)])))
+    found = filed.select("node", partners.alias("p")).filter(F.size("p") > 1).select("node", F.explode("p").alias("other"))
+    found = found.filter("node <> other").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    sig = texts.select("node", "sig")
+    found = found.join(sig.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b")
+    linked = components(found.filter(likeness(F.col("sa"), F.col("sb")) >= similarity).select("a", "b"), "near-links")
+    nodes = texts.select("hash", "node").join(linked.select(F.col("node"), "root"), "node", "left").select("hash", F.coalesce("root", "node").alias("class_id"))
+    return rows.select("id", "hash").join(nodes, "hash", "left")
+
+
+def without_copies(documents: DataFrame) -> DataFrame:
+    """One document of each class, that of the least id, in the columns of the input. Rows with a null id stay."""
+    kept = materialize(near_classes(documents).filter("id = class_id").select(F.col("id").alias("_id"), F.col("hash").alias("_h")).distinct(), "kept")
+    d = documents.withColumn("_hash", F.md5(F.coalesce("text", F.lit(""))))
+    got = d.join(kept, (F.col("doc_id") == F.col("_id")) & (F.col("_hash") == F.col("_h")), "left_semi")
+    # Of rows with one id and text, one stays.
+    again = got.groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    single = got.join(again, "doc_id", "left_anti").select(*documents.columns)
+    first = got.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*documents.columns)
+    return single.unionByName(first).unionByName(documents.filter("doc_id is null"))

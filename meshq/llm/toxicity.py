@@ -125,37 +125,37 @@ def figures(values: np.ndarray) -> tuple[float, ...]:
     return (float(sums[-1] / n), *worst, float((sums[k:] - sums[:-k]).max() / k), float(np.log1p(n)))
 
 
-def with_figures(documents: DataFrame, by_word: DataFrame, by_stem: DataFrame, tables_fit: bool | None = None) -> DataFrame:
-    """documents (doc_id, text): doc_id and FIGURES."""
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    out = f"doc_id {kind}, " + ", ".join(f"{f} double" for f in FIGURES)
+def with_figures(documents: DataFrame, by_word: DataFrame, by_stem: DataFrame, keys: tuple[str, ...] = ("doc_id",), tables_fit: bool | None = None) -> DataFrame:
+    """documents (keys, text): keys and FIGURES."""
+    out = ", ".join([*(f"`{k}` {documents.schema[k].dataType.simpleString()}" for k in keys), *(f"{f} double" for f in FIGURES)])
+    names, at = [*keys, *FIGURES], len(keys)
     w = words(F.col("text"))
     if tables_fit is None:
         tables_fit = by_word.count() + by_stem.count() <= MOST_BROADCAST
     if tables_fit:
         shared = documents.sparkSession.sparkContext.broadcast((Lookup.of(by_word), Lookup.of(by_stem)))
-        d = documents.select("doc_id", w.alias("_w")).select("doc_id", F.transform("_w", lambda x: F.xxhash64(x)).alias("words"), F.transform("_w", lambda x: F.hash(F.substring(x, 1, STEM))).alias("stems"))
+        d = documents.select(*keys, w.alias("_w")).select(*keys, F.transform("_w", lambda x: F.xxhash64(x)).alias("words"), F.transform("_w", lambda x: F.hash(F.substring(x, 1, STEM))).alias("stems"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             in_words, in_stems = shared.value
             for b in batches:
-                ends = np.cumsum(b.column(1).value_lengths().to_numpy(zero_copy_only=False))
-                v = in_words.get(b.column(1).flatten().to_numpy(zero_copy_only=False), in_stems.get(b.column(2).flatten().to_numpy(zero_copy_only=False), 0.0))
+                ends = np.cumsum(b.column(at).value_lengths().to_numpy(zero_copy_only=False))
+                v = in_words.get(b.column(at).flatten().to_numpy(zero_copy_only=False), in_stems.get(b.column(at + 1).flatten().to_numpy(zero_copy_only=False), 0.0))
                 rows = [figures(x) for x in np.split(v, ends[:-1])] if len(ends) else []
-                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[i] for r in rows], pa.float64()) for i in range(len(FIGURES)))], names=["doc_id", *FIGURES])
+                yield pa.RecordBatch.from_arrays([*b.columns[:at], *(pa.array([r[i] for r in rows], pa.float64()) for i in range(len(FIGURES)))], names=names)
 
         return d.mapInArrow(run, out)
-    d = documents.select("doc_id", "text", F.xxhash64("text").alias("_hash"))
+    d = documents.select(*keys, "text", F.xxhash64("text").alias("_hash"))
     each = d.dropDuplicates(["_hash"]).select("_hash", F.posexplode(w).alias("pos", "w"))
     each = each.select("_hash", "pos", F.xxhash64("w").alias("word"), F.hash(F.substring("w", 1, STEM)).alias("stem"))
     each = each.join(by_word.withColumnRenamed("value", "_a"), "word", "left").join(by_stem.withColumnRenamed("value", "_b"), "stem", "left")
     lists = each.groupBy("_hash").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("_a", "_b", F.lit(0.0)).cast("float").alias("v")))), lambda s: s["v"]).alias("values"))
-    d = d.select("doc_id", "_hash").join(lists, "_hash", "left").select("doc_id", "values")
+    d = d.select(*keys, "_hash").join(lists, "_hash", "left").select(*keys, "values")
 
     def run_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [figures(np.array(x.as_py() or [], np.float32)) for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[i] for r in rows], pa.float64()) for i in range(len(FIGURES)))], names=["doc_id", *FIGURES])
+            rows = [figures(np.array(x.as_py() or [], np.float32)) for x in b.column(at)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:at], *(pa.array([r[i] for r in rows], pa.float64()) for i in range(len(FIGURES)))], names=names)
 
     return d.mapInArrow(run_lists, out)
 
@@ -180,8 +180,8 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 0.02, steps: int = 50
     return a.tolist(), float(w[-1] - a @ mean)
 
 
-def score(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted, and the figures."""
+def score(documents: DataFrame, labels: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """keys (doc_id among them), held_out, score, predicted, and the figures."""
     labelled = with_label(documents, labels)
     counts = materialize(count_words(labelled), "toxic-words")
     by_word, by_stem = (materialize(t, "toxic-table") for t in tables(counts))
@@ -190,9 +190,18 @@ def score(documents: DataFrame, labels: DataFrame) -> DataFrame:
     known = labels.filter("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     got = with_figures(sample, by_word, by_stem).join(known, "doc_id").select("toxic", *FIGURES).toArrow()
     weights, offset = fit_curve(np.stack([got.column(f).to_numpy() for f in FIGURES], axis=1), got.column("toxic").to_numpy().astype(float))
-    f = with_figures(documents.select("doc_id", "text"), by_word, by_stem)
+    f = with_figures(documents, by_word, by_stem, keys)
     z = F.lit(offset)
     for name, a in zip(FIGURES, weights, strict=True):
         z = z + F.col(name) * a
     s = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))
-    return f.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), s.alias("score"), (s >= 0.5).cast("int").alias("predicted"), *FIGURES)
+    return f.select(*keys, F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), s.alias("score"), (s >= 0.5).cast("int").alias("predicted"), *FIGURES)
+
+
+def clean(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents that aren't predicted toxic, in the columns of the input."""
+    d = documents.withColumn("_hash", F.xxhash64("text"))
+    rejected = materialize(score(d, labels, ("doc_id", "_hash")).filter("predicted = 1").select("doc_id", "_hash").distinct(), "rejected")
+    r = rejected.select(F.col("doc_id").alias("_id"), F.col("_hash").alias("_h"))
+    r = F.broadcast(r) if rejected.count() <= MOST_LABELS else r
+    return d.join(r, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("_hash").eqNullSafe(F.col("_h")), "left_anti").select(*documents.columns)
