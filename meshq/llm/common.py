@@ -11,6 +11,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
+_caches: dict = {}
+
+
+def worker_cache(name: str, make):
+    """An object kept in a Python worker for the tasks that follow. A worker keeps one: another operator's goes."""
+    if name not in _caches:
+        _caches.clear()
+        _caches[name] = make()
+    return _caches[name]
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -18,14 +18,13 @@ import zlib
 from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meshq.llm.common import materialize
+from meshq.llm.common import materialize, worker_cache
 from meshq.llm.tokens import vocabulary_path
 
 #: Distinct pieces kept per Python worker; beyond, they are tokenized anew.
@@ -73,10 +72,9 @@ class Encoder:
         return b"".join(map(self.known.__getitem__, words))
 
 
-@lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
     """One per Python worker, which Spark uses for task after task."""
-    return Encoder(path)
+    return worker_cache(f"ids {path}", lambda: Encoder(path))
 
 
 def pieces(documents: DataFrame, capacity: int, path: str | None = None) -> DataFrame:

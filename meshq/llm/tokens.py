@@ -16,13 +16,14 @@ from __future__ import annotations
 import json
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from meshq.llm.common import worker_cache
+
 #: Distinct pieces kept per Python worker; beyond, they are counted anew.
 KEPT = 1_000_000
 SPACES = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -158,7 +159,6 @@ class Counter:
         return sum(map(self.known.__getitem__, words))
 
 
-@lru_cache(maxsize=1)
 def counter(path: str) -> Counter:
     """One per Python worker, which Spark uses for task after task."""
-    return Counter(path)
+    return worker_cache(f"counts {path}", lambda: Counter(path))

@@ -26,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meshq.llm.common import materialize
+from meshq.llm.common import materialize, worker_cache
 
 STEM, LEAST, CURVE_ROWS, MOST_BROADCAST = 5, 2, 50_000, 6_000_000
-MOST_LABELS = 2_000_000
+MOST_LABELS, SLICE = 2_000_000, 256
 FIGURES = ("mean", "worst2", "worst4", "worst8", "run8", "log_words")
 
 
@@ -137,11 +137,15 @@ def with_figures(documents: DataFrame, by_word: DataFrame, by_stem: DataFrame, k
         d = documents.select(*keys, w.alias("_w")).select(*keys, F.transform("_w", lambda x: F.xxhash64(x)).alias("words"), F.transform("_w", lambda x: F.hash(F.substring(x, 1, STEM))).alias("stems"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            worker_cache("none", lambda: None)  # frees what another operator keeps
             in_words, in_stems = shared.value
             for b in batches:
-                ends = np.cumsum(b.column(at).value_lengths().to_numpy(zero_copy_only=False))
-                v = in_words.get(b.column(at).flatten().to_numpy(zero_copy_only=False), in_stems.get(b.column(at + 1).flatten().to_numpy(zero_copy_only=False), 0.0))
-                rows = [figures(x) for x in np.split(v, ends[:-1])] if len(ends) else []
+                rows = []
+                for i in range(0, b.num_rows, SLICE):  # looked up by slices, which bounds the memory of a batch
+                    w, s = b.column(at).slice(i, SLICE), b.column(at + 1).slice(i, SLICE)
+                    v = in_words.get(w.flatten().to_numpy(zero_copy_only=False), in_stems.get(s.flatten().to_numpy(zero_copy_only=False), 0.0))
+                    ends = np.cumsum(w.value_lengths().to_numpy(zero_copy_only=False))
+                    rows += [figures(x) for x in np.split(v, ends[:-1])]
                 yield pa.RecordBatch.from_arrays([*b.columns[:at], *(pa.array([r[i] for r in rows], pa.float64()) for i in range(len(FIGURES)))], names=names)
 
         return d.mapInArrow(run, out)
