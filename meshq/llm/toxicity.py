@@ -78,7 +78,8 @@ def tables(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     d = {c: discounts(counts, c) for c in "to"}
     stems = counts.groupBy("stem").agg(*[F.sum(c).alias(c) for c in "to"], *[F.sum(_off(c, d[c])).alias(f"off_{c}") for c in "to"], F.count("*").alias("types"))
     stems = materialize(stems, "stems")
-    endings = counts.groupBy("ending").agg(F.count("*").alias("after"))
+    # Written first: the join below then has plain exchanges, whose hot ending (none at all) adaptive execution splits.
+    endings = materialize(counts.groupBy("ending").agg(F.count("*").alias("after")), "endings")
     e = {c: discounts(stems, c) for c in "to"}
     total = stems.agg(*[F.sum(c).cast("double").alias(c) for c in "to"], *[F.sum(_off(c, e[c])).alias(f"off_{c}") for c in "to"], F.sum("types").cast("double").alias("types")).first()
     if not total["t"] or not total["o"]:
