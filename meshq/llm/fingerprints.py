@@ -1,8 +1,9 @@
 """Document fingerprints: one-permutation MinHash with optimal densification and packed low-order bits.
 
 Each 5-word shingle (fewer words: the whole sequence) is hashed once; the hash's top bits choose one of 256 bins, which
-keeps its least hash. An empty bin takes the value of the first filled bin in an order of bins that its number fixes. The
-four low bits of every bin are kept: 16 longs. Two unequal bins agree by chance once in 16, which the estimate takes off.
+keeps its least hash. An empty bin takes the value of the first filled bin in an order of bins that its number fixes, hashed
+with its number: else texts of a few shingles would repeat few values, and unlike ones agree in many bins at once. The four
+low bits of every bin are kept: 16 longs. Two unequal bins agree by chance once in 16, which the estimate takes off.
 
 Only DataFrame functions are used. Null text counts as empty. A text without words has an empty fingerprint, which is like
 another empty one (1.0) and unlike all others (0.0). Equal texts have equal fingerprints. Rows with equal or null ids are
@@ -49,7 +50,7 @@ def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     def filled(x: Column, b: Column) -> Column:
         probe = F.aggregate(F.sequence(F.lit(1), F.lit(PROBES)), F.lit(None).cast("bigint"), lambda a, t: F.coalesce(a, F.get(d, F.pmod(F.xxhash64(b, t), F.lit(BINS)).cast("int"))))
         order = F.array_min(F.transform(m, lambda y: F.struct(F.xxhash64(b, _bin(y)).alias("o"), y.alias("y"))))["y"]
-        return F.coalesce(x, probe, order)
+        return F.coalesce(x, F.xxhash64(F.coalesce(probe, order), b))
 
     df = df.withColumn(names[4], F.when(F.size(m).isin(0, BINS), d).otherwise(F.transform(d, filled)))
     low = F.lit((1 << LOW_BITS) - 1).cast("bigint")
