@@ -20,12 +20,13 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meshq.llm.common import materialize
+from meshq.llm.common import materialize, words
 from meshq.llm.components import components
 from meshq.llm.fingerprints import likeness, with_fingerprint
+from meshq.llm.fingerprints import shingle_hashes as native_shingles
 
 SEED = 42
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
@@ -181,18 +182,43 @@ def classes(documents: DataFrame, id_col: str = "doc_id", text: str = "text", sh
     return fps.join(by_fp, "fp").select(id_col, "fp", "component_id")
 
 
-# Near duplicates by shingle similarity. A similarity of 0.8 on 5-word shingles leaves the sets of distinct words so alike
-# that each of the eight segments of a 184-bit fingerprint of them decodes to the same codeword about six times in ten.
-WIDE, BEHIND = 8, 3
+# Near duplicates by shingle similarity. A similarity of 0.8 on 5-word shingles leaves the sets of distinct words so alike that each
+# of the twelve segments of a 276-bit fingerprint of them decodes to the same codeword about four to six times in ten: some two
+# of them do in 98 to 99.9 of 100 cases.
+WIDE, BEHIND = 12, 3
+#: How far a fingerprint's estimate may fall short, by eight standard errors of 256 bins; sets of fewer than FEW shingles fill too few bins to go by.
+MARGIN, FEW = 0.22, 128
+#: Texts up to this number are picked by a broadcast of their hashes (about 100 bytes each); beyond, by a join on them.
+MOST_BROADCAST = 100_000
+
+
+def with_shingles(df: DataFrame, text: str, out: str, n: int) -> DataFrame:
+    """Adds out: the distinct hashes of the shingles. The words are a column of their own, so that they aren't split for each shingle."""
+    df = df.withColumn("_words", words(F.lower(F.col(text))))
+    return df.withColumn(out, F.array_distinct(native_shingles(F.col("_words"), n))).drop("_words")
+
+
+def similar_pairs(documents: DataFrame, texts: DataFrame, pairs: DataFrame, id_col: str, text: str, shingle: int, similarity: float) -> DataFrame:
+    """Those pairs (a, b) of nodes whose sets of shingles have the Jaccard similarity. Sets are made for the texts in pairs only."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = materialize(texts.select("node", "hash").join(nodes, "node"), "near-wanted").select(F.col("node").alias("_node"), F.col("hash").alias("_hash"))
+    few = wanted.count() <= MOST_BROADCAST
+    d = documents.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    d = d.join(F.broadcast(wanted) if few else wanted, (F.col("id") == F.col("_node")) & (F.md5("text") == F.col("_hash")))
+    sets = with_shingles(d, "text", "set", shingle).select(F.col("_node").alias("node"), "set").groupBy("node").agg(F.first("set").alias("set"))
+    sets = materialize(sets, "near-sets")
+    j = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
+    both = j.select("a", "b", F.size("x").alias("x"), F.size("y").alias("y"), F.size(F.array_intersect("x", "y")).alias("both"))
+    return both.filter(F.col("both") >= similarity * (F.col("x") + F.col("y") - F.col("both"))).select("a", "b")
 
 
 def word_segments(text: bytes) -> np.ndarray:
-    """Nearest codeword indices of the eight segments of the SimHash of a text's distinct words."""
+    """Nearest codeword indices of the segments of the SimHash of a text's distinct words."""
     w = set(text.lower().split())
     if not w:
         return np.zeros(WIDE, np.int64)
-    a, b = xxhash.xxh3_128_digest, xxhash.xxh3_64_digest
-    bits = np.unpackbits(np.frombuffer(b"".join(a(x) + b(x) for x in w), np.uint8).reshape(-1, 24), axis=1).sum(axis=0, dtype=np.int64)
+    h, short = xxhash.xxh3_128_digest, xxhash.xxh3_64_digest
+    bits = np.unpackbits(np.frombuffer(b"".join([h(x) + h(x, 1) + short(x, 2) for x in w]), np.uint8).reshape(-1, 40), axis=1).sum(axis=0, dtype=np.int64)
     on = (2 * bits > len(w))[: 23 * WIDE].reshape(WIDE, 23)
     return golay().nearest(on @ (1 << np.arange(23, dtype=np.int64)))[0]
 
@@ -200,36 +226,40 @@ def word_segments(text: bytes) -> np.ndarray:
 def near_classes(documents: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """id, hash of the text, class_id: the least id of the documents that links of that similarity reach.
 
-    Equal texts are one node. A node is filed under the codeword indices of each two of its eight segments. Under a key, nodes stand
-    in the order of all their indices, so that likely copies stand together, and each is compared with the first and with
-    the three before it: the number of candidates follows the nodes, and not the square of a group. A candidate is a link if the
-    similarity that the 5-word shingles' fingerprints give reaches the threshold. Blank texts are one node without
+    Equal texts are one node. A node is filed under the codeword indices of each two of its twelve segments. Under a key, nodes stand
+    in the order of their indices, so that likely copies stand together, and each is compared with the first and with
+    the three before it: the number of candidates follows the nodes, and not the square of a group. Candidates that the fingerprints of
+    their 5-word shingles, or the numbers of these, don't rule out are links if their sets of shingles have the Jaccard similarity
+    asked for. Blank texts are one node without
     links. Rows with null ids get no class.
     """
     d = documents.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("hash"))
     if shingle != 5:
         raise ValueError("fingerprints take five words")
-    d = with_fingerprint(d, "text", "sig").select("id", "hash", "sig", "text")
+    d = with_shingles(with_fingerprint(d, "text", "sig"), "text", "set", shingle).select("id", "hash", "sig", "text", F.size("set").alias("n"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             seg = [word_segments(x.as_py()) for x in b.column(3).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([s.tolist() for s in seg], pa.list_(pa.int32()))], names=["id", "hash", "sig", "seg"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], b.column(4), pa.array([s.tolist() for s in seg], pa.list_(pa.int32()))], names=["id", "hash", "sig", "n", "seg"])
 
     kind = documents.schema[id_col].dataType.simpleString()
-    rows = materialize(d.mapInArrow(run, f"id {kind}, hash string, sig array<long>, seg array<int>"), "near")
-    texts = rows.filter("id is not null").groupBy("hash").agg(F.min("id").alias("node"), F.min_by("sig", "id").alias("sig"), F.min_by("seg", "id").alias("seg"))
+    rows = materialize(d.mapInArrow(run, f"id {kind}, hash string, sig array<long>, n int, seg array<int>"), "near")
+    texts = rows.filter("id is not null").groupBy("hash").agg(F.min("id").alias("node"), F.min_by("sig", "id").alias("sig"), F.min("n").alias("n"), F.min_by("seg", "id").alias("seg"))
     texts = materialize(texts, "near-texts")
     pairs = list(combinations(range(WIDE), 2))
     key = [F.lit(p << 24).cast("long") + F.get("seg", F.lit(a)) * 4096 + F.get("seg", F.lit(b)) for p, (a, b) in enumerate(pairs)]
-    filed = texts.filter(F.size("sig") > 0).select("node", "seg", F.explode(F.array(*key)).alias("key"))
-    w = Window.partitionBy("key").orderBy("seg", "node")
+    order = F.aggregate(F.slice("seg", 1, 5), F.lit(0).cast("long"), lambda a, x: a * 4096 + x)
+    filed = texts.filter(F.size("sig") > 0).select("node", "seg", order.alias("order")).select("node", "order", F.explode(F.array(*key)).alias("key"))
+    w = Window.partitionBy("key").orderBy("order", "node")
     partners = F.array_distinct(F.array_compact(F.array(F.first("node").over(w), *[F.lag("node", i).over(w) for i in range(1, BEHIND + 1)])))
-    found = filed.select("node", partners.alias("p")).filter(F.size("p") > 1).select("node", F.explode("p").alias("other"))
+    found = filed.select("node", partners.alias("p")).filter((F.size("p") > 1) | (F.get("p", F.lit(0)) != F.col("node"))).select("node", F.explode("p").alias("other"))
     found = found.filter("node <> other").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-    sig = texts.select("node", "sig")
-    found = found.join(sig.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b")
-    linked = components(found.filter(likeness(F.col("sa"), F.col("sb")) >= similarity).select("a", "b"), "near-links")
+    side = lambda x: texts.select(F.col("node").alias(x), F.col("sig").alias(f"s{x}"), F.col("n").alias(f"n{x}"))
+    found = found.join(side("a"), "a").join(side("b"), "b")
+    enough = (likeness(F.col("sa"), F.col("sb")) >= similarity - MARGIN) | (F.least("na", "nb") < FEW)
+    found = materialize(found.filter(enough & (F.least("na", "nb") >= similarity * F.greatest("na", "nb") * 0.99)).select("a", "b"), "near-pairs")
+    linked = components(similar_pairs(documents, texts, found, id_col, text, shingle, similarity), "near-links")
     nodes = texts.select("hash", "node").join(linked.select(F.col("node"), "root"), "node", "left").select("hash", F.coalesce("root", "node").alias("class_id"))
     return rows.select("id", "hash").join(nodes, "hash", "left")
 
