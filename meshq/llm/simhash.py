@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from meshq.llm.common import materialize, words
 from meshq.llm.components import components
-from meshq.llm.fingerprints import likeness, with_fingerprint
+from meshq.llm.fingerprints import BINS, likeness, with_fingerprint
 from meshq.llm.fingerprints import shingle_hashes as native_shingles
 
 SEED = 42
@@ -186,8 +186,8 @@ def classes(documents: DataFrame, id_col: str = "doc_id", text: str = "text", sh
 # of the twelve segments of a 276-bit fingerprint of them decodes to the same codeword about four to six times in ten: some two
 # of them do in 98 to 99.9 of 100 cases.
 WIDE, BEHIND = 12, 3
-#: How far a fingerprint's estimate may fall short, by eight standard errors of 256 bins; sets of fewer than FEW shingles fill too few bins to go by.
-MARGIN, FEW = 0.22, 128
+#: How many standard errors a fingerprint's estimate may fall short; an error is at most 0.5 by the root of the filled bins.
+ERRORS = 4
 #: Texts up to this number are picked by a broadcast of their hashes (about 100 bytes each); beyond, by a join on them.
 MOST_BROADCAST = 100_000
 
@@ -200,7 +200,7 @@ def with_shingles(df: DataFrame, text: str, out: str, n: int) -> DataFrame:
 
 def similar_pairs(documents: DataFrame, texts: DataFrame, pairs: DataFrame, id_col: str, text: str, shingle: int, similarity: float) -> DataFrame:
     """Those pairs (a, b) of nodes whose sets of shingles have the Jaccard similarity. Sets are made for the texts in pairs only."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    nodes = pairs.select(F.col("a").alias("node")).distinct().unionAll(pairs.select("b").distinct()).distinct()
     wanted = materialize(texts.select("node", "hash").join(nodes, "node"), "near-wanted").select(F.col("node").alias("_node"), F.col("hash").alias("_hash"))
     few = wanted.count() <= MOST_BROADCAST
     d = documents.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -257,8 +257,10 @@ def near_classes(documents: DataFrame, id_col: str = "doc_id", text: str = "text
     found = found.filter("node <> other").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
     side = lambda x: texts.select(F.col("node").alias(x), F.col("sig").alias(f"s{x}"), F.col("n").alias(f"n{x}"))
     found = found.join(side("a"), "a").join(side("b"), "b")
-    enough = (likeness(F.col("sa"), F.col("sb")) >= similarity - MARGIN) | (F.least("na", "nb") < FEW)
-    found = materialize(found.filter(enough & (F.least("na", "nb") >= similarity * F.greatest("na", "nb") * 0.99)).select("a", "b"), "near-pairs")
+    n = F.least("na", "nb").cast("double")
+    filled = BINS * (1 - F.exp(-n / BINS))  # bins that the smaller set is expected to fill
+    enough = likeness(F.col("sa"), F.col("sb")) >= similarity - ERRORS * 0.5 / F.sqrt(filled)
+    found = materialize(found.filter(enough & (n >= similarity * F.greatest("na", "nb") * 0.99)).select("a", "b"), "near-pairs")
     linked = components(similar_pairs(documents, texts, found, id_col, text, shingle, similarity), "near-links")
     nodes = texts.select("hash", "node").join(linked.select(F.col("node"), "root"), "node", "left").select("hash", F.coalesce("root", "node").alias("class_id"))
     return rows.select("id", "hash").join(nodes, "hash", "left")
