@@ -185,7 +185,11 @@ def classes(documents: DataFrame, id_col: str = "doc_id", text: str = "text", sh
 # Near duplicates by shingle similarity. A similarity of 0.8 on 5-word shingles leaves the sets of distinct words so alike that each
 # of the twelve segments of a 276-bit fingerprint of them decodes to the same codeword about four to six times in ten: some two
 # of them do in 98 to 99.9 of 100 cases.
-WIDE, BEHIND = 12, 3
+WIDE = 12
+EVERY = list(combinations(range(WIDE), 2))
+NEXT = [(i, (i + 1) % WIDE) for i in range(WIDE)]
+#: How many before it a node is compared with, in the first round and in the second.
+FEW_BEHIND, BEHIND = 2, 6
 #: How many standard errors a fingerprint's estimate may fall short; an error is at most 0.5 by the root of the filled bins.
 ERRORS = 4
 #: Texts up to this number are picked by a broadcast of their hashes (about 100 bytes each); beyond, by a join on them.
@@ -223,15 +227,40 @@ def word_segments(text: bytes) -> np.ndarray:
     return golay().nearest(on @ (1 << np.arange(23, dtype=np.int64)))[0]
 
 
+def key_neighbours(texts: DataFrame, pairs: list[tuple[int, int]], behind: int, first: bool) -> DataFrame:
+    """a and b, distinct: texts (node, root, seg) filed under the codeword indices of those pairs of segments. Under a key, nodes stand
+    in the order of their indices, so that likely copies stand together, and each is put beside so many before it, and beside
+    the first if asked for. Nodes of one root aren't put together."""
+    key = [F.lit(p << 24).cast("long") + F.get("seg", F.lit(x)) * 4096 + F.get("seg", F.lit(y)) for p, (x, y) in enumerate(pairs)]
+    order = F.aggregate(F.slice("seg", 1, 5), F.lit(0).cast("long"), lambda acc, x: acc * 4096 + x)
+    filed = texts.select("node", "root", order.alias("order"), F.explode(F.array(*key)).alias("key"))
+    w = Window.partitionBy("key").orderBy("order", "node")
+    me = F.struct("node", "root")
+    beside = [F.lag(me, i).over(w) for i in range(1, behind + 1)] + ([F.first(me).over(w)] if first else [])
+    others = F.array_distinct(F.filter(F.array(*beside), lambda o: o.isNotNull() & (o["root"] != F.col("root"))))
+    got = filed.select("node", others.alias("others")).filter(F.size("others") > 0).select("node", F.explode("others.node").alias("other"))
+    return got.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+
+
+def not_ruled_out(texts: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """Those pairs (a, b) that the fingerprints of the texts' shingles, or the numbers of these, leave possible."""
+    side = lambda x: texts.select(F.col("node").alias(x), F.col("sig").alias(f"s{x}"), F.col("n").alias(f"n{x}"))
+    j = pairs.join(side("a"), "a").join(side("b"), "b")
+    n = F.least("na", "nb").cast("double")
+    filled = BINS * (1 - F.exp(-n / BINS))  # bins that the smaller set is expected to fill
+    enough = likeness(F.col("sa"), F.col("sb")) >= similarity - ERRORS * 0.5 / F.sqrt(filled)
+    return j.filter(enough & (n >= similarity * F.greatest("na", "nb") * 0.99)).select("a", "b")
+
+
 def near_classes(documents: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """id, hash of the text, class_id: the least id of the documents that links of that similarity reach.
 
-    Equal texts are one node. A node is filed under the codeword indices of each two of its twelve segments. Under a key, nodes stand
-    in the order of their indices, so that likely copies stand together, and each is compared with the first and with
-    the three before it: the number of candidates follows the nodes, and not the square of a group. Candidates that the fingerprints of
-    their 5-word shingles, or the numbers of these, don't rule out are links if their sets of shingles have the Jaccard similarity
-    asked for. Blank texts are one node without
-    links. Rows with null ids get no class.
+    Equal texts are one node. Candidates are sought in two rounds. The first files a node under each two neighbouring segments of its
+    twelve and compares it with the two before it, which joins most of every group of copies. The second files it under each two
+    segments and compares it with the first and the six before it, without those that the first round has joined already: a link
+    within a class changes nothing. So candidates follow the nodes, and not the square of a group. Candidates that the
+    fingerprints of their 5-word shingles, or the numbers of these, don't rule out are links if their sets of shingles have the
+    Jaccard similarity asked for. Blank texts are one node without links. Rows with null ids get no class.
     """
     d = documents.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("hash"))
     if shingle != 5:
@@ -247,22 +276,19 @@ def near_classes(documents: DataFrame, id_col: str = "doc_id", text: str = "text
     rows = materialize(d.mapInArrow(run, f"id {kind}, hash string, sig array<long>, n int, seg array<int>"), "near")
     texts = rows.filter("id is not null").groupBy("hash").agg(F.min("id").alias("node"), F.min_by("sig", "id").alias("sig"), F.min("n").alias("n"), F.min_by("seg", "id").alias("seg"))
     texts = materialize(texts, "near-texts")
-    pairs = list(combinations(range(WIDE), 2))
-    key = [F.lit(p << 24).cast("long") + F.get("seg", F.lit(a)) * 4096 + F.get("seg", F.lit(b)) for p, (a, b) in enumerate(pairs)]
-    order = F.aggregate(F.slice("seg", 1, 5), F.lit(0).cast("long"), lambda a, x: a * 4096 + x)
-    filed = texts.filter(F.size("sig") > 0).select("node", "seg", order.alias("order")).select("node", "order", F.explode(F.array(*key)).alias("key"))
-    w = Window.partitionBy("key").orderBy("order", "node")
-    partners = F.array_distinct(F.array_compact(F.array(F.first("node").over(w), *[F.lag("node", i).over(w) for i in range(1, BEHIND + 1)])))
-    found = filed.select("node", partners.alias("p")).filter((F.size("p") > 1) | (F.get("p", F.lit(0)) != F.col("node"))).select("node", F.explode("p").alias("other"))
-    found = found.filter("node <> other").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-    side = lambda x: texts.select(F.col("node").alias(x), F.col("sig").alias(f"s{x}"), F.col("n").alias(f"n{x}"))
-    found = found.join(side("a"), "a").join(side("b"), "b")
-    n = F.least("na", "nb").cast("double")
-    filled = BINS * (1 - F.exp(-n / BINS))  # bins that the smaller set is expected to fill
-    enough = likeness(F.col("sa"), F.col("sb")) >= similarity - ERRORS * 0.5 / F.sqrt(filled)
-    found = materialize(found.filter(enough & (n >= similarity * F.greatest("na", "nb") * 0.99)).select("a", "b"), "near-pairs")
-    linked = components(similar_pairs(documents, texts, found, id_col, text, shingle, similarity), "near-links")
-    nodes = texts.select("hash", "node").join(linked.select(F.col("node"), "root"), "node", "left").select("hash", F.coalesce("root", "node").alias("class_id"))
+    filled = texts.filter(F.size("sig") > 0).select("node", "seg")
+    linked = None
+    for pairs, behind, first in ((NEXT, FEW_BEHIND, False), (EVERY, BEHIND, True)):
+        if linked is None:
+            rooted = filled.withColumn("root", F.col("node"))
+        else:
+            rooted = filled.join(linked, "node", "left").select("node", "seg", F.coalesce("root", "node").alias("root"))
+        found = materialize(not_ruled_out(texts, key_neighbours(rooted, pairs, behind, first), similarity), "near-pairs")
+        links_ = similar_pairs(documents, texts, found, id_col, text, shingle, similarity)
+        if linked is not None:
+            links_ = links_.unionAll(linked.filter("node <> root").select("root", "node"))
+        linked = components(links_, "near-links")
+    nodes = texts.select("hash", "node").join(linked, "node", "left").select("hash", F.coalesce("root", "node").alias("class_id"))
     return rows.select("id", "hash").join(nodes, "hash", "left")
 
 
