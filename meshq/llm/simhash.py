@@ -20,12 +20,12 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meshq.llm.common import materialize, words
 from meshq.llm.components import components
-from meshq.llm.fingerprints import BINS, likeness, with_fingerprint
+from meshq.llm.fingerprints import BINS, ONES, likeness, with_fingerprint
 from meshq.llm.fingerprints import shingle_hashes as native_shingles
 
 SEED = 42
@@ -187,9 +187,8 @@ def classes(documents: DataFrame, id_col: str = "doc_id", text: str = "text", sh
 # of them do in 98 to 99.9 of 100 cases.
 WIDE = 12
 EVERY = list(combinations(range(WIDE), 2))
-NEXT = [(i, (i + 1) % WIDE) for i in range(WIDE)]
-#: How many before it a node is compared with, in the first round and in the second.
-FEW_BEHIND, BEHIND = 2, 6
+#: The exact join begins when it compares at most so many pairs for each row filed, or when pivots no longer halve their number.
+PAIRS_EACH = 16
 #: How many standard errors a fingerprint's estimate may fall short; an error is at most 0.5 by the root of the filled bins.
 ERRORS = 4
 #: Texts up to this number are picked by a broadcast of their hashes (about 100 bytes each); beyond, by a join on them.
@@ -202,15 +201,18 @@ def with_shingles(df: DataFrame, text: str, out: str, n: int) -> DataFrame:
     return df.withColumn(out, F.array_distinct(native_shingles(F.col("_words"), n))).drop("_words")
 
 
-def similar_pairs(documents: DataFrame, texts: DataFrame, pairs: DataFrame, id_col: str, text: str, shingle: int, similarity: float) -> DataFrame:
-    """Those pairs (a, b) of nodes whose sets of shingles have the Jaccard similarity. Sets are made for the texts in pairs only."""
-    nodes = pairs.select(F.col("a").alias("node")).distinct().unionAll(pairs.select("b").distinct()).distinct()
+def sets_of(documents: DataFrame, texts: DataFrame, nodes: DataFrame, id_col: str, text: str, shingle: int) -> DataFrame:
+    """node and set, the distinct shingle hashes, of those nodes."""
     wanted = materialize(texts.select("node", "hash").join(nodes, "node"), "near-wanted").select(F.col("node").alias("_node"), F.col("hash").alias("_hash"))
     few = wanted.count() <= MOST_BROADCAST
     d = documents.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     d = d.join(F.broadcast(wanted) if few else wanted, (F.col("id") == F.col("_node")) & (F.md5("text") == F.col("_hash")))
     sets = with_shingles(d, "text", "set", shingle).select(F.col("_node").alias("node"), "set").groupBy("node").agg(F.first("set").alias("set"))
-    sets = materialize(sets, "near-sets")
+    return materialize(sets, "near-sets")
+
+
+def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those pairs (a, b) of nodes whose sets have the Jaccard similarity."""
     j = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
     both = j.select("a", "b", F.size("x").alias("x"), F.size("y").alias("y"), F.size(F.array_intersect("x", "y")).alias("both"))
     return both.filter(F.col("both") >= similarity * (F.col("x") + F.col("y") - F.col("both"))).select("a", "b")
@@ -227,19 +229,74 @@ def word_segments(text: bytes) -> np.ndarray:
     return golay().nearest(on @ (1 << np.arange(23, dtype=np.int64)))[0]
 
 
-def key_neighbours(texts: DataFrame, pairs: list[tuple[int, int]], behind: int, first: bool) -> DataFrame:
-    """a and b, distinct: texts (node, root, seg) filed under the codeword indices of those pairs of segments. Under a key, nodes stand
-    in the order of their indices, so that likely copies stand together, and each is put beside so many before it, and beside
-    the first if asked for. Nodes of one root aren't put together."""
-    key = [F.lit(p << 24).cast("long") + F.get("seg", F.lit(x)) * 4096 + F.get("seg", F.lit(y)) for p, (x, y) in enumerate(pairs)]
-    order = F.aggregate(F.slice("seg", 1, 5), F.lit(0).cast("long"), lambda acc, x: acc * 4096 + x)
-    filed = texts.select("node", "root", order.alias("order"), F.explode(F.array(*key)).alias("key"))
-    w = Window.partitionBy("key").orderBy("order", "node")
-    me = F.struct("node", "root")
-    beside = [F.lag(me, i).over(w) for i in range(1, behind + 1)] + ([F.first(me).over(w)] if first else [])
-    others = F.array_distinct(F.filter(F.array(*beside), lambda o: o.isNotNull() & (o["root"] != F.col("root"))))
-    got = filed.select("node", others.alias("others")).filter(F.size("others") > 0).select("node", F.explode("others.node").alias("other"))
-    return got.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+def shared_keys(texts: DataFrame) -> DataFrame:
+    """key, node, n, bits, pivot: texts under the codeword indices of each two segments, if others stand there too; the least node
+    is the pivot. Keys are grouped by map-side least and greatest nodes, and a hot key's rows are split by adaptive execution."""
+    key = [F.lit(p << 24) + F.get("seg", F.lit(x)) * 4096 + F.get("seg", F.lit(y)) for p, (x, y) in enumerate(EVERY)]
+    one_in_four = [F.shiftleft(F.get("sig", F.lit(i)).bitwiseAND(F.lit(ONES).cast("bigint")), i) for i in range(4)]
+    bits = one_in_four[0].bitwiseOR(one_in_four[1]).bitwiseOR(one_in_four[2]).bitwiseOR(one_in_four[3])
+    filed = texts.filter(F.size("sig") > 0).select("node", "n", bits.alias("bits"), F.explode(F.array(*key)).alias("key"))
+    several = filed.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).filter("pivot < last").drop("last")
+    return filed.join(several, "key")
+
+
+def across_classes(shared: DataFrame, linked: DataFrame) -> DataFrame:
+    """The columns of shared (key, node and others) with root: the rows under keys that still hold more than one class."""
+    rooted = shared.drop("root").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    several = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
+    return rooted.join(several, "key", "left_semi")
+
+
+def able_to_link(shared: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Adds m, the number of a node's shingles that some other of the nodes holds too. An intersection has no others, so a node of
+    which m is under that share of its shingles has no link, and goes."""
+    each = sets.select("node", F.explode("set").alias("h"))
+    own = each.groupBy("h").agg(F.min("node").alias("node"), F.max("node").alias("last")).filter("node = last").groupBy("node").agg(F.count("*").alias("own"))
+    got = shared.join(own, "node", "left").withColumn("m", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
+    return got.filter(F.col("m") >= similarity * F.col("n") - 1e-6)
+
+
+def pairs_left(rooted: DataFrame) -> tuple[int, int]:
+    """How many rows there are, and how many pairs of different classes stand under their keys."""
+    each = rooted.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("m"), F.sum(F.col("c").cast("decimal(38,0)") * F.col("c")).alias("own"))
+    got = each.agg(F.sum("m"), F.sum((F.col("m").cast("decimal(38,0)") * F.col("m") - F.col("own")) / 2)).first()
+    return int(got[0] or 0), int(got[1] or 0)
+
+
+def pivot_pairs(rooted: DataFrame, turn: int) -> DataFrame:
+    """a and b, distinct: a node of each key, drawn by hash, with those of other classes under the key."""
+    h = F.xxhash64("node", F.lit(turn))
+    pivots = rooted.groupBy("key").agg(F.min_by("node", h).alias("pivot"), F.min_by("root", h).alias("pivot_root"))
+    j = rooted.join(pivots, "key").filter("root <> pivot_root")
+    return j.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+
+
+def _likely(similarity: float) -> tuple[list[Column], list[Column], Column]:
+    """The columns of two sides of a join on key, and whether nodes of different classes may be similar: by 64 bits of the
+    fingerprints, and by the numbers of shingles."""
+    x = ["key", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("bits").alias("xa")]
+    y = ["key", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("bits").alias("xb")]
+    n = F.least("na", "nb").cast("double")
+    # Unlike shingles differ in half the bits. A bit's error is at most 0.3 where a tenth differ; bins filled from others repeat it.
+    most = 64 * ((1 - similarity) / 2 + ERRORS * 0.3 / F.sqrt(F.least(F.lit(64.0), BINS * (1 - F.exp(-n / BINS)))))
+    near = (F.bit_count(F.col("xa").bitwiseXOR(F.col("xb"))) <= most) & (n >= similarity * F.greatest("na", "nb") * 0.99)
+    return x, y, near & (F.col("ra") != F.col("rb"))
+
+
+def with_likely(rooted: DataFrame, similarity: float) -> DataFrame:
+    """The rows of rooted under whose key another class has a node that may be similar."""
+    x, y, near = _likely(similarity)
+    got = rooted.select(*x).join(rooted.select(*y).withColumnRenamed("key", "_key"), (F.col("key") == F.col("_key")) & near, "left_semi")
+    return got.select("key", F.col("a").alias("node"), F.col("ra").alias("root"), F.col("na").alias("n"), F.col("xa").alias("bits"))
+
+
+def exact_pairs(rooted: DataFrame, similarity: float) -> DataFrame:
+    """a and b, distinct: all pairs of different classes under a key that are likely, and that the numbers of shingles held by
+    others (m) leave possible; the join itself tests this."""
+    x, y, near = _likely(similarity)
+    enough = F.least("ma", "mb") * (1 + similarity) >= similarity * (F.col("na") + F.col("nb")) - 1e-6  # the least intersection
+    j = rooted.select(*x, F.col("m").alias("ma")).join(rooted.select(*y, F.col("m").alias("mb")), "key")
+    return j.filter((F.col("a") < F.col("b")) & near & enough).select("a", "b").distinct()
 
 
 def not_ruled_out(texts: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
@@ -255,12 +312,12 @@ def not_ruled_out(texts: DataFrame, pairs: DataFrame, similarity: float) -> Data
 def near_classes(documents: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """id, hash of the text, class_id: the least id of the documents that links of that similarity reach.
 
-    Equal texts are one node. Candidates are sought in two rounds. The first files a node under each two neighbouring segments of its
-    twelve and compares it with the two before it, which joins most of every group of copies. The second files it under each two
-    segments and compares it with the first and the six before it, without those that the first round has joined already: a link
-    within a class changes nothing. So candidates follow the nodes, and not the square of a group. Candidates that the
-    fingerprints of their 5-word shingles, or the numbers of these, don't rule out are links if their sets of shingles have the
-    Jaccard similarity asked for. Blank texts are one node without links. Rows with null ids get no class.
+    Equal texts are one node, filed under each two of its twelve segments. Under a key, all are first compared with the least node,
+    which joins most of a group of copies, and with nodes drawn by hash while these spare many pairs. Texts too few of whose shingles
+    stand in any other text left have no link. Then every pair of different classes that is left under any key is compared, so that
+    no number of neighbours or candidates is capped; a link within a class would change nothing. Candidates that the fingerprints of their 5-word shingles, or the numbers of these, don't rule out are links
+    if their sets of shingles have the Jaccard similarity asked for. Blank texts are one node without links. Rows with null ids get
+    no class.
     """
     d = documents.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("hash"))
     if shingle != 5:
@@ -276,18 +333,29 @@ def near_classes(documents: DataFrame, id_col: str = "doc_id", text: str = "text
     rows = materialize(d.mapInArrow(run, f"id {kind}, hash string, sig array<long>, n int, seg array<int>"), "near")
     texts = rows.filter("id is not null").groupBy("hash").agg(F.min("id").alias("node"), F.min_by("sig", "id").alias("sig"), F.min("n").alias("n"), F.min_by("seg", "id").alias("seg"))
     texts = materialize(texts, "near-texts")
-    filled = texts.filter(F.size("sig") > 0).select("node", "seg")
-    linked = None
-    for pairs, behind, first in ((NEXT, FEW_BEHIND, False), (EVERY, BEHIND, True)):
-        if linked is None:
-            rooted = filled.withColumn("root", F.col("node"))
+    shared = materialize(shared_keys(texts), "near-shared")
+    pairs = shared.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    sets, linked, tried, before, turn, last = None, None, None, None, 0, False
+    while True:
+        found = materialize(not_ruled_out(texts, pairs, similarity), "near-pairs")
+        if turn == 0:
+            ends = found.select(F.col("a").alias("node")).unionAll(found.select("b")).distinct()
+            linked = components(similar_pairs(found, sets_of(documents, texts, ends, id_col, text, shingle), similarity), "near-links")
+            shared = materialize(with_likely(across_classes(shared.drop("pivot"), linked), similarity), "near-across")
+            sets = sets_of(documents, texts, shared.select("node").distinct(), id_col, text, shingle)
+            shared, tried = able_to_link(shared, sets, similarity), found
         else:
-            rooted = filled.join(linked, "node", "left").select("node", "seg", F.coalesce("root", "node").alias("root"))
-        found = materialize(not_ruled_out(texts, key_neighbours(rooted, pairs, behind, first), similarity), "near-pairs")
-        links_ = similar_pairs(documents, texts, found, id_col, text, shingle, similarity)
-        if linked is not None:
-            links_ = links_.unionAll(linked.filter("node <> root").select("root", "node"))
-        linked = components(links_, "near-links")
+            links_ = similar_pairs(found, sets, similarity).unionAll(linked.filter("node <> root").select("root", "node"))
+            linked, tried = components(links_, "near-links"), tried.unionAll(found)
+        if last:
+            break
+        shared = materialize(across_classes(shared, linked), "near-across")
+        rows_left, left = pairs_left(shared)
+        if not left:
+            break
+        last = left <= PAIRS_EACH * rows_left or (before is not None and 2 * left > before)
+        before, turn = left, turn + 1
+        pairs = (exact_pairs(shared, similarity) if last else pivot_pairs(shared, turn)).join(tried, ["a", "b"], "left_anti")
     nodes = texts.select("hash", "node").join(linked, "node", "left").select("hash", F.coalesce("root", "node").alias("class_id"))
     return rows.select("id", "hash").join(nodes, "hash", "left")
 
