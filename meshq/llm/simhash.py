@@ -188,7 +188,9 @@ def classes(documents: DataFrame, id_col: str = "doc_id", text: str = "text", sh
 WIDE = 12
 EVERY = list(combinations(range(WIDE), 2))
 #: The exact join begins when it compares at most so many pairs for each row filed, or when pivots no longer halve their number.
-PAIRS_EACH = 16
+PAIRS_EACH = 64
+#: Bits of a parity sketch.
+PARITY = 512
 #: How many standard errors a fingerprint's estimate may fall short; an error is at most 0.5 by the root of the filled bins.
 ERRORS = 4
 #: Texts up to this number are picked by a broadcast of their hashes (about 100 bytes each); beyond, by a join on them.
@@ -247,13 +249,11 @@ def across_classes(shared: DataFrame, linked: DataFrame) -> DataFrame:
     return rooted.join(several, "key", "left_semi")
 
 
-def able_to_link(shared: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Adds m, the number of a node's shingles that some other of the nodes holds too. An intersection has no others, so a node of
-    which m is under that share of its shingles has no link, and goes."""
-    each = sets.select("node", F.explode("set").alias("h"))
-    own = each.groupBy("h").agg(F.min("node").alias("node"), F.max("node").alias("last")).filter("node = last").groupBy("node").agg(F.count("*").alias("own"))
-    got = shared.join(own, "node", "left").withColumn("m", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
-    return got.filter(F.col("m") >= similarity * F.col("n") - 1e-6)
+def with_parity(shared: DataFrame, sets: DataFrame) -> DataFrame:
+    """Adds parity: for each of 512 bins, whether it holds an odd number of the node's shingles. The bins in which two nodes differ are
+    never more than the shingles that only one of them holds."""
+    one = lambda p: F.aggregate(F.filter("set", lambda h: F.pmod(F.shiftright(h, 6), F.lit(PARITY // 64)) == p), F.lit(0).cast("bigint"), lambda acc, h: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), h.bitwiseAND(F.lit(63).cast("bigint")).cast("int"))))
+    return shared.join(sets.select("node", F.array(*[one(p) for p in range(PARITY // 64)]).alias("parity")), "node")
 
 
 def pairs_left(rooted: DataFrame) -> tuple[int, int]:
@@ -291,11 +291,12 @@ def with_likely(rooted: DataFrame, similarity: float) -> DataFrame:
 
 
 def exact_pairs(rooted: DataFrame, similarity: float) -> DataFrame:
-    """a and b, distinct: all pairs of different classes under a key that are likely, and that the numbers of shingles held by
-    others (m) leave possible; the join itself tests this."""
+    """a and b, distinct: all pairs of different classes under a key that are likely, and that differ in no more bins of parity than
+    sets of that similarity may differ in shingles; the join itself tests this."""
     x, y, near = _likely(similarity)
-    enough = F.least("ma", "mb") * (1 + similarity) >= similarity * (F.col("na") + F.col("nb")) - 1e-6  # the least intersection
-    j = rooted.select(*x, F.col("m").alias("ma")).join(rooted.select(*y, F.col("m").alias("mb")), "key")
+    odd = F.aggregate(F.zip_with("pa", "pb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda acc, c: acc + c)
+    enough = odd * (1 + similarity) <= (1 - similarity) * (F.col("na") + F.col("nb")) + 1e-6
+    j = rooted.select(*x, F.col("parity").alias("pa")).join(rooted.select(*y, F.col("parity").alias("pb")), "key")
     return j.filter((F.col("a") < F.col("b")) & near & enough).select("a", "b").distinct()
 
 
@@ -313,9 +314,9 @@ def near_classes(documents: DataFrame, id_col: str = "doc_id", text: str = "text
     """id, hash of the text, class_id: the least id of the documents that links of that similarity reach.
 
     Equal texts are one node, filed under each two of its twelve segments. Under a key, all are first compared with the least node,
-    which joins most of a group of copies, and with nodes drawn by hash while these spare many pairs. Texts too few of whose shingles
-    stand in any other text left have no link. Then every pair of different classes that is left under any key is compared, so that
-    no number of neighbours or candidates is capped; a link within a class would change nothing. Candidates that the fingerprints of their 5-word shingles, or the numbers of these, don't rule out are links
+    which joins most of a group of copies, and with nodes drawn by hash while these spare many pairs. Then every pair
+    of different classes that is left under any key is compared, so that no number of neighbours or candidates is capped; a link
+    within a class would change nothing. Candidates that the fingerprints of their 5-word shingles, or the numbers of these, don't rule out are links
     if their sets of shingles have the Jaccard similarity asked for. Blank texts are one node without links. Rows with null ids get
     no class.
     """
@@ -343,7 +344,7 @@ def near_classes(documents: DataFrame, id_col: str = "doc_id", text: str = "text
             linked = components(similar_pairs(found, sets_of(documents, texts, ends, id_col, text, shingle), similarity), "near-links")
             shared = materialize(with_likely(across_classes(shared.drop("pivot"), linked), similarity), "near-across")
             sets = sets_of(documents, texts, shared.select("node").distinct(), id_col, text, shingle)
-            shared, tried = able_to_link(shared, sets, similarity), found
+            shared, tried = with_parity(shared, sets), found
         else:
             links_ = similar_pairs(found, sets, similarity).unionAll(linked.filter("node <> root").select("root", "node"))
             linked, tried = components(links_, "near-links"), tried.unionAll(found)
