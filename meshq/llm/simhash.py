@@ -221,8 +221,8 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataF
 
 
 def word_segments(text: bytes) -> np.ndarray:
-    """Nearest codeword indices of the segments of the SimHash of a text's distinct words."""
-    w = set(text.lower().split())
+    """Nearest codeword indices of the segments of the SimHash of the distinct words of a text that Spark has lower-cased."""
+    w = set(text.split())
     if not w:
         return np.zeros(WIDE, np.int64)
     h, short = xxhash.xxh3_128_digest, xxhash.xxh3_64_digest
@@ -323,7 +323,7 @@ def near_classes(documents: DataFrame, id_col: str = "doc_id", text: str = "text
     d = documents.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("hash"))
     if shingle != 5:
         raise ValueError("fingerprints take five words")
-    d = with_shingles(with_fingerprint(d, "text", "sig"), "text", "set", shingle).select("id", "hash", "sig", "text", F.size("set").alias("n"))
+    d = with_shingles(with_fingerprint(d, "text", "sig"), "text", "set", shingle).select("id", "hash", "sig", F.lower("text").alias("text"), F.size("set").alias("n"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
