@@ -182,11 +182,11 @@ def classes(documents: DataFrame, id_col: str = "doc_id", text: str = "text", sh
     return fps.join(by_fp, "fp").select(id_col, "fp", "component_id")
 
 
-# Near duplicates by shingle similarity. A similarity of 0.8 on 5-word shingles leaves the sets of distinct words so alike that each
-# of the twelve segments of a 276-bit fingerprint of them decodes to the same codeword about four to six times in ten: some two
-# of them do in 98 to 99.9 of 100 cases.
-WIDE = 12
-EVERY = list(combinations(range(WIDE), 2))
+# Near duplicates by shingle similarity. Two sets that are similar enough share one of the first n - ceil(similarity * n) + 1 of the
+# n shingles of each, in any one order of all shingles: texts are filed under these, so that every link shares a key, however the
+# words that differ lie.
+#: A shingle is common if so many texts, or the stated part of all texts, are filed under it; common ones come last in the order.
+COMMON, COMMON_PART = 16, 4000
 #: The exact join begins when it compares at most so many pairs for each row filed, or when pivots no longer halve their number.
 PAIRS_EACH = 64
 #: Bits of a parity sketch.
@@ -220,26 +220,47 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataF
     return both.filter(F.col("both") >= similarity * (F.col("x") + F.col("y") - F.col("both"))).select("a", "b")
 
 
-def word_segments(text: bytes) -> np.ndarray:
-    """Nearest codeword indices of the segments of the SimHash of the distinct words of a text that Spark has lower-cased."""
-    w = set(text.split())
-    if not w:
-        return np.zeros(WIDE, np.int64)
-    h, short = xxhash.xxh3_128_digest, xxhash.xxh3_64_digest
-    bits = np.unpackbits(np.frombuffer(b"".join([h(x) + h(x, 1) + short(x, 2) for x in w]), np.uint8).reshape(-1, 40), axis=1).sum(axis=0, dtype=np.int64)
-    on = (2 * bits > len(w))[: 23 * WIDE].reshape(WIDE, 23)
-    return golay().nearest(on @ (1 << np.arange(23, dtype=np.int64)))[0]
+def prefix_size(n: Column, similarity: float) -> Column:
+    return (n - F.ceil(n * similarity - 1e-9) + 1).cast("int")
+
+
+def with_rare_prefixes(documents: DataFrame, texts: DataFrame, id_col: str, text: str, shingle: int, similarity: float) -> DataFrame:
+    """texts with the prefixes in the order of how many texts are filed under a shingle, if it is common, and then by hash. Prefixes
+    without common shingles are the same in both orders. The number of common ones follows the mean size of a prefix, not the rows."""
+    least = max(COMMON, texts.count() // COMMON_PART)
+    keys = texts.select("node", F.explode("prefix").alias("key"))
+    common = materialize(keys.groupBy("key").agg(F.count("*").alias("c")).filter(F.col("c") >= least), "near-common")
+    table = common.orderBy("key").toArrow()
+    if not table.num_rows:
+        return texts
+    order = documents.sparkSession.sparkContext.broadcast((table["key"].to_numpy(), table["c"].to_numpy()))
+    having = keys.join(F.broadcast(common), "key", "left_semi").select("node").distinct()
+    sets = sets_of(documents, texts, having, id_col, text, shingle)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, counts = order.value
+        for b in batches:
+            each, flat = b.column(1).value_lengths().to_numpy().astype(np.int64), b.column(1).flatten().to_numpy()
+            at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+            row = np.repeat(np.arange(len(each)), each)
+            by = np.lexsort((flat, np.where(known[at] == flat, counts[at], 0), row))
+            size = np.minimum(each, each - np.ceil(each * similarity - 1e-9).astype(np.int64) + 1)
+            first = np.arange(len(flat)) - np.repeat(np.cumsum(each) - each, each) < size[row]
+            offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat[by][first]))], names=["node", "rare"])
+
+    rare = sets.select("node", "set").mapInArrow(run, "node long, rare array<long>")
+    return materialize(texts.join(rare, "node", "left").withColumn("prefix", F.coalesce("rare", "prefix")).drop("rare"), "near-rare")
 
 
 def shared_keys(texts: DataFrame) -> DataFrame:
-    """key, node, n, bits, pivot: texts under the codeword indices of each two segments, if others stand there too; the least node
+    """key, node, n, bits, pivot: texts under the shingles of their prefixes, if others stand there too; the least node
     is the pivot. Keys are grouped by map-side least and greatest nodes, and a hot key's rows are split by adaptive execution."""
-    key = [F.lit(p << 24) + F.get("seg", F.lit(x)) * 4096 + F.get("seg", F.lit(y)) for p, (x, y) in enumerate(EVERY)]
     one_in_four = [F.shiftleft(F.get("sig", F.lit(i)).bitwiseAND(F.lit(ONES).cast("bigint")), i) for i in range(4)]
     bits = one_in_four[0].bitwiseOR(one_in_four[1]).bitwiseOR(one_in_four[2]).bitwiseOR(one_in_four[3])
-    filed = texts.filter(F.size("sig") > 0).select("node", "n", bits.alias("bits"), F.explode(F.array(*key)).alias("key"))
+    filed = texts.select("node", F.explode("prefix").alias("key"))
     several = filed.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).filter("pivot < last").drop("last")
-    return filed.join(several, "key")
+    return filed.join(several, "key").join(texts.filter(F.size("sig") > 0).select("node", "n", bits.alias("bits")), "node")
 
 
 def across_classes(shared: DataFrame, linked: DataFrame) -> DataFrame:
@@ -313,7 +334,7 @@ def not_ruled_out(texts: DataFrame, pairs: DataFrame, similarity: float) -> Data
 def near_classes(documents: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """id, hash of the text, class_id: the least id of the documents that links of that similarity reach.
 
-    Equal texts are one node, filed under each two of its twelve segments. Under a key, all are first compared with the least node,
+    Equal texts are one node, filed under the shingles of its prefix. Under a key, all are first compared with the least node,
     which joins most of a group of copies, and with nodes drawn by hash while these spare many pairs. Then every pair
     of different classes that is left under any key is compared, so that no number of neighbours or candidates is capped; a link
     within a class would change nothing. Candidates that the fingerprints of their 5-word shingles, or the numbers of these, don't rule out are links
@@ -323,17 +344,12 @@ def near_classes(documents: DataFrame, id_col: str = "doc_id", text: str = "text
     d = documents.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("hash"))
     if shingle != 5:
         raise ValueError("fingerprints take five words")
-    d = with_shingles(with_fingerprint(d, "text", "sig"), "text", "set", shingle).select("id", "hash", "sig", F.lower("text").alias("text"), F.size("set").alias("n"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            seg = [word_segments(x.as_py()) for x in b.column(3).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], b.column(4), pa.array([s.tolist() for s in seg], pa.list_(pa.int32()))], names=["id", "hash", "sig", "n", "seg"])
-
-    kind = documents.schema[id_col].dataType.simpleString()
-    rows = materialize(d.mapInArrow(run, f"id {kind}, hash string, sig array<long>, n int, seg array<int>"), "near")
-    texts = rows.filter("id is not null").groupBy("hash").agg(F.min("id").alias("node"), F.min_by("sig", "id").alias("sig"), F.min("n").alias("n"), F.min_by("seg", "id").alias("seg"))
+    n = F.size("set")
+    d = with_shingles(with_fingerprint(d, "text", "sig"), "text", "set", shingle).select("id", "hash", "sig", n.alias("n"), F.slice(F.sort_array("set"), F.lit(1), prefix_size(n, similarity)).alias("prefix"))
+    rows = materialize(d, "near")
+    texts = rows.filter("id is not null").groupBy("hash").agg(F.min("id").alias("node"), F.min_by("sig", "id").alias("sig"), F.min("n").alias("n"), F.min_by("prefix", "id").alias("prefix"))
     texts = materialize(texts, "near-texts")
+    texts = with_rare_prefixes(documents, texts, id_col, text, shingle, similarity)
     shared = materialize(shared_keys(texts), "near-shared")
     pairs = shared.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     sets, linked, tried, before, turn, last = None, None, None, None, 0, False

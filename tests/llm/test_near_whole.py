@@ -14,3 +14,26 @@ def test_case_copies_outside_ascii(spark):
     texts = [" ".join("".join(r.choice(letters) for _ in range(r.randint(3, 9))) for _ in range(200)) for _ in range(30)]
     got = classes_of(spark, [(i, t) for i, t in enumerate(texts)] + [(100 + i, t.upper()) for i, t in enumerate(texts)])
     assert sum(got[100 + i] == i for i in range(30)) == 30
+
+
+def contiguous(r, w):
+    """Copies of w whose shingles have a Jaccard similarity of 0.8 or more: a cut tail, a cut head, an appended and a replaced passage."""
+    n = len(w)
+    new = [f"new{r.randint(0, 10**9)}" for _ in range(n)]
+    at, k = n // 3, (n - 4) // 9 - 4
+    return [w[: n - (n - 4) // 5], w[(n - 4) // 5 :], w + new[: (n - 4) // 4], w[:at] + new[:k] + w[at + k :]]
+
+
+def test_contiguous_edits_are_found(spark):
+    r = random.Random(22)
+    base = [[f"t{r.randint(0, 20000)}" for _ in range(r.randint(80, 300))] for _ in range(15)]
+    rows, truth = [], {}
+    for w in base:
+        for v in contiguous(r, w):
+            a, b = ({tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (w, v))
+            assert len(a & b) >= 0.8 * len(a | b)
+            salt = f"s{r.randint(0, 10**9)}"  # each pair by itself, so that no link is found by way of another copy
+            truth[len(rows) + 1] = len(rows)
+            rows += [(len(rows), " ".join(x + salt for x in w)), (len(rows) + 1, " ".join(x + salt for x in v))]
+    got = classes_of(spark, rows)
+    assert sum(got[b] == a for b, a in truth.items()) == len(truth)
