@@ -205,10 +205,10 @@ def with_shingles(df: DataFrame, text: str, out: str, n: int) -> DataFrame:
 
 def sets_of(documents: DataFrame, texts: DataFrame, nodes: DataFrame, id_col: str, text: str, shingle: int) -> DataFrame:
     """node and set, the distinct shingle hashes, of those nodes."""
-    wanted = materialize(texts.select("node", "hash").join(nodes, "node"), "near-wanted").select(F.col("node").alias("_node"), F.col("hash").alias("_hash"))
+    wanted = materialize(texts.select("node", "id", "hash").join(nodes, "node"), "near-wanted").select(F.col("node").alias("_node"), F.col("id").alias("_id"), F.col("hash").alias("_hash"))
     few = wanted.count() <= MOST_BROADCAST
     d = documents.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    d = d.join(F.broadcast(wanted) if few else wanted, (F.col("id") == F.col("_node")) & (F.md5("text") == F.col("_hash")))
+    d = d.join(F.broadcast(wanted) if few else wanted, (F.col("id") == F.col("_id")) & (F.md5("text") == F.col("_hash")))
     sets = with_shingles(d, "text", "set", shingle).select(F.col("_node").alias("node"), "set").groupBy("node").agg(F.first("set").alias("set"))
     return materialize(sets, "near-sets")
 
@@ -220,6 +220,16 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataF
     return both.filter(F.col("both") >= similarity * (F.col("x") + F.col("y") - F.col("both"))).select("a", "b")
 
 
+def with_nodes(texts: DataFrame) -> DataFrame:
+    """Adds node, a number of each text: rows that share an id are nodes of their own if their texts differ."""
+    salt = 0
+    while True:
+        got = texts.withColumn("node", F.xxhash64("hash", F.lit(salt)))
+        if not got.groupBy("node").count().filter("count > 1").count():
+            return got
+        salt += 1
+
+
 def prefix_size(n: Column, similarity: float) -> Column:
     return (n - F.ceil(n * similarity - 1e-9) + 1).cast("int")
 
@@ -332,7 +342,7 @@ def not_ruled_out(texts: DataFrame, pairs: DataFrame, similarity: float) -> Data
 
 
 def near_classes(documents: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """id, hash of the text, class_id: the least id of the documents that links of that similarity reach.
+    """id, hash of the text, class_id and class_hash: the least id, and then hash, of the documents that links of that similarity reach.
 
     Equal texts are one node, filed under the shingles of its prefix. Under a key, all are first compared with the least node,
     which joins most of a group of copies, and with nodes drawn by hash while these spare many pairs. Then every pair
@@ -347,8 +357,8 @@ def near_classes(documents: DataFrame, id_col: str = "doc_id", text: str = "text
     n = F.size("set")
     d = with_shingles(with_fingerprint(d, "text", "sig"), "text", "set", shingle).select("id", "hash", "sig", n.alias("n"), F.slice(F.sort_array("set"), F.lit(1), prefix_size(n, similarity)).alias("prefix"))
     rows = materialize(d, "near")
-    texts = rows.filter("id is not null").groupBy("hash").agg(F.min("id").alias("node"), F.min_by("sig", "id").alias("sig"), F.min("n").alias("n"), F.min_by("prefix", "id").alias("prefix"))
-    texts = materialize(texts, "near-texts")
+    texts = rows.filter("id is not null").groupBy("hash").agg(F.min("id").alias("id"), F.min_by("sig", "id").alias("sig"), F.min("n").alias("n"), F.min_by("prefix", "id").alias("prefix"))
+    texts = with_nodes(materialize(texts, "near-texts"))
     texts = with_rare_prefixes(documents, texts, id_col, text, shingle, similarity)
     shared = materialize(shared_keys(texts), "near-shared")
     pairs = shared.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
@@ -373,17 +383,19 @@ def near_classes(documents: DataFrame, id_col: str = "doc_id", text: str = "text
         last = left <= PAIRS_EACH * rows_left or (before is not None and 2 * left > before)
         before, turn = left, turn + 1
         pairs = (exact_pairs(shared, similarity) if last else pivot_pairs(shared, turn)).join(tried, ["a", "b"], "left_anti")
-    nodes = texts.select("hash", "node").join(linked, "node", "left").select("hash", F.coalesce("root", "node").alias("class_id"))
-    return rows.select("id", "hash").join(nodes, "hash", "left")
+    nodes = materialize(texts.select("hash", "id", "node").join(linked, "node", "left").select("hash", "id", F.coalesce("root", "node").alias("root")), "near-roots")
+    least = nodes.groupBy("root").agg(F.min(F.struct("id", "hash")).alias("least"))
+    found = nodes.join(least, "root").select("hash", F.col("least.id").alias("class_id"), F.col("least.hash").alias("class_hash"))
+    return rows.select("id", "hash").join(found, "hash", "left")
 
 
 def without_copies(documents: DataFrame) -> DataFrame:
     """One document of each class, that of the least id, in the columns of the input. Rows with a null id stay."""
-    kept = materialize(near_classes(documents).filter("id = class_id").select(F.col("id").alias("_id"), F.col("hash").alias("_h")).distinct(), "kept")
+    kept = materialize(near_classes(documents).filter("id = class_id and hash = class_hash").select(F.col("id").alias("_id"), F.col("hash").alias("_h")).distinct(), "kept")
     d = documents.withColumn("_hash", F.md5(F.coalesce("text", F.lit(""))))
     got = d.join(kept, (F.col("doc_id") == F.col("_id")) & (F.col("_hash") == F.col("_h")), "left_semi")
     # Of rows with one id and text, one stays.
-    again = got.groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    single = got.join(again, "doc_id", "left_anti").select(*documents.columns)
-    first = got.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*documents.columns)
+    again = got.groupBy("doc_id", "_hash").count().filter("count > 1").select("doc_id", "_hash")
+    single = got.join(again, ["doc_id", "_hash"], "left_anti").select(*documents.columns)
+    first = got.join(again, ["doc_id", "_hash"], "left_semi").dropDuplicates(["doc_id", "_hash"]).select(*documents.columns)
     return single.unionByName(first).unionByName(documents.filter("doc_id is null"))

@@ -37,3 +37,12 @@ def test_contiguous_edits_are_found(spark):
             rows += [(len(rows), " ".join(x + salt for x in w)), (len(rows) + 1, " ".join(x + salt for x in v))]
     got = classes_of(spark, rows)
     assert sum(got[b] == a for b, a in truth.items()) == len(truth)
+
+
+def test_rows_that_share_an_id(spark):
+    r = random.Random(23)
+    texts = [" ".join(f"t{r.randint(0, 20000)}" for _ in range(100)) for _ in range(4)]
+    rows = [(7, texts[0]), (7, texts[1]), (7, texts[1]), (8, texts[0] + " more"), (9, texts[1] + " more"), (9, texts[2]), (9, texts[3])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [(x.doc_id, x.text) for x in simhash.without_copies(df).collect()]
+    assert sorted(kept) == sorted([(7, texts[0]), (7, texts[1]), (9, texts[2]), (9, texts[3])])
