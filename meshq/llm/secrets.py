@@ -30,9 +30,9 @@ KINDS = [
     ("cloud-key", r"\b(?:AKIA|ASIA|AROA|AIDA)[A-Z0-9]{12,20}\b"),
     ("service-token", r"\b(?:gh[pousr]_[A-Za-z0-9]{20,}|xox[abeprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9_-]{16,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{30,}|glpat-[A-Za-z0-9_-]{16,})"),
     ("signed-token", r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    ("assignment", r"(?i:\b(?:[a-z0-9]{1,20}[_-])?(?:password|passwd|pwd|passphrase|token|secret|api[_-]?key|access[_-]?key|auth[_-]?key|credential)s?[\"']?[\x20\t]{0,3}(?::=|=>|[:=])[\x20\t]{0,3})[\"']?[^\s\"',;]{6,200}"),
-    ("connection", r"\b[a-z][a-z0-9+.-]{1,20}://[^\s:/@\"']{1,60}:[^\s:/@\"']{4,100}@"),
-    ("mixed", r"(?<![A-Za-z0-9+/_=.@-])(?=[A-Za-z+/_=-]{0,64}[0-9])[A-Za-z0-9+/_=-]{20,200}(?![A-Za-z0-9+/_=.@-])"),
+    ("assignment", r"(?i:\b(?:[a-z0-9]{1,20}[_-])?(?:password|passwd|pwd|passphrase|token|secret|api[_-]?key|access[_-]?key|auth[_-]?key|credential)s?[\"']?[\x20\t]{0,3}(?::=|=>|[:=])[\x20\t]{0,3})[\"']?[^\s\"',;]{6,}+"),
+    ("connection", r"\b[a-z][a-z0-9+.-]{1,20}://[^\s:/@\"']++:[^\s:/@\"']{4,}+@"),
+    ("mixed", r"(?<![A-Za-z0-9+/_=.@-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{20,}+(?![A-Za-z0-9+/_=.@-])"),
 ]
 ANY = "|".join(f"(?:{x})" for _, x in KINDS)
 #: What a text must hold, besides a long mixed string, to have a candidate.
@@ -141,7 +141,15 @@ def training_lines(n: int = TRAINING, seed: int = SEED) -> list[tuple[int, str,
         lambda: f"https://{word()}:{word()}@example.com/{word()}",
         lambda: "0" * r.randint(8, 20) + "1" * r.randint(8, 20) + "0" * 4,
     ]
-    return [(i, f"{filler()} {r.choice(secrets if i % 2 else harmless)()} {filler()}", i % 2) for i in range(n)]
+    lines = [(i, f"{filler()} {r.choice(secrets if i % 2 else harmless)()} {filler()}", i % 2) for i in range(n)]
+    # Values of more than 200 characters.
+    secrets = [
+        lambda: f"{name()}{join()}{quote(pick(low + up + dig + '+/', r.randint(201, 2000)))}",
+        lambda: f"{r.choice(['bearer', 'token', 'secret', 'private key'])} {pick(low + up + dig + '+/', r.randint(201, 2000))}",
+        lambda: f"{r.choice(['postgres', 'mysql', 'https', 'amqp'])}://{pick(low, r.randint(6, 80))}:{pick(low + up + dig, r.randint(101, 1000))}@{pick(low, 8)}.example.net/x",
+    ]
+    harmless = [lambda: f"data:image/png;base64,{pick(low + up + dig + '+/', r.randint(201, 2000))}", lambda: f"{r.choice(['checksum', 'digest', 'etag'])} {pick('abcdef' + dig, r.choice([256, 512]))}", lambda: pick("0=-", r.randint(201, 600))]
+    return lines + [(n + i, f"{filler()} {r.choice(secrets if i % 2 else harmless)()} {filler()}", i % 2) for i in range(n // 10)]
 
 
 def train(spark: SparkSession) -> RandomForestClassificationModel:
