@@ -24,13 +24,20 @@ from pyspark.sql import functions as F
 
 TRAINING, SEED, TREES, DEPTH, AROUND = 4000, 11, 24, 7, 48
 
+# A private key: through its END line or, if five other dashes or none follow, through headers and base64 to the last line of nothing else.
+PRIVATE_KEY = (
+    r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----(?:(?s:(?!-----).)*+-----END [A-Z0-9 ]{0,60}-----"
+    r"|(?:\s*+(?:Proc-Type|DEK-Info|Version|Comment|Hash|Charset):[^\r\n]*+)*+"
+    r"(?:(?:\s|\\[nrt]|[\"'+,>#*|])*+[A-Za-z0-9+/]{16,}+={0,2}+)*+"
+    r"(?:(?:\r?\n|(?:\\r)?\\n)[\x20\t>#*|]*+[A-Za-z0-9+/]++={0,2}+(?=[\x20\t\"',]*+(?:[\r\n]|\\[nr]|\z)))*+)"
+)
 # Candidate kinds in order of precedence: name, expression. A group "v" isn't used: what is quoted or assigned is cut off later.
 KINDS = [
-    ("private-key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"),
+    ("private-key", PRIVATE_KEY),
     ("cloud-key", r"\b(?:AKIA|ASIA|AROA|AIDA)[A-Z0-9]{12,20}\b"),
     ("service-token", r"\b(?:gh[pousr]_[A-Za-z0-9]{20,}|xox[abeprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9_-]{16,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{30,}|glpat-[A-Za-z0-9_-]{16,})"),
     ("signed-token", r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    ("assignment", r"(?i:\b(?:[a-z0-9]{1,20}[_-])?(?:password|passwd|pwd|passphrase|token|secret|api[_-]?key|access[_-]?key|auth[_-]?key|credential)s?[\"']?[\x20\t]{0,3}(?::=|=>|[:=])[\x20\t]{0,3})[\"']?[^\s\"',;]{6,}+"),
+    ("assignment", r"(?i:\b(?:[a-z0-9]{1,20}[_-])?(?:password|passwd|pwd|passphrase|token|secret|api[_-]?key|access[_-]?key|auth[_-]?key|credential)s?[\"']?[\x20\t]{0,3}(?::=|=>|[:=])[\x20\t]{0,3})[\"']?+(?![=>]?-----BEGIN )[^\s\"',;]{6,}+"),
     ("connection", r"\b[a-z][a-z0-9+.-]{1,20}://[^\s:/@\"']++:[^\s:/@\"']{4,}+@"),
     ("mixed", r"(?<![A-Za-z0-9+/_=.@-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{20,}+(?![A-Za-z0-9+/_=.@-])"),
 ]
@@ -142,11 +149,14 @@ def training_lines(n: int = TRAINING, seed: int = SEED) -> list[tuple[int, str,
         lambda: "0" * r.randint(8, 20) + "1" * r.randint(8, 20) + "0" * 4,
     ]
     lines = [(i, f"{filler()} {r.choice(secrets if i % 2 else harmless)()} {filler()}", i % 2) for i in range(n)]
-    # Values of more than 200 characters.
+    # Values of more than 200 characters, and whole private keys.
+    block = lambda sep: sep.join(["MII" + pick(low + up + dig + "+/", 61) for _ in range(r.randint(1, 26))] + [pick(low + up + dig + "+/", r.randint(4, 60)) + r.choice(["", "=", "=="])])
+    pem = lambda kind, sep: f"-----BEGIN {kind}PRIVATE KEY-----{sep}{block(sep)}{sep}" + r.choice(["", f"-----END {kind}PRIVATE KEY-----"])
     secrets = [
         lambda: f"{name()}{join()}{quote(pick(low + up + dig + '+/', r.randint(201, 2000)))}",
         lambda: f"{r.choice(['bearer', 'token', 'secret', 'private key'])} {pick(low + up + dig + '+/', r.randint(201, 2000))}",
         lambda: f"{r.choice(['postgres', 'mysql', 'https', 'amqp'])}://{pick(low, r.randint(6, 80))}:{pick(low + up + dig, r.randint(101, 1000))}@{pick(low, 8)}.example.net/x",
+        lambda: pem(r.choice(["RSA ", "EC ", "OPENSSH ", "ENCRYPTED ", ""]), r.choice(["\n", "\r\n", "\\n"])),
     ]
     harmless = [lambda: f"data:image/png;base64,{pick(low + up + dig + '+/', r.randint(201, 2000))}", lambda: f"{r.choice(['checksum', 'digest', 'etag'])} {pick('abcdef' + dig, r.choice([256, 512]))}", lambda: pick("0=-", r.randint(201, 600))]
     return lines + [(n + i, f"{filler()} {r.choice(secrets if i % 2 else harmless)()} {filler()}", i % 2) for i in range(n // 10)]

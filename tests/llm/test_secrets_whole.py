@@ -29,3 +29,16 @@ def test_long_values(spark, model, monkeypatch):
         texts = [f"private key {v[0]} end", f'token = "{v[1]}" end', f"password: {v[2]}", f"see postgres://{'u' * 80}:{v[3]}@host.example.net/x"]
         out = redacted(spark, texts, model, monkeypatch)
         assert out == ["private key [secret] end", 'token = "[secret]" end', "password: [secret]", f"see postgres://{'u' * 80}:[secret]@host.example.net/x"], n
+
+
+def test_private_keys(spark, model, monkeypatch):
+    lines = ["MII" + run_of(61, "+/") for _ in range(12)] + [run_of(9)]
+    for kind in ("RSA ", "", "OPENSSH ", "ENCRYPTED "):
+        begin, end = f"-----BEGIN {kind}PRIVATE KEY-----", f"-----END {kind}PRIVATE KEY-----"
+        enc = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF\n\n"
+        bodies = ["\n".join(lines), "\r\n".join(lines), "\\n".join(lines), "".join(lines), enc + "\n".join(lines), "\n".join(lines) + "=="]
+        texts = [f"before it\n{begin}\n{b}\n{end}\nafter all, words" for b in bodies]
+        texts += [f"before it\n{begin}\n{b}" for b in bodies] + [f"before it\n{begin}\n{b}\n\nafter all, words" for b in bodies] + [f'SECRET_KEY="{begin}\n{bodies[0]}\n{end}" after all, words']
+        out = redacted(spark, texts, model, monkeypatch)
+        for t, o in zip(texts, out, strict=True):
+            assert not any(x in o for x in lines) and "[secret]" in o and ("after all, words" in o) == ("after all, words" in t), (t, o)
