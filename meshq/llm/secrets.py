@@ -37,7 +37,7 @@ KINDS = [
     ("cloud-key", r"\b(?:AKIA|ASIA|AROA|AIDA)[A-Z0-9]{12,20}\b"),
     ("service-token", r"\b(?:gh[pousr]_[A-Za-z0-9]{20,}|xox[abeprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9_-]{16,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{30,}|glpat-[A-Za-z0-9_-]{16,})"),
     ("signed-token", r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    ("assignment", r"(?i:\b(?:[a-z0-9]{1,20}[_-])?(?:password|passwd|pwd|passphrase|token|secret|api[_-]?key|access[_-]?key|auth[_-]?key|credential)s?[\"']?[\x20\t]{0,3}(?::=|=>|[:=])[\x20\t]{0,3})[\"']?+(?![=>]?-----BEGIN )[^\s\"',;]{6,}+"),
+    ("assignment", r"(?i:(?<![a-z0-9_.-])[a-z0-9_.-]*?(?:password|passwd|pwd|passphrase|token|secret|api[_-]?key|access[_-]?key|auth[_-]?key|credential)[a-z0-9_-]*+[\"']?[\x20\t]{0,3}(?::=|=>|[:=])[\x20\t]{0,3})[\"']?+(?![=>]?-----BEGIN )[^\s\"',;]{6,}+"),
     ("connection", r"\b[a-z][a-z0-9+.-]{1,20}://[^\s:/@\"']++:[^\s:/@\"']{4,}+@"),
     ("mixed", r"(?<![A-Za-z0-9+/_=.@-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{20,}+(?![A-Za-z0-9+/_=.@-])"),
 ]

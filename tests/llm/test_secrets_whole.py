@@ -42,3 +42,12 @@ def test_private_keys(spark, model, monkeypatch):
         out = redacted(spark, texts, model, monkeypatch)
         for t, o in zip(texts, out, strict=True):
             assert not any(x in o for x in lines) and "[secret]" in o and ("after all, words" in o) == ("after all, words" in t), (t, o)
+
+
+def test_long_names(spark, model, monkeypatch):
+    texts = ['my_db_password: "s3cr3t!pa$$9" x', 'MY_APP_SECRET_KEY="x7!kQ9$mZ2rr"', "spring.datasource.password=x7!kQ9$mZ2rr", "--auth-token-value x7, db_password_prod => x7!kQ9$mZ2rr"]
+    got = secrets.findings(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), ["doc_id"]).collect()
+    want = {0: "s3cr3t!pa$$9", 1: "x7!kQ9$mZ2rr", 2: "x7!kQ9$mZ2rr", 3: "x7!kQ9$mZ2rr"}
+    assert {r.doc_id: (r.kind, r.value) for r in got} == {i: ("assignment", v) for i, v in want.items()}
+    out = redacted(spark, texts, model, monkeypatch)
+    assert [o for o in out if "x7!kQ9" in o or "s3cr3t" in o] == []
