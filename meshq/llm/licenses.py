@@ -1,7 +1,7 @@
 """License scans: ordered signature rules behind a keyword prefilter.
 
-A rule is a regular expression on the lower-cased text with a keyword that its matches hold. A text is scanned by the rules
-whose keyword it contains. A detection whose interval lies within an earlier or longer one is suppressed; of equal
+A rule is a regular expression on the lower-cased text with a keyword of one word that its matches hold; a blank stands for any white
+space and comment marks. A text is scanned by the rules whose keyword, and the second word it may have, it contains. A detection whose interval lies within an earlier or longer one is suppressed; of equal
 intervals, the first rule's stays. The labels of what is left are joined with those of three base phrases, which are found on
 words and always stay.
 
@@ -22,6 +22,11 @@ from meshq.llm.common import lower_ascii
 # The base phrases and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
+# What a blank of an expression stands for: white space, with the comment marks of the lines that follow.
+GAP = r"[\x09-\x0d\x20\xa0]++(?:[*#/;%>|!-]++[\x09-\x0d\x20\xa0]++)*+"
+# A second word that every match of a keyword's rules holds: keywords that common prose has are sought with it.
+ALSO = {"general": "public", "common": "public", "commons": "attribution", "creative": "commons", "server": "side", "business": "source", "database": "licen", "documentation": "licen", "font": "licen", "european": "union", "python": "licen", "want": "public", "microsoft": "licen", "elastic": "licen", "ruby": "licen", "permission": "purpose", "hereby": "permission", "contributors": "neither", "reserved": "rights", "reproduced": "permission", "redistribute": "general", "domain": "public"}
+
 # Licenses: label, keyword, expression for the name, expression for versions (None: no version).
 _V = r"(?:,? ?(?:version|v\.?) ?|[ -])"
 FAMILIES = [
@@ -34,79 +39,86 @@ FAMILIES = [
     ("agpl", "affero", r"(?:gnu )?affero general public license", ["1.0", "3"]),
     ("lgpl", "lesser", r"(?:gnu )?lesser general public license", ["2.1", "3"]),
     ("lgpl", "library", r"(?:gnu )?library general public license", ["2"]),
-    ("gpl", "general public", r"(?:gnu )?general public license", ["1", "2", "3"]),
-    ("gfdl", "free documentation", r"(?:gnu )?free documentation license", ["1.1", "1.2", "1.3"]),
+    ("gpl", "general", r"(?:gnu )?general public license", ["1", "2", "3"]),
+    ("gfdl", "documentation", r"(?:gnu )?free documentation license", ["1.1", "1.2", "1.3"]),
     ("mpl", "mozilla", r"mozilla public license", ["1.0", "1.1", "2.0"]),
     ("epl", "eclipse", r"eclipse public license", ["1.0", "2.0"]),
-    ("cddl", "common development", r"common development and distribution license", ["1.0", "1.1"]),
-    ("cpl", "common public", r"common public license", ["1.0"]),
-    ("eupl", "european union", r"european union public licen[cs]e", ["1.1", "1.2"]),
+    ("cddl", "distribution", r"common development and distribution license", ["1.0", "1.1"]),
+    ("cpl", "common", r"common public license", ["1.0"]),
+    ("eupl", "european", r"european union public licen[cs]e", ["1.1", "1.2"]),
     ("artistic", "artistic", r"artistic license", ["1.0", "2.0"]),
     ("boost", "boost", r"boost software license", ["1.0"]),
     ("zlib", "zlib", r"zlib(?:/libpng)?(?: license)?", None),
     ("isc", "isc", r"isc license", None),
     ("unlicense", "unlicense", r"(?:the )?unlicense", None),
-    ("wtfpl", "public license", r"do what the f\S* you want to public license", None),
+    ("wtfpl", "want", r"do what the f\S* you want to public license", None),
     ("python", "python", r"python(?: software foundation)? license", ["2"]),
     ("postgresql", "postgresql", r"postgresql license", None),
     ("openssl", "openssl", r"openssl license", None),
-    ("odbl", "open database", r"open database license", ["1.0"]),
-    ("odc-by", "open data commons", r"open data commons attribution license", ["1.0"]),
-    ("ofl", "open font", r"(?:sil )?open font license", ["1.0", "1.1"]),
-    ("ms-pl", "microsoft public", r"microsoft public license", None),
-    ("ms-rl", "microsoft reciprocal", r"microsoft reciprocal license", None),
+    ("odbl", "database", r"open database license", ["1.0"]),
+    ("odc-by", "commons", r"open data commons attribution license", ["1.0"]),
+    ("ofl", "font", r"(?:sil )?open font license", ["1.0", "1.1"]),
+    ("ms-pl", "microsoft", r"microsoft public license", None),
+    ("ms-rl", "reciprocal", r"microsoft reciprocal license", None),
     ("openrail", "openrail", r"openrail(?:[+-]{1,2}m)?(?: license)?", None),
     ("vim", "vim", r"vim license", None),
     ("ruby", "ruby", r"ruby license", None),
     ("php", "php", r"php license", ["3.0", "3.01"]),
     ("w3c", "w3c", r"w3c(?: software)?(?: notice and)? license", None),
     ("elastic", "elastic", r"elastic license", ["2.0"]),
-    ("sspl", "server side", r"server side public license", ["1"]),
-    ("busl", "business source", r"business source license", ["1.1"]),
+    ("sspl", "server", r"server side public license", ["1"]),
+    ("busl", "business", r"business source license", ["1.1"]),
 ]
 CREATIVE = ["by", "by-sa", "by-nc", "by-nd", "by-nc-sa", "by-nc-nd"]
 CREATIVE_NAMES = {"by": "attribution", "sa": "share ?alike", "nc": "non-?commercial", "nd": "no ?deriv(?:ative)?s?(?: works)?"}
 CREATIVE_VERSIONS = ["1.0", "2.0", "2.5", "3.0", "4.0"]
 # Texts of licenses and notices, by a sentence of theirs.
 TEXTS = [
-    ("mit", "hereby granted", r"permission is hereby granted, free of charge, to any person obtaining a copy"),
-    ("isc", "permission to use", r"permission to use, copy, modify,? and/?(?:or)? distribute this software for any purpose"),
-    ("bsd", "redistribution and use", r"redistribution and use in source and binary forms, with or without modification"),
-    ("bsd-3-clause", "neither the name", r"neither the names? of .{1,80}? nor the names of (?:its|their) contributors"),
-    ("boost", "boost software", r"permission is hereby granted.{1,60}to any person or organization"),
+    ("mit", "hereby", r"permission is hereby granted, free of charge, to any person obtaining a copy"),
+    ("isc", "permission", r"permission to use, copy, modify,? and/?(?:or)? distribute this software for any purpose"),
+    ("bsd", "redistribution", r"redistribution and use in source and binary forms, with or without modification"),
+    ("bsd-3-clause", "contributors", r"neither the names? of [\s\S]{1,200}? nor the names of (?:its|their) contributors"),
+    ("boost", "hereby", r"permission is hereby granted[\s\S]{1,120}?to any person or organization"),
     ("zlib", "as-is", r"this software is provided 'as-is', without any express or implied warranty"),
     ("unlicense", "unencumbered", r"this is free and unencumbered software released into the public domain"),
-    ("gpl", "free software foundation", r"redistribute it and/or modify it under the terms of the gnu general public license"),
-    ("public-domain", "public domain", r"(?:released|dedicated|placed) (?:in)?to the public domain"),
-    ("public-domain", "public domain", r"in the public domain"),
-    ("cc0", "no rights reserved", r"no rights reserved"),
-    ("reserved", "all rights reserved", r"all rights reserved"),
+    ("gpl", "redistribute", r"redistribute it and/or modify it under the terms of the gnu general public license"),
+    ("public-domain", "domain", r"(?:released|dedicated|placed) (?:in)?to the public domain"),
+    ("public-domain", "domain", r"in the public domain"),
+    ("cc0", "reserved", r"no rights reserved"),
+    ("reserved", "reserved", r"all rights reserved"),
     ("copyright", "copyright", r"copyright (?:\(c\)|©)? ?(?:19|20)\d\d"),
     ("copyright", "©", r"© ?(?:19|20)\d\d"),
     ("proprietary", "proprietary", r"proprietary and confidential"),
-    ("proprietary", "may not be reproduced", r"may not be reproduced (?:in any form )?without (?:prior )?(?:written )?permission"),
-    ("non-commercial", "non-commercial", r"for non-?commercial (?:use|purposes) only"),
+    ("proprietary", "reproduced", r"may not be reproduced (?:in any form )?without (?:prior )?(?:written )?permission"),
+    ("non-commercial", "commercial", r"for non-?commercial (?:use|purposes) only"),
     ("research-only", "research", r"for research (?:use|purposes) only"),
 ]
 
 
+def spaced(expression: str) -> str:
+    """The expression with GAP for its blanks."""
+    for old, new in (("[ -]+", f"(?:{GAP}|-)+"), ("[ -]", f"(?:{GAP}|-)"), ("[- ]", f"(?:{GAP}|-)"), (" ?", f"(?:{GAP})?"), (" ", GAP)):
+        expression = expression.replace(old, new)
+    return expression
+
+
 def rules() -> list[tuple[int, str, str, str, float]]:
     """Priority, keyword, expression, label, weight; the specific come before the general."""
     out = []
     ver = lambda v: v.replace(".", r"\.")
 
     def put(keyword, expression, label, weight):
-        out.append((len(out), keyword, expression, label, weight))
+        out.append((len(out), keyword, spaced(expression), label, weight))
 
     for kind in sorted(CREATIVE, key=lambda k: -len(k)):
         words = "[ -]".join(kind.split("-"))
         name = "-".join(CREATIVE_NAMES[x] for x in kind.split("-")).replace("-non-?", "[ -]+non-?").replace("-share", "[ -]+share").replace("-no ", "[ -]+no ")
         for v in CREATIVE_VERSIONS:
             put("cc", rf"\bcc[ -]{words}[ -]{ver(v)}\b", f"cc-{kind}-{v}", 0.98)
-            put("creative commons", rf"creative commons {name} {ver(v)}", f"cc-{kind}-{v}", 0.98)
+            put("creative", rf"creative commons {name} {ver(v)}", f"cc-{kind}-{v}", 0.98)
             put("creativecommons.org", rf"creativecommons\.org/licenses/{kind}/{ver(v)}", f"cc-{kind}-{v}", 0.99)
         put("cc", rf"\bcc[ -]{words}\b", f"cc-{kind}", 0.9)
-        put("creative commons", rf"creative commons {name}", f"cc-{kind}", 0.9)
+        put("creative", rf"creative commons {name}", f"cc-{kind}", 0.9)
     for v in ("", "1.0"):
         put("cc0", rf"\bcc0{'[ -]' + ver(v) if v else ''}\b", "cc0" + f"-{v}" * bool(v), 0.9)
     put("creativecommons.org", r"creativecommons\.org/publicdomain/zero/1\.0", "cc0-1.0", 0.99)
@@ -145,9 +157,9 @@ def base_places(words: Column, n_words: Column, phrase: str) -> tuple[Column, Co
 def detections(df: DataFrame, text: str, out: str) -> DataFrame:
     """Adds out: the detections (start, stop, rule, label, weight) that aren't suppressed, for lower-cased text (null: none)."""
     kind = "array<struct<start:int,stop:int,rule:int,label:string,weight:double>>"
-    table = F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(k).alias("keyword"), F.lit(x).alias("x"), F.lit(lab).alias("label"), F.lit(w).alias("weight")) for i, k, x, lab, w in RULES])
+    table = F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(k).alias("keyword"), F.lit(ALSO.get(k, "")).alias("also"), F.lit(x).alias("x"), F.lit(lab).alias("label"), F.lit(w).alias("weight")) for i, k, x, lab, w in RULES])
     t = F.col(text)
-    df = df.withColumn("_hits", F.when(t.isNull(), None).otherwise(F.transform(F.filter(table, lambda r: F.contains(t, r["keyword"])), lambda r: F.struct(r["rule"].alias("rule"), r["label"].alias("label"), r["weight"].alias("weight"), F.regexp_extract_all(t, r["x"], F.lit(0)).alias("found"), F.split(t, r["x"], -1).alias("rest")))))
+    df = df.withColumn("_hits", F.when(t.isNull(), None).otherwise(F.transform(F.filter(table, lambda r: F.contains(t, r["keyword"]) & F.contains(t, r["also"])), lambda r: F.struct(r["rule"].alias("rule"), r["label"].alias("label"), r["weight"].alias("weight"), F.regexp_extract_all(t, r["x"], F.lit(0)).alias("found"), F.split(t, r["x"], -1).alias("rest")))))
 
     def spans(h: Column) -> Column:
         start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
@@ -181,7 +193,7 @@ def license_scan(documents: DataFrame, id_col: str = "doc_id", text: str = "text
     low = F.lower("_text")
     d = d.select(id_col, "_text", n.cast("long").alias("n_words"), low.alias("_low"))
     based = reduce(or_, [F.contains("_low", F.lit(p.split()[-1])) & F.contains("_low", F.lit(p.split()[0])) for p in BASE])
-    gated = reduce(or_, [F.contains("_low", F.lit(k)) for k in KEYWORDS])
+    gated = reduce(or_, [F.contains("_low", F.lit(k)) & F.contains("_low", F.lit(ALSO.get(k, ""))) for k in KEYWORDS])
     spaced = F.concat(F.lit(" "), F.trim(F.regexp_replace(lower_ascii(F.col("_text")), not_word, "  ")), F.lit(" "))
     d = d.withColumns({"_spaced": F.when(based, spaced).otherwise(F.lit("")), "_scan": F.when(gated, F.col("_low"))})
     d = detections(d, "_scan", "detections")
