@@ -23,11 +23,14 @@ def worker_cache(name: str, make):
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where it is unset, as in tests, a folder of this process."""
+    """spark.checkpoint.dir of the session. Where it is unset, a session of one machine, as in tests, gets a folder of its own; a
+    cluster raises an error, for its machines wouldn't see each other's folders."""
     global _own
     got = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if got:
         return got.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     if "_own" not in globals():
         _own = tempfile.mkdtemp(prefix="meshq-")
     return f"file://{_own}"
@@ -45,16 +48,48 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Removes tables that materialize has written, when what was made of them is written too and nothing reads them again."""
+    for df in tables:
+        path = getattr(df, "_written_to", None)
+        if path:
+            _delete(df.sparkSession, path)
+            _written.remove((df.sparkSession, path))
+            del df._written_to
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names that no column of df has, in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def all_columns(df: DataFrame) -> list[Column]:
+    """Every column of df, whatever marks its name holds."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
 
 
 @atexit.register
 def _clean() -> None:
     for spark, path in _written:
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001  the session may have ended before
             return
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshq.llm.common import materialize
+from meshq.llm.common import drop, materialize
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -33,7 +33,10 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     mark = lambda t: tuple(t.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     before = mark(e)
     while before[0]:
-        e = materialize(_star(materialize(_star(e, True), name), False), name)
+        large = materialize(_star(e, True), name)
+        drop(e)
+        e = materialize(_star(large, False), name)
+        drop(large)
         now = mark(e)
         if now == before:
             break

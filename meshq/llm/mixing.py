@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meshq.llm.common import materialize, unit, words
+from meshq.llm.common import all_columns, fresh, materialize, unit, words
 
 LEAST_WEIGHT, STEPS = 1e-3, 256
 
@@ -52,7 +52,8 @@ def mix(documents: DataFrame, seed: int = 7, weights: tuple[int, ...] = (1, 2, 3
 def take(d: DataFrame, seed: int = 7, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3) -> DataFrame:
     """d (doc_id, source not null, text_hash, size, weight)."""
     weight = F.when(F.col("weight") > LEAST_WEIGHT, F.col("weight")).otherwise(LEAST_WEIGHT)
-    d = d.withColumn("_key", -F.ln(unit(F.coalesce(F.col("doc_id"), F.lit(-1)), F.lit(seed))) / weight)
+    # Rows without an id are told apart by their texts.
+    d = d.withColumn("_key", -F.ln(F.when(F.col("doc_id").isNull(), unit(F.col("text_hash"), F.lit(seed))).otherwise(unit(F.col("doc_id"), F.lit(seed)))) / weight)
     d = d.withColumn("_part", F.floor(F.log2("_key") * STEPS))
     parts = d.groupBy("source", "_part").agg(F.sum("size").alias("_size"))
     per = targets(parts.groupBy("source").agg(F.sum("_size").alias("source_size")), weights, cap)
@@ -73,18 +74,21 @@ def mixed_documents(documents: DataFrame, seed: int = 7) -> DataFrame:
     A part keeps the first words and what stands between them. The text joins its share by id and hash, so that equal rows
     get equal shares.
     """
-    cols = documents.columns
-    share = mix(documents, seed).withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "text_hash", "size").orderBy(F.desc("taken"))))
-    d = documents.withColumn("_hash", F.xxhash64("text")).withColumn("_size", F.size(words(F.col("text"))).cast("long"))
-    d = d.withColumn("_n2", F.row_number().over(Window.partitionBy("doc_id", "_hash", "_size").orderBy(F.lit(0))))
-    s = share.select(F.col("doc_id").alias("_id"), "text_hash", F.col("size").alias("_s"), "_n", "taken").filter("taken > 0")
-    j = d.join(s, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("text_hash")) & (F.col("_n") == F.col("_n2")))
-    whole, rest = F.floor(F.col("taken") / F.col("_s")).cast("int"), (F.col("taken") % F.col("_s")).cast("int")
+    cols = all_columns(documents)
+    share = mix(documents, seed).withColumn("n", F.row_number().over(Window.partitionBy("doc_id", "text_hash", "size").orderBy(F.desc("taken"))))
+    names = fresh(documents, "text_hash", "size", "n", "share_id", "share_hash", "share_size", "share_n", "taken")
+    mark, size, n, *of_share = names
+    d = documents.withColumn(mark, F.xxhash64("text")).withColumn(size, F.size(words(F.col("text"))).cast("long"))
+    d = d.withColumn(n, F.row_number().over(Window.partitionBy("doc_id", mark, size).orderBy(F.lit(0))))
+    s = share.filter("taken > 0").select(*[F.col(a).alias(b) for a, b in zip(("doc_id", "text_hash", "size", "n", "taken"), of_share, strict=True)])
+    one, its_mark, its_size, its_n, taken = map(F.col, of_share)
+    j = d.join(s, F.col("doc_id").eqNullSafe(one) & (F.col(mark) == its_mark) & (F.col(n) == its_n))
+    whole, rest = F.floor(taken / its_size).cast("int"), (taken % its_size).cast("int")
     starts = F.split("text", r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])", -1)
     blank = F.col("text").rlike(r"^[\x20\x09-\x0D]").cast("int")
     cut = F.rtrim(F.array_join(F.slice(starts, F.lit(1), rest + blank), ""), F.lit(" \t\n\x0b\f\r"))
     texts = F.concat(F.array_repeat(F.col("text"), whole), F.when(rest > 0, F.array(cut)).otherwise(F.array().cast("array<string>")))
     out = j.withColumn("text", F.explode(texts))
-    if "n_chars" in cols:
+    if "n_chars" in documents.columns:
         out = out.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
     return out.select(*cols)
