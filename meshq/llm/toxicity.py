@@ -1,36 +1,44 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-A word is a stem, its first five letters, and an ending. For each class a bigram model gives the ending after its stem and a
-unigram model the stem; both discount counts as modified Kneser-Ney does, and both classes share what they back off to: the continuation
-counts of endings (the distinct stems they follow) and of stems (the distinct endings that follow them), counted over all
-documents, labelled or not. A rare word is thus as suspicious as its stem. A document's figures are length-normalised differences
-of the toxic and the ordinary log-likelihood: over the whole text, over its worst eight words in a row, and over its
-worst two, four and eight words. A logistic curve, fitted on labelled rows that the counts leave out, makes them a score.
+An expression is a word, written as its letters with ORDER - 1 marks before and one after; digits are one letter. For each class a
+model gives every letter after the ORDER - 1 before it, with the discounts of modified Kneser-Ney for counts 1, 2 and 3 or more. Both
+classes back off to the same models of lower orders, whose counts are the distinct letters that precede (continuation counts)
+in the words of all documents, labelled or not, down to an even share for each letter. A rare word is so as suspicious as its parts. A
+letter that neither class has after its context tells nothing: what is new would else count for the class with fewer words.
+
+An expression's log-likelihoods are compared; of one that is longer than LONG letters the difference is scaled to that length. A
+document's figure is its length-normalised likelihood ratio, the logarithm of (1 + sum of the ratios) / (1 + expressions): an even
+mixture over its places, so that a few expressions tell in a long text too. A logistic curve that never falls makes it a score.
 
 Folds by crc32 of the id as text, modulo 5: counts of classes come from 1 to 3, the curve from 4, and 0 is held out. The curve's
-sample is bounded (CURVE_ROWS, by hash of the id); counts have no bound. Words seen once in labelled rows have no entry of their own
-and go by their stem. The tables are broadcast up to MOST_BROADCAST entries and joined by hash beyond, with equal results.
+sample is bounded (CURVE_ROWS, by hash of the id); counts have no bound, and each count has its entry. The table holds what the
+labelled words hold; up to MOST_BROADCAST entries it is broadcast, beyond it is joined, with equal results.
 
-Null text counts as empty; a text without words has all figures 0. Null labels and null ids aren't learned from; of repeated labels
-the largest counts. Without labels of both classes every score is the share of toxic labels (0 without any). An empty table gives
-no rows. Of documents only the id and the text are read, of labels the id and the label.
+Null text counts as empty; a text without words has the figure 0. Texts are read whole, however long; repeated rows and ties have
+equal scores. Null labels and null ids aren't learned from; of repeated labels the largest counts. Without labels of both classes
+every score is the share of toxic labels (0 without any). An empty table gives no rows. Of documents only the id and the text are
+read, of labels the id and the label; other columns, whatever their names, are left alone.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meshq.llm.common import materialize, worker_cache
+from meshq.llm.common import all_columns, fresh, materialize, worker_cache
 
-STEM, LEAST, CURVE_ROWS, MOST_BROADCAST = 5, 2, 50_000, 6_000_000
-MOST_LABELS, SLICE = 2_000_000, 256
-FIGURES = ("mean", "worst2", "worst4", "worst8", "run8", "log_words")
+ORDER, LONG, CURVE_ROWS = 6, 12, 50_000
+MOST_BROADCAST, MOST_LABELS = 4_000_000, 2_000_000
+#: Words that a worker scores at once, and characters of text that it holds at once.
+AT_ONCE, SLICE = 50_000, 4_000_000
+BEGIN, END = "\x02", "\x03"
+MOST = 50.0
 
 
 def words(text: Column) -> Column:
@@ -50,12 +58,28 @@ def with_label(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def count_words(labelled: DataFrame) -> DataFrame:
-    """word, stem and ending as hashes; t and o: the counts of either class. Every word of every document has a row."""
+    """word, and t and o: the counts of either class. Every word of every document has a row."""
     at = fold(F.col("doc_id")).isin(1, 2, 3)
     cls = F.when(at, F.col("toxic"))
-    w = labelled.select((cls == 1).cast("long").alias("t"), (cls == 0).cast("long").alias("o"), F.explode(words(F.col("text"))).alias("w"))
-    n = w.groupBy(F.xxhash64("w").alias("word"), F.hash(F.substring("w", 1, STEM)).alias("stem"), F.hash(F.expr(f"substring(w, {STEM + 1})")).alias("ending"))
-    return n.agg(F.coalesce(F.sum("t"), F.lit(0)).alias("t"), F.coalesce(F.sum("o"), F.lit(0)).alias("o"))
+    w = labelled.select((cls == 1).cast("long").alias("t"), (cls == 0).cast("long").alias("o"), F.explode(words(F.col("text"))).alias("word"))
+    return w.groupBy("word").agg(F.coalesce(F.sum("t"), F.lit(0)).alias("t"), F.coalesce(F.sum("o"), F.lit(0)).alias("o"))
+
+
+def letters(word: Column) -> Column:
+    """The word as the models have it: digits are one letter."""
+    return F.translate(word, "123456789", "000000000")
+
+
+def grams_of(word: Column) -> Column:
+    """The runs of ORDER letters that end at each letter of the word and at its end."""
+    padded = F.concat(F.lit(BEGIN * (ORDER - 1)), word, F.lit(END))
+    return F.transform(F.sequence(F.lit(1), F.length(word) + 1), lambda i: F.substring(padded, i, F.lit(ORDER)))
+
+
+def count_grams(counts: DataFrame) -> DataFrame:
+    """gram, t, o: every run of ORDER letters in the words of all documents."""
+    each = counts.groupBy(letters(F.col("word")).alias("word")).agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
+    return each.select("t", "o", F.explode(grams_of(F.col("word"))).alias("gram")).groupBy("gram").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
 
 
 def discounts(counts: DataFrame, col: str) -> list[float]:
@@ -72,27 +96,51 @@ def _off(col: str, d: list[float]) -> Column:
     return F.when(c <= 0, 0.0).when(c == 1, d[0]).when(c == 2, d[1]).otherwise(d[2])
 
 
-def tables(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(word, value) for words of LEAST or more labelled occurrences, (stem, value) for all other words of a labelled stem:
-    toxic less ordinary log-probability."""
-    d = {c: discounts(counts, c) for c in "to"}
-    stems = counts.groupBy("stem").agg(*[F.sum(c).alias(c) for c in "to"], *[F.sum(_off(c, d[c])).alias(f"off_{c}") for c in "to"], F.count("*").alias("types"))
-    stems = materialize(stems, "stems")
-    # Written first: the join below then has plain exchanges, whose hot ending (none at all) adaptive execution splits.
-    endings = materialize(counts.groupBy("ending").agg(F.count("*").alias("after")), "endings")
-    e = {c: discounts(stems, c) for c in "to"}
-    total = stems.agg(*[F.sum(c).cast("double").alias(c) for c in "to"], *[F.sum(_off(c, e[c])).alias(f"off_{c}") for c in "to"], F.sum("types").cast("double").alias("types")).first()
-    if not total["t"] or not total["o"]:
-        none = counts.filter("false")
-        return none.select("word", F.lit(0.0).alias("value")), none.select("stem", F.lit(0.0).alias("value"))
-    p = {c: (F.col(c) - _off(c, e[c])) / total[c] + total[f"off_{c}"] / total[c] * F.col("types") / total["types"] for c in "to"}
-    back = {c: F.when(F.col(c) > 0, F.col(f"off_{c}") / F.col(c)).otherwise(1.0) for c in "to"}
-    stems = stems.select("stem", *[p[c].alias(f"p_{c}") for c in "to"], *[back[c].alias(f"b_{c}") for c in "to"], *[F.col(c).alias(f"n_{c}") for c in "to"])
-    by_stem = stems.filter("n_t + n_o > 0").select("stem", F.ln(F.col("p_t") * F.col("b_t") / (F.col("p_o") * F.col("b_o"))).alias("value"))
-    w = counts.filter(F.col("t") + F.col("o") >= LEAST).join(stems, "stem").join(endings, "ending")
-    shared = F.col("after") / total["types"]
-    q = {c: F.col(f"p_{c}") * (F.when(F.col(f"n_{c}") > 0, (F.col(c) - _off(c, d[c])) / F.col(f"n_{c}")).otherwise(0.0) + F.col(f"b_{c}") * shared) for c in "to"}
-    return w.select("word", F.ln(q["t"] / q["o"]).alias("value")), by_stem
+def shared_model(grams: DataFrame) -> DataFrame:
+    """gram (ORDER - 1 letters) and p, the probability of its last letter after the others: the model of continuation counts that both
+    classes back off to."""
+    types, by_order = grams.select("gram"), {}
+    for m in range(ORDER - 1, 0, -1):
+        by_order[m] = types = materialize(types.groupBy(F.substring("gram", 2, m).alias("gram")).agg(F.count("*").alias("c")), f"toxic-order{m}")
+    p = None
+    even = 1.0 / (by_order[1].count() + 1)
+    for m in range(1, ORDER):
+        d = discounts(by_order[m], "c")
+        # A window holds the letters that follow one context.
+        w = Window.partitionBy(F.substring("gram", 1, m - 1))
+        c = by_order[m].withColumns({"own": (F.col("c") - _off("c", d)) / F.sum("c").over(w), "back": F.sum(_off("c", d)).over(w) / F.sum("c").over(w)})
+        if p is None:
+            p = c.select("gram", (F.col("own") + F.col("back") * even).alias("p"))
+        else:
+            low = p.select(F.col("gram").alias("low"), F.col("p").alias("below"))
+            p = c.join(low, F.substring("gram", 2, m - 1) == F.col("low")).select("gram", (F.col("own") + F.col("back") * F.col("below")).alias("p"))
+    return p
+
+
+def table(counts: DataFrame) -> DataFrame:
+    """gram and value, for each run of ORDER letters in labelled words: toxic less ordinary log-probability of its last letter."""
+    grams = materialize(count_grams(counts), "toxic-grams")
+    some = grams.agg(F.sum("t"), F.sum("o")).first()
+    if not some[0] or not some[1]:
+        return grams.filter("false").select("gram", F.lit(0.0).alias("value"))
+    d = {c: discounts(grams, c) for c in "to"}
+    seen = grams.filter("t + o > 0").withColumn("context", F.substring("gram", 1, ORDER - 1))
+    per = seen.groupBy("context").agg(*[F.sum(c).alias(f"n_{c}") for c in "to"], *[F.sum(_off(c, d[c])).alias(f"off_{c}") for c in "to"])
+    back = {c: F.when(F.col(f"n_{c}") > 0, F.col(f"off_{c}") / F.col(f"n_{c}")).otherwise(1.0) for c in "to"}
+    per = per.select("context", "n_t", "n_o", back["t"].alias("b_t"), back["o"].alias("b_o"))
+    low = shared_model(grams).select(F.col("gram").alias("low"), "p")
+    j = seen.join(per, "context").join(low, F.substring("gram", 2, ORDER - 1) == F.col("low"))
+    q = {c: F.when(F.col(f"n_{c}") > 0, (F.col(c) - _off(c, d[c])) / F.col(f"n_{c}")).otherwise(0.0) + F.col(f"b_{c}") * F.col("p") for c in "to"}
+    return j.select("gram", F.ln(q["t"] / q["o"]).alias("value"))
+
+
+def codes(texts: list[str]) -> np.ndarray:
+    return np.frombuffer("".join(texts).encode("utf-32-le"), "<u4").astype(np.uint64)
+
+
+def keys_of(symbols: list[np.ndarray]) -> np.ndarray:
+    """A key of each row of symbols."""
+    return reduce(lambda h, c: (h ^ (c + np.uint64(1))) * np.uint64(1099511628211), symbols, np.full(len(symbols[0]), 14695981039346656, np.uint64))
 
 
 @dataclass
@@ -101,112 +149,139 @@ class Lookup:
     values: np.ndarray
 
     @staticmethod
-    def of(df: DataFrame) -> Lookup:
-        t = df.toArrow()
-        keys = t.column(0).to_numpy()
+    def of(grams: DataFrame) -> Lookup:
+        """grams (gram, value), no more than MOST_BROADCAST."""
+        t = grams.toArrow()
+        c = codes(t.column(0).to_pylist()).reshape(-1, ORDER)
+        keys = keys_of([c[:, i] for i in range(ORDER)])
         order = np.argsort(keys, kind="stable")
         return Lookup(keys[order], t.column(1).to_numpy().astype(np.float32)[order])
 
-    def get(self, keys: np.ndarray, other: np.ndarray | float) -> np.ndarray:
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """0 for others."""
         if not len(self.keys):
-            return np.broadcast_to(np.float32(other) if np.isscalar(other) else other, keys.shape)
+            return np.zeros(len(keys))
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.values[at], other)
-
-
-def figures(values: np.ndarray) -> tuple[float, ...]:
-    """Of one document's values, in order."""
-    n = len(values)
-    if not n:
-        return (0.0,) * len(FIGURES)
-    top = np.sort(np.partition(values, n - 8)[n - 8 :] if n > 8 else values)[::-1]
-    worst = [float(top[:k].sum()) / k for k in (2, 4, 8)]
-    sums = np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)])
-    k = min(8, n)
-    return (float(sums[-1] / n), *worst, float((sums[k:] - sums[:-k]).max() / k), float(np.log1p(n)))
-
-
-def with_figures(documents: DataFrame, by_word: DataFrame, by_stem: DataFrame, keys: tuple[str, ...] = ("doc_id",), tables_fit: bool | None = None) -> DataFrame:
-    """documents (keys, text): keys and FIGURES."""
-    out = ", ".join([*(f"`{k}` {documents.schema[k].dataType.simpleString()}" for k in keys), *(f"{f} double" for f in FIGURES)])
-    names, at = [*keys, *FIGURES], len(keys)
-    w = words(F.col("text"))
-    if tables_fit is None:
-        tables_fit = by_word.count() + by_stem.count() <= MOST_BROADCAST
-    if tables_fit:
-        shared = documents.sparkSession.sparkContext.broadcast((Lookup.of(by_word), Lookup.of(by_stem)))
-        d = documents.select(*keys, w.alias("_w")).select(*keys, F.transform("_w", lambda x: F.xxhash64(x)).alias("words"), F.transform("_w", lambda x: F.hash(F.substring(x, 1, STEM))).alias("stems"))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            worker_cache("none", lambda: None)  # frees what another operator keeps
-            in_words, in_stems = shared.value
-            for b in batches:
-                rows = []
-                for i in range(0, b.num_rows, SLICE):  # looked up by slices, which bounds the memory of a batch
-                    w, s = b.column(at).slice(i, SLICE), b.column(at + 1).slice(i, SLICE)
-                    v = in_words.get(w.flatten().to_numpy(zero_copy_only=False), in_stems.get(s.flatten().to_numpy(zero_copy_only=False), 0.0))
-                    ends = np.cumsum(w.value_lengths().to_numpy(zero_copy_only=False))
-                    rows += [figures(x) for x in np.split(v, ends[:-1])]
-                yield pa.RecordBatch.from_arrays([*b.columns[:at], *(pa.array([r[i] for r in rows], pa.float64()) for i in range(len(FIGURES)))], names=names)
-
-        return d.mapInArrow(run, out)
-    d = documents.select(*keys, "text", F.xxhash64("text").alias("_hash"))
-    each = d.dropDuplicates(["_hash"]).select("_hash", F.posexplode(w).alias("pos", "w"))
-    each = each.select("_hash", "pos", F.xxhash64("w").alias("word"), F.hash(F.substring("w", 1, STEM)).alias("stem"))
-    each = each.join(by_word.withColumnRenamed("value", "_a"), "word", "left").join(by_stem.withColumnRenamed("value", "_b"), "stem", "left")
-    lists = each.groupBy("_hash").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("_a", "_b", F.lit(0.0)).cast("float").alias("v")))), lambda s: s["v"]).alias("values"))
-    d = d.select(*keys, "_hash").join(lists, "_hash", "left").select(*keys, "values")
-
-    def run_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return np.where(self.keys[at] == keys, self.values[at], 0).astype(np.float64)
+
+
+def ratios(each: list[str], grams: Lookup) -> np.ndarray:
+    """The log-likelihood difference of each word."""
+    n = np.array([len(w) for w in each], np.int64) + ORDER
+    c = codes([BEGIN * (ORDER - 1) + w + END for w in each])
+    c = np.where((c >= 48) & (c <= 57), np.uint64(48), c)
+    starts = np.cumsum(n) - n
+    ends = np.arange(len(c))[np.arange(len(c)) - np.repeat(starts, n) >= ORDER - 1]
+    v = grams.get(keys_of([c[ends - i] for i in range(ORDER - 1, -1, -1)]))
+    return np.add.reduceat(v, starts - np.arange(len(n)) * (ORDER - 1)) * np.minimum(1.0, LONG / (n - ORDER + 1))
+
+
+def with_figures(documents: DataFrame, grams: DataFrame, keys: tuple[str, ...] = ("doc_id",), table_fits: bool | None = None) -> DataFrame:
+    """documents (keys, text): keys, n_words and ratio, the length-normalised likelihood ratio."""
+    if table_fits is None:
+        table_fits = grams.count() <= MOST_BROADCAST
+    if not table_fits:
+        return joined_figures(documents, grams, keys)
+    out = ", ".join([*(f"`{k}` {documents.schema[k].dataType.simpleString()}" for k in keys), "n_words long, ratio double"])
+    at = len(keys)
+    shared = documents.sparkSession.sparkContext.broadcast(Lookup.of(grams))
+    d = documents.select(*keys, words(F.col("text")).alias("w"))
+
+    def values(flat: pa.Array) -> np.ndarray:
+        """exp of the words' differences; each word of a batch is looked up once."""
+        if not len(flat):
+            return np.zeros(0)
+        coded = flat.dictionary_encode()
+        each = [np.exp(np.minimum(MOST, ratios(coded.dictionary.slice(i, AT_ONCE).to_pylist(), shared.value))) for i in range(0, len(coded.dictionary), AT_ONCE)]
+        return np.concatenate(each)[coded.indices.to_numpy()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("none", lambda: None)  # frees what another operator keeps
         for b in batches:
-            rows = [figures(np.array(x.as_py() or [], np.float32)) for x in b.column(at)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:at], *(pa.array([r[i] for r in rows], pa.float64()) for i in range(len(FIGURES)))], names=names)
-
-    return d.mapInArrow(run_lists, out)
-
-
-def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 0.02, steps: int = 50) -> tuple[list[float], float]:
-    """Weights and offset on the figures; a ridge holds the weights when rows are few."""
+            n = b.column(at).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            # As many rows at once as hold about SLICE characters, which bounds the memory of a batch.
+            size = b.column(at).nbytes // max(1, b.num_rows)
+            step, sums = max(1, SLICE // max(1, size)), []
+            for i in range(0, b.num_rows, step):
+                v = np.r_[0.0, np.cumsum(values(b.column(at).slice(i, step).flatten()))]
+                ends = np.cumsum(n[i : i + step])
+                sums.append(v[ends] - v[ends - n[i : i + step]])
+            total = np.concatenate(sums) if sums else np.zeros(0)
+            ratio = np.log((1 + np.maximum(total, 0.0)) / (1 + n))
+            yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(n), pa.array(ratio)], names=[*keys, "n_words", "ratio"])
+
+    return d.mapInArrow(run, out)
+
+
+def word_ratios(each: DataFrame, grams: DataFrame) -> DataFrame:
+    """each (word, distinct): word and its log-likelihood difference, by joins."""
+    g = each.select("word", F.explode(grams_of(letters(F.col("word")))).alias("gram")).groupBy("word", "gram").agg(F.count("*").alias("c"))
+    g = g.join(grams.withColumnRenamed("value", "x"), "gram", "left")
+    x = F.sum(F.coalesce("x", F.lit(0.0)) * F.col("c")) * F.least(F.lit(1.0), LONG / (F.length("word") + 1))
+    return g.groupBy("word").agg(x.alias("x"))
+
+
+def joined_figures(documents: DataFrame, grams: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """What with_figures gives, for tables of any size: equal texts and equal words are looked up once."""
+    d = documents.select(*keys, "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_text_hash"))
+    each = d.dropDuplicates(["_text_hash"]).select("_text_hash", F.explode(words(F.col("text"))).alias("word")).groupBy("_text_hash", "word").agg(F.count("*").alias("n"))
+    value = word_ratios(each.select("word").distinct(), grams)
+    sums = each.join(value, "word").groupBy("_text_hash").agg(F.sum(F.exp(F.least(F.lit(MOST), F.col("x"))) * F.col("n")).alias("s"), F.sum("n").alias("n"))
+    n = F.coalesce("n", F.lit(0)).cast("long")
+    return d.select(*keys, "_text_hash").join(sums, "_text_hash", "left").select(*keys, n.alias("n_words"), F.ln((1 + F.coalesce("s", F.lit(0.0))) / (1 + n)).alias("ratio"))
+
+
+def bent(x):
+    """From -1 to 1, rising with x."""
+    return x / (1 + abs(x))
+
+
+def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 0.02, steps: int = 60) -> tuple[float, float]:
+    """Slope, 0 or more, and offset on the bent figure; a ridge holds the slope when rows are few."""
     n, ones = len(y), float(y.sum())
+    share = ones / n if n else 0.0
+    level = float(np.log(max(share, 1e-6) / max(1 - share, 1e-6)))
     if not n or ones in (0.0, float(n)):
-        share = ones / n if n else 0.0
-        return [0.0] * len(FIGURES), float(np.log(max(share, 1e-6) / max(1 - share, 1e-6)))
-    mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-9
-    z = np.c_[(x - mean) / spread, np.ones(n)]
-    hold = np.r_[np.full(x.shape[1], ridge), 1e-6]
-    w = np.zeros(z.shape[1])
+        return 0.0, level
+    u = bent(x)
+    mean, spread = u.mean(), u.std() + 1e-9
+    z = np.c_[(u - mean) / spread, np.ones(n)]
+    hold = np.array([ridge, 1e-6])
+    w = np.array([0.0, level])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
         slope = z.T @ (p - y) + hold * w
         bend = (z * (p * (1 - p))[:, None]).T @ z + np.diag(hold)
         step = np.linalg.solve(bend, slope)
         w -= step * min(1.0, 5 / (np.abs(step).max() + 1e-9))
-    a = w[:-1] / spread
-    return a.tolist(), float(w[-1] - a @ mean)
+    if w[0] <= 0:
+        return 0.0, level
+    return float(w[0] / spread), float(w[1] - w[0] * mean / spread)
 
 
 def score(documents: DataFrame, labels: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keys (doc_id among them), held_out, score, predicted, and the figures."""
+    """keys (doc_id among them), held_out, score, predicted, ratio, n_words."""
     labelled = with_label(documents, labels)
     counts = materialize(count_words(labelled), "toxic-words")
-    by_word, by_stem = (materialize(t, "toxic-table") for t in tables(counts))
+    grams = materialize(table(counts), "toxic-table")
     sample = labelled.filter((fold(F.col("doc_id")) == 4) & F.col("toxic").isNotNull()).orderBy(F.xxhash64("doc_id")).select("doc_id").limit(CURVE_ROWS).distinct()
     sample = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id", "left_semi")
     known = labels.filter("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    got = with_figures(sample, by_word, by_stem).join(known, "doc_id").select("toxic", *FIGURES).toArrow()
-    weights, offset = fit_curve(np.stack([got.column(f).to_numpy() for f in FIGURES], axis=1), got.column("toxic").to_numpy().astype(float))
-    f = with_figures(documents, by_word, by_stem, keys)
-    z = F.lit(offset)
-    for name, a in zip(FIGURES, weights, strict=True):
-        z = z + F.col(name) * a
+    got = with_figures(sample, grams).join(known, "doc_id").select("toxic", "ratio").toArrow()
+    slope, offset = fit_curve(got.column("ratio").to_numpy(), got.column("toxic").to_numpy().astype(float))
+    f = with_figures(documents, grams, keys)
+    x = F.col("ratio")
+    z = F.lit(offset) + slope * (x / (1 + F.abs(x)))
     s = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))
-    return f.select(*keys, F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), s.alias("score"), (s >= 0.5).cast("int").alias("predicted"), *FIGURES)
+    return f.select(*keys, F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), s.alias("score"), (s >= 0.5).cast("int").alias("predicted"), "ratio", "n_words")
 
 
 def clean(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that aren't predicted toxic, in the columns of the input."""
-    d = documents.withColumn("_hash", F.xxhash64("text"))
-    rejected = materialize(score(d, labels, ("doc_id", "_hash")).filter("predicted = 1").select("doc_id", "_hash").distinct(), "rejected")
-    r = rejected.select(F.col("doc_id").alias("_id"), F.col("_hash").alias("_h"))
+    mark, one, other = fresh(documents, "text_hash", "rejected_id", "rejected_hash")
+    d = documents.withColumn(mark, F.xxhash64("text"))
+    scored = score(d.select("doc_id", "text", F.col(mark).alias("hash")), labels, ("doc_id", "hash"))
+    rejected = materialize(scored.filter("predicted = 1").select("doc_id", "hash").distinct(), "rejected")
+    r = rejected.select(F.col("doc_id").alias(one), F.col("hash").alias(other))
     r = F.broadcast(r) if rejected.count() <= MOST_LABELS else r
-    return d.join(r, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("_hash").eqNullSafe(F.col("_h")), "left_anti").select(*documents.columns)
+    return d.join(r, F.col("doc_id").eqNullSafe(F.col(one)) & F.col(mark).eqNullSafe(F.col(other)), "left_anti").select(*all_columns(documents))
