@@ -1,14 +1,16 @@
 """Best-fit packing into sequences of a fixed number of tokens.
 
 Documents are tokenized, ended by id 1, and cut into pieces only if they are longer than a sequence. Pieces are then placed by
-bulk-synchronous best fit. Pieces of one length are a run, and so are sequences with one gap; a sweep takes the runs of pieces
-from the longest and matches each with its successors among the gaps, the smallest that hold it. Pieces compete for gaps by their
-rank within the run; gaps are then updated, and the next run follows. A length is at most the sequence's, so the table of
-runs has at most that many rows however many documents there are: the sweeps over it need no rows of documents, which get
-their rank by a two-step count and look their place up. The result is that of best-fit decreasing one by one.
+bulk-synchronous best fit. Pieces of one length are a run, and so are sequences with one gap. In each superstep the runs of a band of
+lengths and the gaps are dealt by ranges of size; every range is swept in descending order, so that each run meets its successors,
+the smallest gaps that hold it, and pieces compete for them by rank. What a range leaves is carried to the gaps of those above, and
+what fits nowhere opens new sequences. Gaps are updated, and supersteps follow until the band is placed; then comes the next band.
+A length is at most the sequence's, so the runs are at most so many however many documents there are: documents only get
+their rank within a run, by a two-step count, and look their place up. There are about as many sequences as best-fit decreasing
+one by one makes; tests compare the two.
 
 Null text counts as empty: a document of the end id alone. Repeated rows are packed each by itself; ties are broken by id, piece and
-checksum. An empty table gives no rows. Only the id and the text are read.
+checksum. Very long texts are read whole. An empty table gives no rows. Only the id and the text are read.
 """
 
 from __future__ import annotations
@@ -16,8 +18,9 @@ from __future__ import annotations
 import os
 import zlib
 from array import array
-from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import reduce
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -99,55 +102,141 @@ def pieces(documents: DataFrame, capacity: int, path: str | None = None) -> Data
     return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def sweep(runs: dict[int, int], capacity: int) -> tuple[np.ndarray, int]:
-    """runs: number of pieces by length. Rows (length, first rank, per sequence, first sequence, offset), sorted: the pieces
-    of a length from that rank on go, so many to a sequence, to the sequences from that number on. Also: how many sequences."""
-    gaps: dict[int, list[tuple[int, int]]] = {}
-    sizes: list[int] = []  # of gaps with sequences, ascending
-    out: list[tuple[int, int, int, int, int]] = []
-    made = 0
-
-    def put(gap: int, base: int, n: int) -> None:
-        if n and gap:
-            if gap not in gaps:
-                gaps[gap] = []
-                insort(sizes, gap)
-            gaps[gap].append((base, n))
-
-    for length in sorted(runs, reverse=True):
-        left, rank = runs[length], 0
-        while left:
-            at = bisect_left(sizes, length)
-            if at < len(sizes):
-                gap = sizes[at]
-                base, n = gaps[gap].pop()
-                if not gaps[gap]:
-                    del gaps[gap], sizes[at]
-            else:
-                gap, base = capacity, made
-                n = -(-left // (capacity // length))
-                made += n
-            each = gap // length
-            full = min(n, left // each)
+#: Rows of the packing's state, and what they hold: a run of pieces (length, first rank, number), sequences with one gap (gap, first
+#: sequence, number), pieces with a place (length, first rank, number, how many to a sequence, first sequence, the gap they went to),
+#: and how many sequences there are.
+STATE = "what int, size long, at long, n long, each long, base long, gap long"
+PIECE, GAP, PLACED, MADE = range(4)
+#: Ranges of sizes that a superstep sweeps by themselves, and bands of lengths: each begins at the stated part of where it ends.
+RANGES, BAND, BANDS = 16, 4, 4
+
+
+def successor_sweep(pieces: list[tuple[int, int, int]], gaps: list[tuple[int, int, int]]) -> tuple[list, list, list]:
+    """pieces (length, rank, n) and gaps (gap, base, n): placed (length, rank, n, each, base, gap), and the pieces and gaps left.
+
+    Both pass by in descending order; gaps wait on a stack, whose top is a piece's successor, the smallest gap that holds it. Pieces of a
+    run take it by their rank. What is left of a gap is smaller than the piece and takes its turn later on."""
+    todo = [(-g, 0, base, n) for g, base, n in gaps] + [(-length, 1, rank, n) for length, rank, n in pieces]
+    heapify(todo)
+    stack, placed, left = [], [], []
+    while todo:
+        size, is_piece, at, n = heappop(todo)
+        size = -size
+        if not is_piece:
+            stack.append((size, at, n))
+            continue
+        while n and stack:
+            gap, base, many = stack.pop()
+            each = gap // size
+            full = min(many, n // each)
             if full:
-                out.append((length, rank, each, base, capacity - gap))
-                put(gap - each * length, base, full)
-                rank, left = rank + full * each, left - full * each
-            if full < n and left:  # fewer than a sequence takes
-                out.append((length, rank, left, base + full, capacity - gap))
-                put(gap - left * length, base + full, 1)
-                left, full = 0, full + 1
-            put(gap, base + full, n - full)
-    return np.array(sorted(out), np.int64).reshape(-1, 5), made
+                placed.append((size, at, full * each, each, base, gap))
+                at, n = at + full * each, n - full * each
+                if gap > each * size:
+                    heappush(todo, (each * size - gap, 0, base, full))
+            if full < many and 0 < n < each:  # fewer than a sequence takes
+                placed.append((size, at, n, n, base + full, gap))
+                if gap > n * size:
+                    heappush(todo, (n * size - gap, 0, base + full, 1))
+                at, n, full = at + n, 0, full + 1
+            if full < many:
+                stack.append((gap, base + full, many - full))
+        if n:
+            left.append((size, at, n))
+    return placed, left, stack
+
+
+def opened(left: list[tuple[int, int, int]], made: int, capacity: int) -> tuple[list, list, list, int]:
+    """New sequences for pieces that no gap holds: placed, left, gaps, and how many sequences there are then. Pieces of one length fill
+    sequences of their own; for those that are too few, as many open as their tokens fill."""
+    placed, rest, gaps, tokens = [], [], [], 0
+    for length, rank, n in left:
+        each = capacity // length
+        full = n // each
+        if full:
+            placed.append((length, rank, full * each, each, made, capacity))
+            if capacity > each * length:
+                gaps.append((capacity - each * length, made, full))
+            made, rank, n = made + full, rank + full * each, n - full * each
+        if n:
+            rest.append((length, rank, n))
+            tokens += n * length
+    if tokens:
+        more = -(-tokens // capacity)
+        gaps.append((capacity, made, more))
+        made += more
+    return placed, rest, gaps, made
+
+
+def _read(t: pa.Table) -> dict[int, list[tuple]]:
+    out: dict[int, list[tuple]] = {PIECE: [], GAP: [], PLACED: [], MADE: []}
+    for what, *row in sorted(zip(*(t.column(c).to_pylist() for c in ("what", "size", "at", "n", "each", "base", "gap")), strict=True)):
+        out[what].append(tuple(row[:3]) if what in (PIECE, GAP) else tuple(row))
+    return out
+
+
+def _rows(placed, pieces, gaps, made: list[int]) -> pa.Table:
+    rows = [(PLACED, *p) for p in placed] + [(PIECE, *p, 0, 0, 0) for p in pieces] + [(GAP, *g, 0, 0, 0) for g in gaps] + [(MADE, 0, m, 0, 0, 0, 0) for m in made]
+    names = ("what", "size", "at", "n", "each", "base", "gap")
+    return pa.table({c: pa.array([r[i] for r in rows], pa.int32() if c == "what" else pa.int64()) for i, c in enumerate(names)})
+
+
+def superstep(state: DataFrame, low: int, capacity: int) -> DataFrame:
+    """state: rows of STATE, the pieces those of one band, all longer than low. Each range of sizes is swept by itself; then what it
+    leaves meets the gaps of the ranges above, and new sequences open for pieces that fit nowhere. All rows are runs, whose number the
+    capacity bounds whatever the corpus holds."""
+    width = max(1, capacity // RANGES)
+
+    def within(t: pa.Table) -> pa.Table:
+        r = _read(t)
+        if not r[PIECE]:
+            return t.select(["what", "size", "at", "n", "each", "base", "gap"])
+        placed, left, gaps = successor_sweep(r[PIECE], r[GAP])
+        return _rows(r[PLACED] + placed, left, gaps, [m[1] for m in r[MADE]])
+
+    def across(t: pa.Table) -> pa.Table:
+        r = _read(t)
+        made = max((m[1] for m in r[MADE]), default=0)
+        small = [g for g in r[GAP] if g[0] <= low]
+        placed, left, gaps = successor_sweep(r[PIECE], [g for g in r[GAP] if g[0] > low])
+        more, left, new, made = opened(left, made, capacity)
+        return _rows(r[PLACED] + placed + more, left, small + gaps + new, [made])
+
+    part = F.when(F.col("what").isin(PIECE, GAP), F.floor(F.col("size") / width)).otherwise(-1)
+    each = state.withColumn("part", part).groupBy("part").applyInArrow(within, STATE)
+    return each.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(across, STATE)
+
+
+def packing_plan(runs: DataFrame, capacity: int) -> DataFrame:
+    """runs (length, n): the rows of STATE that place all pieces. Bands of lengths follow one another, the longest first; within
+    a band supersteps are repeated until every piece has a place."""
+    spark, done = runs.sparkSession, []
+    state = spark.createDataFrame([(MADE, 0, 0, 0, 0, 0, 0)], STATE)
+    high = capacity
+    for band in range(BANDS):
+        low = high // BAND if band < BANDS - 1 else 0
+        zero = F.lit(0).cast("long")
+        mine = runs.filter((F.col("length") > low) & (F.col("length") <= high)).select(F.lit(PIECE).alias("what"), F.col("length").alias("size"), zero.alias("at"), "n", zero.alias("each"), zero.alias("base"), zero.alias("gap"))
+        state = state.unionByName(mine)
+        while state.filter(F.col("what") == PIECE).limit(1).count():
+            got = materialize(superstep(state, low, capacity), "packing-step")
+            done.append(got.filter(F.col("what") == PLACED))
+            state = got.filter(F.col("what") != PLACED)
+        high = low
+    return reduce(DataFrame.unionByName, done) if done else state.filter("false")
 
 
 def pack(documents: DataFrame, capacity: int = 4096, path: str | None = None, rows_each: int = 20_000) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     p = materialize(pieces(documents, capacity, path), "pieces")
-    runs = {r["length"]: r["count"] for r in p.groupBy("length").count().collect()}  # at most capacity rows
-    plan, _ = sweep(runs, capacity)
+    runs = materialize(p.groupBy("length").agg(F.count("*").alias("n")), "packing-runs")  # at most capacity rows
+    found = packing_plan(runs, capacity).select("size", "at", "each", "base", "gap").toArrow()
+    plan = np.stack([c.to_numpy() for c in found.columns], axis=1).reshape(-1, 5)
+    plan[:, 4] = capacity - plan[:, 4]
+    plan = plan[np.lexsort((plan[:, 1], plan[:, 0]))]
+    total = runs.agg(F.sum("n")).first()[0] or 0
     # The rank within a length: a count of the parts before, and a count within the part.
-    parts = max(16, sum(runs.values()) // rows_each)
+    parts = max(16, total // rows_each)
     p = p.withColumn("_part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts)))
     before = F.sum("_n").over(Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
     base = p.groupBy("length", "_part").agg(F.count("*").alias("_n")).select("length", "_part", F.coalesce(before, F.lit(0)).alias("_base"))
