@@ -6,13 +6,19 @@ distinct characters, the share that dictionary words cover, whether it looks lik
 trained on labelled findings: TRAINING lines made from a seed, each a template whose value is known to be a secret
 or not, scanned like any text.
 
-Only DataFrame functions and JVM learners are used. Null and empty texts have no candidates. Findings are counted from 0 in code points; repeated
-rows are each scanned by themselves, with equal results; an empty table gives no rows. Only the id and the text are read.
+The dictionary is the whole words of a public tokenizer's vocabulary, read from its file.
+
+Only DataFrame functions and JVM learners are used. Null and empty texts have no candidates. No length is bounded: texts are scanned
+whole, and a value of any length is found, scored and blanked whole. Findings are counted from 0 in code points; of patterns that
+match at one place the first kind wins, and found places never overlap. Repeated rows are each scanned by themselves, with equal
+results; an empty table gives no rows. Only the id and the text are read; redact gives all other columns back, whatever their names.
 """
 
 from __future__ import annotations
 
+import json
 import random
+import re
 import uuid
 from functools import lru_cache
 
@@ -22,11 +28,14 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meshq.llm.common import all_columns, fresh
+from meshq.llm.tokens import vocabulary_path
+
 TRAINING, SEED, TREES, DEPTH, AROUND = 4000, 11, 24, 7, 48
 
 # A private key: through its END line or, if five other dashes or none follow, through headers and base64 to the last line of nothing else.
 PRIVATE_KEY = (
-    r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----(?:(?s:(?!-----).)*+-----END [A-Z0-9 ]{0,60}-----"
+    r"-----BEGIN (?:(?!PRIVATE KEY)[A-Z0-9]++ )*+PRIVATE KEY(?: BLOCK)?-----(?:(?s:(?!-----).)*+-----END [A-Z0-9 ]*+-----"
     r"|(?:\s*+(?:Proc-Type|DEK-Info|Version|Comment|Hash|Charset):[^\r\n]*+)*+"
     r"(?:(?:\s|\\[nrt]|[\"'+,>#*|])*+[A-Za-z0-9+/]{16,}+={0,2}+)*+"
     r"(?:(?:\r?\n|(?:\\r)?\\n)[\x20\t>#*|]*+[A-Za-z0-9+/]++={0,2}+(?=[\x20\t\"',]*+(?:[\r\n]|\\[nr]|\z)))*+)"
@@ -34,11 +43,11 @@ PRIVATE_KEY = (
 # Candidate kinds in order of precedence: name, expression. A group "v" isn't used: what is quoted or assigned is cut off later.
 KINDS = [
     ("private-key", PRIVATE_KEY),
-    ("cloud-key", r"\b(?:AKIA|ASIA|AROA|AIDA)[A-Z0-9]{12,20}\b"),
+    ("cloud-key", r"\b(?:AKIA|ASIA|AROA|AIDA)[A-Z0-9]{12,}+\b"),
     ("service-token", r"\b(?:gh[pousr]_[A-Za-z0-9]{20,}|xox[abeprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9_-]{16,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{30,}|glpat-[A-Za-z0-9_-]{16,})"),
     ("signed-token", r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     ("assignment", r"(?i:(?<![a-z0-9_.-])[a-z0-9_.-]*?(?:password|passwd|pwd|passphrase|token|secret|api[_-]?key|access[_-]?key|auth[_-]?key|credential)[a-z0-9_-]*+[\"']?[\x20\t]{0,3}(?::=|=>|[:=])[\x20\t]{0,3})[\"']?+(?![=>]?-----BEGIN )[^\s\"',;]{6,}+"),
-    ("connection", r"\b[a-z][a-z0-9+.-]{1,20}://[^\s:/@\"']++:[^\s:/@\"']{4,}+@"),
+    ("connection", r"(?<![A-Za-z0-9+.-])[a-z][a-z0-9+.-]++://[^\s:/@\"']++:[^\s:/@\"']{4,}+@"),
     ("mixed", r"(?<![A-Za-z0-9+/_=.@-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{20,}+(?![A-Za-z0-9+/_=.@-])"),
 ]
 ANY = "|".join(f"(?:{x})" for _, x in KINDS)
@@ -46,13 +55,27 @@ ANY = "|".join(f"(?:{x})" for _, x in KINDS)
 MARKS = ["BEGIN", "AKIA", "ASIA", "AROA", "AIDA", "_", "-", ":", "=", "eyJ", "AIza"]
 TELLING = "password passwd pwd token secret key credential auth login apikey private access passphrase bearer"
 HARMLESS = "example sample test dummy checksum sha1 sha256 md5 commit uuid guid hash digest revision build version id isbn order invoice etag serial card figure"
-DICTIONARY = (
-    "password passwd token secret example sample test dummy change changeme your here insert placeholder default none null admin user name login value string enter none true false key this that with from "
-    "about after again because before between could every first great house large little never other people place right small sound still their there these thing think three under water where which world would "
-    "international information development government university application configuration environment production service server client public private internal document project version release number account "
-    "please replace todo hidden required optional empty unknown redacted"
-).split()
-FEATURES = ["length", "digits", "upper", "lower", "other", "distinct", "changes", "covered", "path", "before", "before_harmless", "after", "hex", "repeated", "prefixed", "assigned"]
+#: Words of stand-ins, as no list of words has them.
+STAND_INS = "passwd changeme placeholder todo redacted dummy xxxx asdf qwerty foobar yourtoken notsecret".split()
+FEATURES = ["length", "digits", "upper", "lower", "other", "distinct", "changes", "covered", "stand_in", "path", "before", "before_harmless", "after", "hex", "repeated", "prefixed", "assigned"]
+
+
+@lru_cache(maxsize=4)
+def dictionary(path: str | None = None, least: int = 3) -> tuple[str, ...]:
+    """The words, of plain letters and that many at least, that a public tokenizer's vocabulary holds whole; their number is the file's."""
+    with open(path or vocabulary_path(), encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    end = model["end_of_word_suffix"]
+    return tuple(sorted({v.removesuffix(end) for v in model["vocab"] if v.endswith(end) and re.fullmatch(rf"[a-z]{{{least},}}", v.removesuffix(end))}))
+
+
+def covered(value: str, path: str | None = None) -> Column:
+    """The share of a column's letters and digits that words of the dictionary cover: runs of letters, cut where a small letter meets a
+    capital. The words are one set of literals, sought by hash."""
+    known = ", ".join(f"'{w}'" for w in dictionary(path))
+    runs = f"transform(split(regexp_replace({value}, '([a-z])([A-Z])', '$1 $2'), '[^A-Za-z]+'), x -> lower(x))"
+    total = F.expr(f"aggregate(filter({runs}, x -> x in ({known})), 0, (a, x) -> a + length(x))")
+    return total / F.greatest(F.length(F.regexp_replace(value, "[^A-Za-z0-9]", "")), F.lit(1))
 
 
 def spans(df: DataFrame, text: str, out: str) -> DataFrame:
@@ -95,11 +118,11 @@ def with_features(d: DataFrame) -> DataFrame:
     coded = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(v, "[^A-Za-z0-9]", "~"), "[0-9]", "0"), "[A-Z]", "1"), "[a-z]", "a")
     runs = F.length(F.regexp_replace(coded, r"(.)\1+", "$1"))
     has = lambda col, words: F.lower(F.col(col)).rlike("(?:" + "|".join(words.split()) + ")").cast("double")
-    covered = (n - F.length(F.regexp_replace(F.lower(v), "|".join(sorted(DICTIONARY, key=lambda w: (-len(w), w))), ""))) / n
+    stand_in = F.lower(v).rlike("(?:" + "|".join(STAND_INS) + "|example|sample|your|insert|replace|getenv|environ)").cast("double")
     path = (F.size(F.split(v, r"[/\\.]")) - 1) / n + F.endswith(F.col("before"), F.lit("/")).cast("double")
     return d.withColumns({
-        "f_length": F.least(n, F.lit(100)).cast("double"), "f_digits": share("[0-9]"), "f_upper": share("[A-Z]"), "f_lower": share("[a-z]"), "f_other": share("[^A-Za-z0-9]"),
-        "f_distinct": F.size(F.array_distinct(F.split(F.substring(v, 1, 100), ""))) / F.least(n, F.lit(40)), "f_changes": (runs - 1) / n, "f_covered": covered, "f_path": path,
+        "f_length": F.log2(n), "f_digits": share("[0-9]"), "f_upper": share("[A-Z]"), "f_lower": share("[a-z]"), "f_other": share("[^A-Za-z0-9]"),
+        "f_distinct": F.size(F.array_distinct(F.split(v, ""))) / F.least(n, F.lit(40)), "f_changes": (runs - 1) / n, "f_covered": covered("value"), "f_stand_in": stand_in, "f_path": path,
         "f_before": has("before", TELLING), "f_before_harmless": has("before", HARMLESS), "f_after": has("after", HARMLESS), "f_hex": F.lower(v).rlike("^[0-9a-f]+$").cast("double"),
         "f_repeated": (n - F.length(F.regexp_replace(v, r"(.)\1+", "$1"))) / n, "f_prefixed": F.col("kind").isin("private-key", "cloud-key", "service-token", "signed-token").cast("double"), "f_assigned": F.col("kind").isin("assignment", "connection").cast("double"),
     })
@@ -109,6 +132,7 @@ def with_features(d: DataFrame) -> DataFrame:
 def training_lines(n: int = TRAINING, seed: int = SEED) -> list[tuple[int, str, int]]:
     """id, line, and whether its value is a secret (1) or not (0); half each."""
     r = random.Random(seed)
+    plain = [w for w in dictionary() if 4 <= len(w) <= 9]
     low, up, dig = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
     pick = lambda chars, k: "".join(r.choice(chars) for _ in range(k))
     syllables = ["an", "er", "in", "th", "on", "ed", "re", "ou", "st", "en", "la", "de", "que", "ion", "ver", "ge", "do", "ci"]
@@ -130,7 +154,7 @@ def training_lines(n: int = TRAINING, seed: int = SEED) -> list[tuple[int, str,
         lambda: f"{r.choice(['postgres', 'mysql', 'https', 'amqp'])}://{pick(low, 6)}:{pick(low + up + dig, r.randint(10, 20))}@{pick(low, 8)}.example.net/x",
         lambda: f"{r.choice(['bearer', 'token', 'secret', 'private key'])} {pick(low + up + dig, r.randint(32, 64))}",
     ]
-    word = lambda: r.choice(DICTIONARY)
+    word = lambda: r.choice(plain)
     harmless = [
         lambda: f"{r.choice(['sha256', 'md5', 'checksum', 'digest', 'commit', 'etag', 'hash', 'revision'])}{r.choice([' ', ': ', '='])}{pick('abcdef' + dig, r.choice([32, 40, 64]))}",
         lambda: f"{r.choice(['uuid', 'id', 'guid'])} {uuid.UUID(int=r.getrandbits(128))}",
@@ -181,19 +205,18 @@ def scan(df: DataFrame, keys: list[str], text: str = "text", model: RandomForest
     return got.select(*keys, "kind", "start", "length", "value", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def redact(documents: DataFrame, mark: str = "[secret]") -> DataFrame:
+def redact(documents: DataFrame, mark_text: str = "[secret]") -> DataFrame:
     """documents with every predicted secret's value replaced, in the columns of the input; n_chars follows, if there is one."""
-    cols = documents.columns
-    d = documents.withColumn("_hash", F.xxhash64("text"))
-    hit = scan(d, ["doc_id", "_hash"]).filter("predicted = 1")
-    by_doc = hit.groupBy("doc_id", "_hash").agg(F.sort_array(F.collect_set(F.struct("start", "length"))).alias("_cuts"))
-    by_doc = by_doc.select(F.col("doc_id").alias("_id"), F.col("_hash").alias("_h"), "_cuts")
-    j = d.join(by_doc, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h")), "left")
-    t = F.col("text")
+    mark, one, other, cuts = fresh(documents, "text_hash", "found_id", "found_hash", "cuts")
+    d = documents.withColumn(mark, F.xxhash64("text"))
+    hit = scan(d.select("doc_id", "text", F.col(mark).alias("hash")), ["doc_id", "hash"]).filter("predicted = 1")
+    by_doc = hit.groupBy(F.col("doc_id").alias(one), F.col("hash").alias(other)).agg(F.sort_array(F.collect_set(F.struct("start", "length"))).alias(cuts))
+    j = d.join(by_doc, F.col("doc_id").eqNullSafe(F.col(one)) & (F.col(mark) == F.col(other)), "left")
+    t, found = F.col("text"), F.col(cuts)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    step = lambda a, c: F.struct((c["start"] + c["length"]).alias("at"), F.concat(a["out"], F.substring(t, a["at"] + 1, c["start"] - a["at"]), F.lit(mark)).alias("out"))
-    cut = F.aggregate("_cuts", start, step, lambda a: F.concat(a["out"], F.substring(t, a["at"] + 1, F.length(t))))
-    out = j.withColumn("text", F.when(F.col("_cuts").isNotNull(), cut).otherwise(t))
-    if "n_chars" in cols:
-        out = out.withColumn("n_chars", F.when(F.col("_cuts").isNotNull(), F.length("text").cast(documents.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*cols)
+    step = lambda a, c: F.struct((c["start"] + c["length"]).alias("at"), F.concat(a["out"], F.substring(t, a["at"] + 1, c["start"] - a["at"]), F.lit(mark_text)).alias("out"))
+    cut = F.aggregate(found, start, step, lambda a: F.concat(a["out"], F.substring(t, a["at"] + 1, F.length(t))))
+    out = j.withColumn("text", F.when(found.isNotNull(), cut).otherwise(t))
+    if "n_chars" in documents.columns:
+        out = out.withColumn("n_chars", F.when(found.isNotNull(), F.length("text").cast(documents.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*all_columns(documents))
