@@ -23,10 +23,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meshq.llm.common import materialize, words
+from meshq.llm.common import all_columns, drop, fresh, materialize
 from meshq.llm.components import components
-from meshq.llm.fingerprints import BINS, ONES, likeness, with_fingerprint
-from meshq.llm.fingerprints import shingle_hashes as native_shingles
 
 SEED = 42
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
@@ -182,42 +180,82 @@ def classes(documents: DataFrame, id_col: str = "doc_id", text: str = "text", sh
     return fps.join(by_fp, "fp").select(id_col, "fp", "component_id")
 
 
-# Near duplicates by shingle similarity. Two sets that are similar enough share one of the first n - ceil(similarity * n) + 1 of the
-# n shingles of each, in any one order of all shingles: texts are filed under these, so that every link shares a key, however the
-# words that differ lie.
+# Near duplicates by shingle similarity. Texts whose fingerprints the Golay keys link are compared first; an exact path finds the rest: two
+# sets that are similar enough share one of the first n - ceil(similarity * n) + 1 of the n shingles of each, in any one order of all
+# shingles. Texts are filed under these, so that every link shares a key, however the words that differ lie.
 #: A shingle is common if so many texts, or the stated part of all texts, are filed under it; common ones come last in the order.
 COMMON, COMMON_PART = 16, 4000
 #: The exact join begins when it compares at most so many pairs for each row filed, or when pivots no longer halve their number.
 PAIRS_EACH = 64
-#: Bits of a parity sketch.
-PARITY = 512
-#: How many standard errors a fingerprint's estimate may fall short; an error is at most 0.5 by the root of the filled bins.
-ERRORS = 4
+#: Bits of a parity sketch of a text of up to PARITY_FOR shingles; twice as many for each doubling beyond.
+PARITY, PARITY_FOR = 512, 1024
 #: Texts up to this number are picked by a broadcast of their hashes (about 100 bytes each); beyond, by a join on them.
 MOST_BROADCAST = 100_000
 
 
-def with_shingles(df: DataFrame, text: str, out: str, n: int) -> DataFrame:
-    """Adds out: the distinct hashes of the shingles. The words are a column of their own, so that they aren't split for each shingle."""
-    df = df.withColumn("_words", words(F.lower(F.col(text))))
-    return df.withColumn(out, F.array_distinct(native_shingles(F.col("_words"), n))).drop("_words")
+def shingle_set(text: bytes, n: int) -> tuple[list[int], np.ndarray]:
+    """The hashes of all shingles, and the distinct ones in ascending order."""
+    each = shingle_hashes(text, n)
+    return each, np.unique(np.array(each, dtype="<u8").view(np.int64))
+
+
+def parity_of(known: np.ndarray) -> np.ndarray:
+    """Whether each bin of hashes holds an odd number, as longs. The bins in which two sets differ, once the longer sketch is folded to the
+    shorter, are never more than the shingles that only one of them holds."""
+    bins = PARITY << max(0, int(np.ceil(np.log2(max(1, len(known)) / PARITY_FOR))))
+    odd = np.bincount(known & (bins - 1), minlength=bins) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def prefix_size(n, similarity: float):
+    return np.minimum(n, n - np.ceil(n * similarity - 1e-9).astype(np.int64) + 1)
+
+
+def sketches(documents: DataFrame, id_col: str, text: str, shingle: int, similarity: float) -> DataFrame:
+    """id, hash of the text, fp (the fingerprint), n distinct shingles, prefix and parity, of the text in lower case."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    d = documents.select(F.col(id_col).alias("id"), F.md5(t).alias("hash"), F.lower(t).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp, n, prefix, parity = [], [], [], []
+            for x in b.column(2).cast(pa.binary()):
+                each, known = shingle_set(x.as_py(), shingle)
+                fp.append(majority(each))
+                n.append(len(known))
+                prefix.append(known[: prefix_size(np.int64(len(known)), similarity)] if len(known) else known)
+                parity.append(parity_of(known))
+            lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, c)]).astype(np.int32)), pa.array(np.concatenate(c) if c else np.zeros(0, np.int64))) for c in (prefix, parity)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(fp, dtype=np.uint64).view(np.int64)), pa.array(n, pa.int32()), *lists], names=["id", "hash", "fp", "n", "prefix", "parity"])
+
+    return d.mapInArrow(run, f"id {d.schema['id'].dataType.simpleString()}, hash string, fp long, n int, prefix array<long>, parity array<long>")
 
 
 def sets_of(documents: DataFrame, texts: DataFrame, nodes: DataFrame, id_col: str, text: str, shingle: int) -> DataFrame:
     """node and set, the distinct shingle hashes, of those nodes."""
-    wanted = materialize(texts.select("node", "id", "hash").join(nodes, "node"), "near-wanted").select(F.col("node").alias("_node"), F.col("id").alias("_id"), F.col("hash").alias("_hash"))
-    few = wanted.count() <= MOST_BROADCAST
-    d = documents.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    d = d.join(F.broadcast(wanted) if few else wanted, (F.col("id") == F.col("_id")) & (F.md5("text") == F.col("_hash")))
-    sets = with_shingles(d, "text", "set", shingle).select(F.col("_node").alias("node"), "set").groupBy("node").agg(F.first("set").alias("set"))
-    return materialize(sets, "near-sets")
+    wanted = materialize(texts.select("node", "id", "hash").join(nodes, "node"), "near-wanted")
+    w = wanted.select(F.col("node").alias("_node"), F.col("id").alias("_id"), F.col("hash").alias("_hash"))
+    t = F.coalesce(F.col(text), F.lit(""))
+    d = documents.select(F.col(id_col).alias("id"), t.alias("text"))
+    d = d.join(F.broadcast(w) if w.count() <= MOST_BROADCAST else w, (F.col("id") == F.col("_id")) & (F.md5("text") == F.col("_hash")))
+    d = d.select(F.col("_node").alias("node"), F.lower("text").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(x.as_py(), shingle)[1] for x in b.column(1).cast(pa.binary())]
+            flat = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]).astype(np.int32)), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(0), flat], names=["node", "set"])
+
+    out = materialize(d.mapInArrow(run, "node long, set array<long>").groupBy("node").agg(F.first("set").alias("set")), "near-sets")
+    drop(wanted)
+    return out
 
 
 def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Those pairs (a, b) of nodes whose sets have the Jaccard similarity."""
     j = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
     both = j.select("a", "b", F.size("x").alias("x"), F.size("y").alias("y"), F.size(F.array_intersect("x", "y")).alias("both"))
-    return both.filter(F.col("both") >= similarity * (F.col("x") + F.col("y") - F.col("both"))).select("a", "b")
+    return both.filter(F.col("both") >= similarity * (F.col("x") + F.col("y") - F.col("both")) - 1e-9).select("a", "b")
 
 
 def with_nodes(texts: DataFrame) -> DataFrame:
@@ -230,10 +268,6 @@ def with_nodes(texts: DataFrame) -> DataFrame:
         salt += 1
 
 
-def prefix_size(n: Column, similarity: float) -> Column:
-    return (n - F.ceil(n * similarity - 1e-9) + 1).cast("int")
-
-
 def with_rare_prefixes(documents: DataFrame, texts: DataFrame, id_col: str, text: str, shingle: int, similarity: float) -> DataFrame:
     """texts with the prefixes in the order of how many texts are filed under a shingle, if it is common, and then by hash. Prefixes
     without common shingles are the same in both orders. The number of common ones follows the mean size of a prefix, not the rows."""
@@ -254,23 +288,33 @@ def with_rare_prefixes(documents: DataFrame, texts: DataFrame, id_col: str, text
             at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
             row = np.repeat(np.arange(len(each)), each)
             by = np.lexsort((flat, np.where(known[at] == flat, counts[at], 0), row))
-            size = np.minimum(each, each - np.ceil(each * similarity - 1e-9).astype(np.int64) + 1)
+            size = prefix_size(each, similarity)
             first = np.arange(len(flat)) - np.repeat(np.cumsum(each) - each, each) < size[row]
             offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat[by][first]))], names=["node", "rare"])
 
     rare = sets.select("node", "set").mapInArrow(run, "node long, rare array<long>")
-    return materialize(texts.join(rare, "node", "left").withColumn("prefix", F.coalesce("rare", "prefix")).drop("rare"), "near-rare")
+    out = materialize(texts.join(rare, "node", "left").withColumn("prefix", F.coalesce("rare", "prefix")).drop("rare"), "near-rare")
+    drop(sets, common)
+    return out
+
+
+def code_pairs(texts: DataFrame) -> DataFrame:
+    """a and b, distinct: each text with the least of its fingerprint, and the least of each two fingerprints that Golay keys link."""
+    fps = materialize(texts.filter("n > 0").groupBy("fp").agg(F.min("node").alias("rep")), "near-fps")
+    own = texts.filter("n > 0").join(fps, "fp").filter("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+    side = lambda x: fps.select(F.col("fp").alias(f"f{x}"), F.col("rep").alias(x))
+    near = links(fps).select(F.col("a").alias("fa"), F.col("b").alias("fb")).join(side("a"), "fa").join(side("b"), "fb")
+    return own.unionByName(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
 
 
 def shared_keys(texts: DataFrame) -> DataFrame:
-    """key, node, n, bits, pivot: texts under the shingles of their prefixes, if others stand there too; the least node
-    is the pivot. Keys are grouped by map-side least and greatest nodes, and a hot key's rows are split by adaptive execution."""
-    one_in_four = [F.shiftleft(F.get("sig", F.lit(i)).bitwiseAND(F.lit(ONES).cast("bigint")), i) for i in range(4)]
-    bits = one_in_four[0].bitwiseOR(one_in_four[1]).bitwiseOR(one_in_four[2]).bitwiseOR(one_in_four[3])
-    filed = texts.select("node", F.explode("prefix").alias("key"))
+    """key, node, n, at (the key's place in the node's order), pivot: texts under the shingles of their prefixes, if others stand there
+    too; the least node is the pivot. Keys are grouped by map-side least and greatest nodes, and a hot key's rows are split by
+    adaptive execution."""
+    filed = texts.select("node", "n", F.posexplode("prefix").alias("at", "key"))
     several = filed.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).filter("pivot < last").drop("last")
-    return filed.join(several, "key").join(texts.filter(F.size("sig") > 0).select("node", "n", bits.alias("bits")), "node")
+    return filed.join(several, "key")
 
 
 def across_classes(shared: DataFrame, linked: DataFrame) -> DataFrame:
@@ -280,13 +324,6 @@ def across_classes(shared: DataFrame, linked: DataFrame) -> DataFrame:
     return rooted.join(several, "key", "left_semi")
 
 
-def with_parity(shared: DataFrame, sets: DataFrame) -> DataFrame:
-    """Adds parity: for each of 512 bins, whether it holds an odd number of the node's shingles. The bins in which two nodes differ are
-    never more than the shingles that only one of them holds."""
-    one = lambda p: F.aggregate(F.filter("set", lambda h: F.pmod(F.shiftright(h, 6), F.lit(PARITY // 64)) == p), F.lit(0).cast("bigint"), lambda acc, h: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), h.bitwiseAND(F.lit(63).cast("bigint")).cast("int"))))
-    return shared.join(sets.select("node", F.array(*[one(p) for p in range(PARITY // 64)]).alias("parity")), "node")
-
-
 def pairs_left(rooted: DataFrame) -> tuple[int, int]:
     """How many rows there are, and how many pairs of different classes stand under their keys."""
     each = rooted.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("m"), F.sum(F.col("c").cast("decimal(38,0)") * F.col("c")).alias("own"))
@@ -302,100 +339,113 @@ def pivot_pairs(rooted: DataFrame, turn: int) -> DataFrame:
     return j.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
 
 
-def _likely(similarity: float) -> tuple[list[Column], list[Column], Column]:
-    """The columns of two sides of a join on key, and whether nodes of different classes may be similar: by 64 bits of the
-    fingerprints, and by the numbers of shingles."""
-    x = ["key", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("bits").alias("xa")]
-    y = ["key", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("bits").alias("xb")]
-    n = F.least("na", "nb").cast("double")
-    # Unlike shingles differ in half the bits. A bit's error is at most 0.3 where a tenth differ; bins filled from others repeat it.
-    most = 64 * ((1 - similarity) / 2 + ERRORS * 0.3 / F.sqrt(F.least(F.lit(64.0), BINS * (1 - F.exp(-n / BINS)))))
-    near = (F.bit_count(F.col("xa").bitwiseXOR(F.col("xb"))) <= most) & (n >= similarity * F.greatest("na", "nb") * 0.99)
-    return x, y, near & (F.col("ra") != F.col("rb"))
+def _folded(p: Column, n: Column) -> Column:
+    """A sketch as long as n, where it is twice as long."""
+    half = (F.size(p) / 2).cast("int")
+    return F.when(F.size(p) > n, F.zip_with(F.slice(p, F.lit(1), half), F.slice(p, half + 1, half), lambda x, y: x.bitwiseXOR(y))).otherwise(p)
+
+
+def _possible(similarity: float) -> Column:
+    """Whether sets of na and nb shingles with parities pa and pb may have the similarity: bounds, which rule out no link."""
+    odd = F.aggregate(F.zip_with(_folded(F.col("pa"), F.size("pb")), _folded(F.col("pb"), F.size("pa")), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda acc, c: acc + c)
+    enough = odd * (1 + similarity) <= (1 - similarity) * (F.col("na") + F.col("nb")) + 1e-6
+    return (F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-6) & enough
+
 
+def _sides(similarity: float) -> tuple[list[Column], list[Column], Column]:
+    """The columns of two sides of a join on key, and whether nodes of different classes may be similar. Of a pair's first common
+    shingle, at places ia and ib of their orders, the sets share no more than stands from there on; for its later ones this may fail."""
+    x, y = (["key", *(F.col(c).alias(f"{t}{s}") for c, t in (("node", ""), ("root", "r"), ("n", "n"), ("at", "i"), ("parity", "p")))] for s in "ab")
+    need = similarity / (1 + similarity) * (F.col("na") + F.col("nb")) - 1e-6
+    rest = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) >= need
+    return x, y, (F.col("ra") != F.col("rb")) & rest & _possible(similarity)
 
-def with_likely(rooted: DataFrame, similarity: float) -> DataFrame:
+
+def with_possible(rooted: DataFrame, similarity: float) -> DataFrame:
     """The rows of rooted under whose key another class has a node that may be similar."""
-    x, y, near = _likely(similarity)
+    x, y, near = _sides(similarity)
     got = rooted.select(*x).join(rooted.select(*y).withColumnRenamed("key", "_key"), (F.col("key") == F.col("_key")) & near, "left_semi")
-    return got.select("key", F.col("a").alias("node"), F.col("ra").alias("root"), F.col("na").alias("n"), F.col("xa").alias("bits"))
+    return got.select("key", F.col("a").alias("node"), F.col("ra").alias("root"), F.col("na").alias("n"), F.col("ia").alias("at"), F.col("pa").alias("parity"))
 
 
 def exact_pairs(rooted: DataFrame, similarity: float) -> DataFrame:
-    """a and b, distinct: all pairs of different classes under a key that are likely, and that differ in no more bins of parity than
-    sets of that similarity may differ in shingles; the join itself tests this."""
-    x, y, near = _likely(similarity)
-    odd = F.aggregate(F.zip_with("pa", "pb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda acc, c: acc + c)
-    enough = odd * (1 + similarity) <= (1 - similarity) * (F.col("na") + F.col("nb")) + 1e-6
-    j = rooted.select(*x, F.col("parity").alias("pa")).join(rooted.select(*y, F.col("parity").alias("pb")), "key")
-    return j.filter((F.col("a") < F.col("b")) & near & enough).select("a", "b").distinct()
+    """a and b, distinct: all pairs of different classes under a key that may be similar; the join itself tests this."""
+    x, y, near = _sides(similarity)
+    return rooted.select(*x).join(rooted.select(*y), "key").filter((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
 
 
 def not_ruled_out(texts: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """Those pairs (a, b) that the fingerprints of the texts' shingles, or the numbers of these, leave possible."""
-    side = lambda x: texts.select(F.col("node").alias(x), F.col("sig").alias(f"s{x}"), F.col("n").alias(f"n{x}"))
-    j = pairs.join(side("a"), "a").join(side("b"), "b")
-    n = F.least("na", "nb").cast("double")
-    filled = BINS * (1 - F.exp(-n / BINS))  # bins that the smaller set is expected to fill
-    enough = likeness(F.col("sa"), F.col("sb")) >= similarity - ERRORS * 0.5 / F.sqrt(filled)
-    return j.filter(enough & (n >= similarity * F.greatest("na", "nb") * 0.99)).select("a", "b")
+    """Those pairs (a, b) that the numbers of shingles and the parities leave possible."""
+    side = lambda x: texts.select(F.col("node").alias(x), F.col("parity").alias(f"p{x}"), F.col("n").alias(f"n{x}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").filter(_possible(similarity)).select("a", "b")
 
 
 def near_classes(documents: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """id, hash of the text, class_id and class_hash: the least id, and then hash, of the documents that links of that similarity reach.
 
-    Equal texts are one node, filed under the shingles of its prefix. Under a key, all are first compared with the least node,
-    which joins most of a group of copies, and with nodes drawn by hash while these spare many pairs. Then every pair
-    of different classes that is left under any key is compared, so that no number of neighbours or candidates is capped; a link
-    within a class would change nothing. Candidates that the fingerprints of their 5-word shingles, or the numbers of these, don't rule out are links
-    if their sets of shingles have the Jaccard similarity asked for. Blank texts are one node without links. Rows with null ids get
-    no class.
+    Two texts are linked if their sets of shingles, in lower case, have the Jaccard similarity; no link is lost, and none is false.
+    Equal texts are one node. First come the pairs whose SimHash fingerprints the Golay keys link. Then texts are filed under the
+    shingles of their prefixes; under a key, all are compared with the least node, and with nodes drawn by hash while these spare
+    many pairs, and then every pair of different classes that is left under any key; a link within a class would change nothing. Pairs are
+    ruled out by bounds alone, the numbers of shingles, the key's places and parity sketches, and what is left is compared set by
+    set. Blank texts are nodes without links. Rows with null ids get no class. Very long texts have longer sketches; all their
+    shingles count. Other columns aren't read.
     """
-    d = documents.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("hash"))
-    if shingle != 5:
-        raise ValueError("fingerprints take five words")
-    n = F.size("set")
-    d = with_shingles(with_fingerprint(d, "text", "sig"), "text", "set", shingle).select("id", "hash", "sig", n.alias("n"), F.slice(F.sort_array("set"), F.lit(1), prefix_size(n, similarity)).alias("prefix"))
-    rows = materialize(d, "near")
-    texts = rows.filter("id is not null").groupBy("hash").agg(F.min("id").alias("id"), F.min_by("sig", "id").alias("sig"), F.min("n").alias("n"), F.min_by("prefix", "id").alias("prefix"))
-    texts = with_nodes(materialize(texts, "near-texts"))
+    rows = materialize(sketches(documents, id_col, text, shingle, similarity), "near")
+    texts = rows.filter("id is not null").groupBy("hash").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("fp", "n", "prefix", "parity")])
+    plain = materialize(texts, "near-texts")
+    texts = with_nodes(plain)
+
+    found = materialize(not_ruled_out(texts, code_pairs(texts), similarity), "near-pairs")
+    sets = sets_of(documents, texts, found.select(F.col("a").alias("node")).unionAll(found.select("b")).distinct(), id_col, text, shingle)
+    linked = components(similar_pairs(found, sets, similarity), "near-links")
+    drop(sets)
+
     texts = with_rare_prefixes(documents, texts, id_col, text, shingle, similarity)
-    shared = materialize(shared_keys(texts), "near-shared")
-    pairs = shared.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    sets, linked, tried, before, turn, last = None, None, None, None, 0, False
+    filed = materialize(shared_keys(texts), "near-shared")
+    tried, pairs = found, filed.filter("node <> pivot").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    root = linked.select(F.col("node").alias("pivot"), F.col("root").alias("pivot_root"))
+    pairs = pairs.join(root, "pivot", "left").filter(F.col("root") != F.coalesce("pivot_root", "pivot")).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    shared, sets, before, turn, last = filed.drop("pivot"), None, None, 0, False
     while True:
-        found = materialize(not_ruled_out(texts, pairs, similarity), "near-pairs")
+        found = materialize(not_ruled_out(texts, pairs, similarity).join(tried, ["a", "b"], "left_anti"), "near-pairs")
         if turn == 0:
             ends = found.select(F.col("a").alias("node")).unionAll(found.select("b")).distinct()
-            linked = components(similar_pairs(found, sets_of(documents, texts, ends, id_col, text, shingle), similarity), "near-links")
-            shared = materialize(with_likely(across_classes(shared.drop("pivot"), linked), similarity), "near-across")
-            sets = sets_of(documents, texts, shared.select("node").distinct(), id_col, text, shingle)
-            shared, tried = with_parity(shared, sets), found
-        else:
-            links_ = similar_pairs(found, sets, similarity).unionAll(linked.filter("node <> root").select("root", "node"))
-            linked, tried = components(links_, "near-links"), tried.unionAll(found)
+            own = sets_of(documents, texts, ends, id_col, text, shingle)
+        links_ = similar_pairs(found, own if turn == 0 else sets, similarity).unionAll(linked.filter("node <> root").select("root", "node"))
+        linked, tried = components(links_, "near-links"), tried.unionAll(found)
         if last:
             break
-        shared = materialize(across_classes(shared, linked), "near-across")
+        if turn == 0:
+            drop(own)
+            rooted = materialize(across_classes(shared, linked).join(texts.select("node", "parity"), "node"), "near-across")
+            shared = materialize(with_possible(rooted, similarity), "near-possible")
+            drop(filed, rooted)
+            sets = sets_of(documents, texts, shared.select("node").distinct(), id_col, text, shingle)
+        earlier, shared = shared, materialize(across_classes(shared, linked), "near-across")
+        drop(earlier)
         rows_left, left = pairs_left(shared)
         if not left:
             break
         last = left <= PAIRS_EACH * rows_left or (before is not None and 2 * left > before)
         before, turn = left, turn + 1
-        pairs = (exact_pairs(shared, similarity) if last else pivot_pairs(shared, turn)).join(tried, ["a", "b"], "left_anti")
+        pairs = exact_pairs(shared, similarity) if last else pivot_pairs(shared, turn)
     nodes = materialize(texts.select("hash", "id", "node").join(linked, "node", "left").select("hash", "id", F.coalesce("root", "node").alias("root")), "near-roots")
+    drop(sets, shared)
     least = nodes.groupBy("root").agg(F.min(F.struct("id", "hash")).alias("least"))
     found = nodes.join(least, "root").select("hash", F.col("least.id").alias("class_id"), F.col("least.hash").alias("class_hash"))
     return rows.select("id", "hash").join(found, "hash", "left")
 
 
 def without_copies(documents: DataFrame) -> DataFrame:
-    """One document of each class, that of the least id, in the columns of the input. Rows with a null id stay."""
-    kept = materialize(near_classes(documents).filter("id = class_id and hash = class_hash").select(F.col("id").alias("_id"), F.col("hash").alias("_h")).distinct(), "kept")
-    d = documents.withColumn("_hash", F.md5(F.coalesce("text", F.lit(""))))
-    got = d.join(kept, (F.col("doc_id") == F.col("_id")) & (F.col("_hash") == F.col("_h")), "left_semi")
-    # Of rows with one id and text, one stays.
-    again = got.groupBy("doc_id", "_hash").count().filter("count > 1").select("doc_id", "_hash")
-    single = got.join(again, ["doc_id", "_hash"], "left_anti").select(*documents.columns)
-    first = got.join(again, ["doc_id", "_hash"], "left_semi").dropDuplicates(["doc_id", "_hash"]).select(*documents.columns)
+    """One document of each class, that of the least id, in the columns of the input. Of rows with one id and text one stays; rows with a
+    null id all stay, for no class has them."""
+    mark, one, other = fresh(documents, "text_hash", "kept_id", "kept_hash")
+    kept = materialize(near_classes(documents).filter("id = class_id and hash = class_hash").select(F.col("id").alias(one), F.col("hash").alias(other)).distinct(), "kept")
+    d = documents.withColumn(mark, F.md5(F.coalesce("text", F.lit(""))))
+    got = d.join(kept, (F.col("doc_id") == F.col(one)) & (F.col(mark) == F.col(other)), "left_semi")
+    again = got.groupBy("doc_id", mark).count().filter("count > 1").select("doc_id", mark)
+    cols = all_columns(documents)
+    single = got.join(again, ["doc_id", mark], "left_anti").select(*cols)
+    first = got.join(again, ["doc_id", mark], "left_semi").dropDuplicates(["doc_id", mark]).select(*cols)
     return single.unionByName(first).unionByName(documents.filter("doc_id is null"))

@@ -55,14 +55,28 @@ def best_fit(lengths, capacity):
     return len(gaps)
 
 
-def test_sweep_equals_best_fit():
+def test_supersteps_are_as_good_as_best_fit(spark):
     r = random.Random(8)
-    for capacity in (7, 50, 200):
-        for _ in range(30):
-            lengths = [r.randint(1, capacity) if r.random() < 0.6 else r.randint(1, 1 + capacity // 5) for _ in range(r.randint(0, 300))]
-            runs = {n: lengths.count(n) for n in set(lengths)}
-            plan, made = packing.sweep(runs, capacity)
-            assert made == best_fit(lengths, capacity)
+    for capacity, n in ((7, 60), (200, 0), (200, 300), (4096, 400)):
+        lengths = [r.randint(1, capacity) if r.random() < 0.6 else r.randint(1, 1 + capacity // 5) for _ in range(n)]
+        runs = spark.createDataFrame(sorted((x, lengths.count(x)) for x in set(lengths)), "length long, n long")
+        used, placed = defaultdict(int), defaultdict(list)
+        for p in packing.packing_plan(runs, capacity).collect():
+            placed[p["size"]].append((p["at"], p["n"]))
+            for k in range(p["n"]):
+                s = p["base"] + k // p["each"]
+                if k % p["each"] == 0:
+                    assert used[s] == capacity - p["gap"]  # a gap begins where the last piece ended
+                used[s] += p["size"]
+        for x, parts in placed.items():
+            at = 0
+            for rank, m in sorted(parts):
+                assert rank == at
+                at += m
+            assert at == lengths.count(x)
+        assert set(placed) == set(lengths) and all(u <= capacity for u in used.values())
+        best = best_fit(lengths, capacity)
+        assert len(used) <= best + max(1, best // 50), (capacity, len(used), best)
 
 
 def test_pack(spark, library):
@@ -81,5 +95,6 @@ def test_pack(spark, library):
             assert off == at
             at += n
         assert at <= 256
-    assert len(seqs) == best_fit([w[3] for w in want], 256)
+    best = best_fit([w[3] for w in want], 256)
+    assert len(seqs) <= best + max(1, best // 50)
     assert packing.pack(df.filter("doc_id < 0"), 256).count() == 0
