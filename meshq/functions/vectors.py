@@ -29,6 +29,11 @@ def l2_squared(a: Column, b: Column) -> Column:
     return total(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)))
 
 
+def l2_checked(a: Column, b: Column) -> Column:
+    """Vectors of unlike lengths raise an error."""
+    return F.when(F.size(a) == F.size(b), l2(a, b)).otherwise(F.when(a.isNotNull() & b.isNotNull(), F.raise_error(F.lit("vectors of unlike lengths")).cast("double")))
+
+
 def l2(a: Column, b: Column) -> Column:
     return F.sqrt(l2_squared(a, b))
 
@@ -60,7 +65,7 @@ def flat_in_box(cols: list[Column], lo, hi) -> Column:
 
 def ratio(child: Column, parent: Column) -> Column:
     """Child coordinates over parent coordinates; null where the parent coordinate is near zero."""
-    return F.zip_with(child, parent, lambda c, p: F.when(F.abs(p) >= 1e-6, c / p))
+    return F.zip_with(child, parent, lambda c, p: F.when(~is_zero(p), c / p))
 
 
 def prolong(ratios: Column, parent: Column) -> Column:
@@ -83,13 +88,23 @@ def log_volume(lo: Column, hi: Column) -> Column:
     return F.when(F.exists(sides, lambda s: s <= 0), F.lit(float("-inf"))).otherwise(F.aggregate(sides, F.lit(0.0), lambda a, s: a + F.ln(s)))
 
 
-def coverage_label(percent: Column, dims: Column) -> Column:
-    """p%^d=cov%, where cov is the share of the volume covered."""
-    return F.format_string("%d%%^%d=%.4f%%", percent, dims, F.pow(percent / 100.0, dims) * 100)
-
-
 def volume_label(log_v: Column) -> Column:
-    """exp(log_v) as m.mmE+x, without overflow."""
+    """exp(log_v) as m.mmE+x, without overflow; 0, inf or nan where it is no number."""
     tens = log_v / F.lit(2.302585092994046)
     whole = F.floor(tens)
-    return F.format_string("%.2fE%+d", F.pow(F.lit(10.0), tens - whole), whole)
+    number = F.format_string("%.2fE%+d", F.bround(F.pow(F.lit(10.0), tens - whole), 2), whole)
+    special = F.when(F.isnan(log_v), "nan").when(log_v == float("inf"), "inf").when(log_v == float("-inf"), "0")
+    return F.coalesce(special, F.when(F.abs(log_v) != float("inf"), number))
+
+
+def near(a: Column, b: Column, eps: float = 1e-6) -> Column:
+    """Whether two numbers, or two vectors in all components, differ by less than eps."""
+    return F.abs(a - b) < eps
+
+
+def near_vectors(a: Column, b: Column, eps: float = 1e-6) -> Column:
+    return (F.size(a) == F.size(b)) & F.forall(F.zip_with(a, b, lambda x, y: F.coalesce(near(x, y, eps), F.lit(False))), lambda v: v)
+
+
+def is_zero(a: Column, eps: float = 1e-6) -> Column:
+    return F.abs(a) < eps

@@ -8,13 +8,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshq.functions.vectors import l2, l2_squared, ratio, vector
+from meshq.operators.parts import against
 
 
-def assign(points: DataFrame, coords: str, centroids: list[list[float]]) -> DataFrame:
-    """Adds the nearest centroid's number (label) and d2; the first minimum wins. centroids: a bounded list, held as literals."""
-    each = [F.struct(l2_squared(F.col(coords), vector(c)).alias("d2"), F.lit(i).alias("label")) for i, c in enumerate(centroids)]
-    best = F.least(*each) if len(each) > 1 else each[0]
-    return points.withColumn("_b", best).withColumns({"label": F.col("_b.label"), "d2": F.col("_b.d2")}).drop("_b")
+#: Numbers that centroids may have to be held as literals; more are a table that is met in blocks.
+MOST_LITERALS = 65_536
+
+
+def assign(points: DataFrame, coords: str, centroids: list[list[float]], most: int = MOST_LITERALS) -> DataFrame:
+    """Adds the nearest centroid's number (label) and d2; the first minimum wins."""
+    if sum(map(len, centroids)) <= most:
+        each = [F.struct(l2_squared(F.col(coords), vector(c)).alias("d2"), F.lit(i).alias("label")) for i, c in enumerate(centroids)]
+        best = F.least(*each) if len(each) > 1 else each[0]
+        return points.withColumn("_b", best).withColumns({"label": F.col("_b.label"), "d2": F.col("_b.d2")}).drop("_b")
+    table = points.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(centroids)], "_label int, _c array<double>")
+    groups = against(points.withColumn("_row", F.struct(*points.columns)).select("_row", F.col(coords).alias("_v")), table)
+    best = groups.groupBy("_row").agg(F.min(F.struct(l2_squared(F.col("_v"), F.col("_c")).alias("d2"), F.col("_label").alias("label"))).alias("_b"))
+    return best.select("_row.*", F.col("_b.label").alias("label"), F.col("_b.d2").alias("d2"))
+
+
+def plus_plus(points: DataFrame, id_col: str, coords: str, k: int, seed: int = 42) -> list[list[float]]:
+    """k-means++ starts: the first by hash, each next one drawn with a chance that grows with its squared distance from those before. A
+    draw is the least exponential key over that weight, so that one aggregate finds it wherever its row lies."""
+    draw = lambda i: F.xxhash64(id_col, F.lit(seed), F.lit(i))
+    got = [list(points.agg(F.min_by(coords, draw(0))).first()[0])]
+    while len(got) < k:
+        u = (F.shiftrightunsigned(draw(len(got)), 11).cast("double") + 0.5) / float(1 << 53)
+        d = assign(points, coords, got).filter("d2 > 0").agg(F.min_by(coords, -F.ln(u) / F.col("d2"))).first()[0]
+        if d is None:
+            break  # fewer distinct points than k
+        got.append(list(d))
+    return got
 
 
 def means(assigned: DataFrame, coords: str, label: str = "label") -> DataFrame:
@@ -52,3 +76,15 @@ def edges(children: DataFrame, parents: DataFrame) -> DataFrame:
 def radii(members: DataFrame, parents: DataFrame, label: str = "label") -> DataFrame:
     """Largest distance from the centroid to a member, and the members' number."""
     return members.join(parents, label).groupBy(label).agg(F.max(l2(F.col("coords"), F.col("centroid"))).alias("radius"), F.count("*").alias("n"))
+
+
+def children(nodes: DataFrame) -> DataFrame:
+    """parent_id, n, and most, the greatest n of any parent."""
+    c = nodes.filter("parent_id is not null").groupBy("parent_id").agg(F.count("*").alias("n"))
+    return c.join(F.broadcast(c.agg(F.max("n").alias("most"))))
+
+
+def sample(df: DataFrame, id_col: str, p: float, salt: str = "0") -> DataFrame:
+    """Each row with the chance p, fixed by its id and the salt."""
+    u = F.conv(F.substring(F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f"#{salt}"))), 1, 8), 16, 10).cast("long") / float(1 << 32)
+    return df.filter(u < p)

@@ -19,12 +19,26 @@ def knn_bounds(distance: Column, radius: Column) -> tuple[Column, Column]:
 
 
 def step_select(clusters: DataFrame, k: int, lower: str = "lb", radius: str = "radius", n: str = "n", tie: str = "node_id", by: tuple[str, ...] = ()) -> DataFrame:
-    """Scans clusters by lower bound: takes them until k points are covered, then all whose lower bound doesn't exceed
-    the greatest upper bound so far. by: columns that tell queries apart. Clusters are few against points; the scan of one
-    query is one sorted window."""
-    w = Window.partitionBy(*by).orderBy(lower, tie) if by else Window.orderBy(lower, tie)
-    before = F.coalesce(F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    first = clusters.withColumn("_before", before)
-    limit = F.greatest(F.lit(0.0), F.max(F.when(F.col("_before") < k, F.col(lower) + 2 * F.col(radius))).over(whole))
-    return first.withColumn("_t", limit).filter((F.col("_before") < k) | (F.col(lower) <= F.col("_t"))).drop("_before", "_t")
+    """Takes clusters by lower bound until k points are covered, then all whose lower bound doesn't exceed the greatest upper bound of
+    those, which is 0 at least. by: columns that tell queries apart.
+
+    The first k clusters that aren't empty cover k points, so that only they are sorted, k for each query; the rest are two
+    aggregates and a filter, wherever they lie."""
+    place = F.struct(F.col(lower).alias("lower"), F.col(tie).alias("tie"))
+    full = clusters.filter(F.col(n) > 0).select(*by, place.alias("_place"), F.col(n).alias("_n"))
+    if by:
+        first = full.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy("_place"))).filter(F.col("_r") <= k).drop("_r")
+    else:
+        first = full.orderBy("_place").limit(k)
+    keys = [F.col(c) for c in by] or [F.lit(0).alias("_all")]
+    w = Window.partitionBy(*(by or ("_all",))).orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
+    first = first.select(*keys, "_place", "_n").withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    names = list(by or ("_all",))
+    # The last cluster taken to cover k points; without one more than k points there is none beyond it.
+    edge = first.groupBy(*names).agg(F.max(F.when(F.col("_before") < k, F.col("_place"))).alias("_edge"), F.sum("_n").alias("_sum"))
+    c = clusters if by else clusters.withColumn("_all", F.lit(0))
+    c = c.join(F.broadcast(edge) if not by else edge, names, "left")
+    covered = (F.col("_sum") >= k) & (place > F.col("_edge"))
+    limit = c.filter(~F.coalesce(covered, F.lit(False))).groupBy(*names).agg(F.greatest(F.lit(0.0), F.max(F.col(lower) + 2 * F.col(radius))).alias("_t"))
+    c = c.join(F.broadcast(limit) if not by else limit, names)
+    return c.filter(~F.coalesce(covered, F.lit(False)) | (F.col(lower) <= F.col("_t"))).drop("_edge", "_sum", "_t", "_all")

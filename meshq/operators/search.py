@@ -5,10 +5,13 @@ Points need an id column; ties in distance go to the smaller id. Rows with null
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshq.functions.vectors import as_double, flat_in_box, in_box, is_finite, l2_squared, vector
+from meshq.operators.parts import against
 
 
 def knn(points: DataFrame, coords: str, id_col: str, q, k: int) -> DataFrame:
@@ -22,7 +25,7 @@ def knn(points: DataFrame, coords: str, id_col: str, q, k: int) -> DataFrame:
 def knn_batch(points: DataFrame, coords: str, id_col: str, queries: DataFrame, k: int) -> DataFrame:
     """queries (qid, q): each one's k nearest with rank from 1. Each map task keeps k rows a query before the shuffle."""
     v = as_double(coords)
-    d = points.filter(is_finite(v)).select(id_col, v.alias("_v")).join(F.broadcast(queries) if queries.isLocal() else queries)
+    d = against(points.filter(is_finite(v)).select(id_col, v.alias("_v")), queries)
     d = d.select("qid", id_col, l2_squared(F.col("_v"), F.col("q")).alias("d2"))
     w = Window.partitionBy("qid").orderBy("d2", id_col)
     return d.withColumn("rnk", F.row_number().over(w)).filter(F.col("rnk") <= k)
@@ -39,8 +42,5 @@ def box_array(points: DataFrame, coords: str, lo, hi) -> DataFrame:
 
 def box_batch(points: DataFrame, cols: list[str], queries: DataFrame) -> DataFrame:
     """queries (qid, lo_<col>, hi_<col> ...): the rows in each box."""
-    on = None
-    for c in cols:
-        p = points[c].between(queries[f"lo_{c}"], queries[f"hi_{c}"])
-        on = p if on is None else on & p
-    return points.join(F.broadcast(queries) if queries.isLocal() else queries, on).drop(*[f"{s}_{c}" for s in ("lo", "hi") for c in cols])
+    inside = reduce(lambda a, b: a & b, [F.col(c).between(F.col(f"lo_{c}"), F.col(f"hi_{c}")) for c in cols])
+    return against(points, queries).filter(inside).drop(*[f"{s}_{c}" for s in ("lo", "hi") for c in cols])

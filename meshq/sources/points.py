@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meshq.functions.text import dataset_name
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """number (from 0, in the order of the file) and value. One file is read in the order of its splits."""
-    rows = spark.read.text(path).rdd.zipWithIndex().map(lambda x: (x[1], x[0][0]))
-    return rows.toDF("number long, value string")
+    """number (from 0, in the order of files and lines) and value. Splits are counted, and a line's number is its place in its split
+    after those before; no line is moved."""
+    d = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+    splits = d.groupBy("file", "start").agg(F.min("at").alias("low"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1))
+    splits = splits.withColumn("base", F.coalesce(before, F.lit(0))).drop("n")
+    return d.join(F.broadcast(splits), ["file", "start"]).select((F.col("base") + F.col("at") - F.col("low")).alias("number"), "value")
 
 
 def _numbers(col: Column) -> Column:
@@ -51,11 +55,16 @@ def read_range_queries(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_matrix(df: DataFrame, path: str, order: str = "id", coords: str = "coords", per_dim: int = 1) -> None:
-    """One text file, in order; doubles are written so that reading gives them back."""
+    """Text files that follow one another by name, the first with the header; doubles are written so that reading gives them back."""
     first = df.agg(F.count("*").alias("n"), F.max(F.size(coords)).alias("w")).first()
     head = df.sparkSession.createDataFrame([(-1, f"{first['n']} {(first['w'] or 0) // per_dim}")], "o long, value string")
     body = df.select(F.col(order).cast("long").alias("o"), F.array_join(F.transform(coords, lambda x: x.cast("string")), " ").alias("value"))
-    head.unionByName(body).coalesce(1).sortWithinPartitions("o").select("value").write.text(path)
+    head.unionByName(body).repartitionByRange("o").sortWithinPartitions("o").select("value").write.mode("overwrite").text(path)
+
+
+def write_range_queries(queries: DataFrame, path: str) -> None:
+    """queries (qid, lo, hi), in the form that read_range_queries takes."""
+    write_matrix(queries.select("qid", F.concat("lo", "hi").alias("v")), path, "qid", "v", 2)
 
 
 def synthetic(spark: SparkSession, n: int, dims: int, low: float, high: float, ratios: list[int], whole: bool = False, seed: int = 12345, sigma_divisor: float = 3.0) -> list[DataFrame]:

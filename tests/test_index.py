@@ -2,6 +2,8 @@ import random
 
 from pyspark.sql import functions as F
 
+from meshq.operators import cluster
+from meshq.operators.parts import against
 from meshq.operators.prune import step_select
 from meshq.plans.index import MeshIndex, plan_levels
 
@@ -46,3 +48,39 @@ def test_step_equals_loop(spark):
             seen += n
         df = spark.createDataFrame(rows, "node_id int, lb double, radius double, n int")
         assert sorted(x.node_id for x in step_select(df, k).collect()) == sorted(took), case
+
+
+def test_saved_points_are_the_input(spark, tmp_path):
+    """Every point that an index returns has the coordinates of the input, in any layout of the files."""
+    pts = points(spark, 300, 4, 8)
+    want = {r.id: r.v for r in pts.collect()}
+    for i, parts in enumerate((1, 5)):
+        ix = MeshIndex.build(pts.repartition(parts), "id", "v", [15, 4])
+        ix.save(str(tmp_path / f"ix{i}"))
+        ix.release()
+        again = MeshIndex.load(spark, str(tmp_path / f"ix{i}"))
+        got = again.range([0.1] * 4, [0.7] * 4).collect() + again.knn_candidates([0.5] * 4, 20).collect()
+        assert got and all(max(abs(a - b) for a, b in zip(r.coords, want[r.id])) <= 1e-6 for r in got)
+
+
+def test_step_by_query_equals_single(spark):
+    r = random.Random(5)
+    rows = [(q, i, float(r.randint(0, 8)), r.random(), r.randint(0, 4)) for q in range(3) for i in range(12)]
+    df = spark.createDataFrame(rows, "qid int, node_id int, lb double, radius double, n int")
+    got = {(x.qid, x.node_id) for x in step_select(df, 6, by=("qid",)).collect()}
+    assert got == {(q, x.node_id) for q in range(3) for x in step_select(df.filter(F.col("qid") == q).drop("qid"), 6).collect()}
+
+
+def test_many_queries_meet_rows_in_blocks(spark):
+    rows, queries = spark.range(30), spark.range(25).withColumnRenamed("id", "q")
+    assert sorted(map(tuple, against(rows, queries, most=4).collect())) == sorted(map(tuple, against(rows, queries).collect()))
+
+
+def test_seeding(spark):
+    pts = points(spark, 200, 2, 4)
+    got = cluster.plus_plus(pts, "id", "v", 6)
+    assert len({tuple(c) for c in got}) == 6 and got == cluster.plus_plus(pts, "id", "v", 6)
+    assert len(cluster.plus_plus(pts.limit(1), "id", "v", 3)) == 1
+    fine = cluster.lloyd(pts, "v", got, 5)
+    cost = lambda c: cluster.assign(pts, "v", c).agg(F.sum("d2")).first()[0]
+    assert cost(fine) <= cost(got)

@@ -21,6 +21,12 @@ def duck():
 def test_equals_sql(spark, duck, name):
     df = queries.QUERIES[name](spark, DIR)
     cols = sorted(df.columns)
-    want = duck.execute(f"select {', '.join(cols)} from ({queries.SQL[name]})").fetchall()
+    quoted = ", ".join(f'"{c}"' for c in cols)
+    want = duck.execute(f"select {quoted} from ({queries.SQL[name]})").fetchall()
     key = lambda r: repr(tuple(r))
-    assert sorted(map(key, df.select(cols).collect())) == sorted(map(key, want))
+    got = sorted(map(key, df.select(*[f"`{c}`" for c in cols]).collect()))
+    assert got == sorted(map(key, want)) and got
+
+
+def test_every_query_has_sql():
+    assert set(queries.SQL) == set(queries.QUERIES)
