@@ -1,14 +1,15 @@
 """Token counts by rank-synchronous array merging.
 
 The vocabulary word_bpe_49k.json is read here and applied without the library: normal form C, white space, lower case by
-character, pre-tokens, bytes. A batch's distinct pre-tokens are one ragged array of symbols; in each step every sequence
-applies its lowest-ranked pair at all its places at once, until no sequence has a pair of the vocabulary; what survives is counted.
-Applying a pair at all places at once is the same as one by one from the left, for a pair's rank exceeds those that make its
-parts; reading the vocabulary checks that.
+character, pre-tokens, bytes; a file that asks for other steps is refused. Of a batch's texts, all pre-tokens that aren't known yet are
+one ragged array of symbols; in each step every sequence applies its lowest-ranked pair at all its places at once, until no sequence
+has a pair of the vocabulary; what survives is counted. Applying a pair at all places at once is the same as one by one from the
+left, for a pair's rank exceeds those that make its parts; reading the vocabulary checks that.
 
 Null text counts as empty and has no tokens. Strings of special tokens count as one token each, as the library has it. Texts
-are read whole; white space of ASCII never joins two tokens, so that counts of the pieces between add up and are kept for
-those that come again. Ties and repeated rows don't matter; an empty table gives no rows; only the id and the text are read.
+are read whole, however long; white space of ASCII never joins two tokens, so that counts of the pieces between add up. Those of
+short pieces are kept for when they come again, in bounded memory. Ties and repeated rows don't matter; an empty table gives no rows;
+only the id and the text are read.
 """
 
 from __future__ import annotations
@@ -24,8 +25,14 @@ from pyspark.sql import DataFrame
 
 from meshq.llm.common import worker_cache
 
-#: Distinct pieces kept per Python worker; beyond, they are counted anew.
-KEPT = 1_000_000
+#: Pieces of up to so many bytes are kept by a Python worker, in up to so many bytes; beyond, they are dealt with anew.
+KEPT_LENGTH, KEPT_BYTES, ENTRY = 64, 160 << 20, 150
+#: Bytes of text whose pieces are merged at once.
+SLICE = 1 << 20
+# The steps before the merges that this module takes.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": SPLIT}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
 SPACES = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 NONE = np.iinfo(np.int64).max
 
@@ -48,10 +55,23 @@ def lower(text: str) -> str:
     return text.lower() if "Σ" not in text else "σ".join(x.lower() for x in text.split("Σ"))
 
 
+def read_vocabulary(path: str) -> dict:
+    """The file's content; one with other steps before the merges, or another kind of model, raises."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model = spec["model"]
+    if spec.get("normalizer") != NORMALIZER or spec.get("pre_tokenizer") != PRE_TOKENIZER:
+        raise ValueError(f"{path}: its normal form or pre-tokens aren't those that are built here")
+    if model.get("type") != "BPE" or not model.get("end_of_word_suffix") or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "byte_fallback", "ignore_merges")):
+        raise ValueError(f"{path}: no byte-pair model with word ends")
+    if any(t.get("normalized") or t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in spec["added_tokens"]):
+        raise ValueError(f"{path}: special tokens of another kind")
+    return spec
+
+
 class Bpe:
     def __init__(self, path: str) -> None:
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+        spec = read_vocabulary(path)
         model = spec["model"]
         vocab, end = model["vocab"], model["end_of_word_suffix"]
         self.special = [t["content"] for t in spec["added_tokens"]]
@@ -134,29 +154,68 @@ def token_counts(documents: DataFrame, path: str | None = None, limit: int = 204
         count = counter(path or vocabulary_path())
         for b in batches:
             texts = [x.as_py() or b"" for x in b.column(1).cast(pa.binary())]
-            size, total = [len(t) for t in texts], [count(t) for t in texts]
-            n = np.array(total, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(size, np.int64)), pa.array(n), pa.array(n > limit)], names=[id_col, "n_bytes", "n_tokens", "over_limit"])
+            n = np.array(count.of(texts), np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array([len(t) for t in texts], np.int64)), pa.array(n), pa.array(n > limit)], names=[id_col, "n_bytes", "n_tokens", "over_limit"])
 
     kind = documents.schema[id_col].dataType.simpleString()
     return documents.select(id_col, text).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean")
 
 
+class Kept(dict):
+    """What pieces of text were made into. Long pieces are dropped after their slice, and all when they fill their memory."""
+
+    held = 0
+
+    def take(self, made: dict) -> None:
+        cost = sum(len(w) + ENTRY + (len(v) if isinstance(v, bytes) else 0) for w, v in made.items())
+        if self.held + cost > KEPT_BYTES:
+            self.clear()
+            self.held = 0
+        self.update(made)
+        self.held += cost
+
+    def drop_long(self, pieces) -> None:
+        for w in pieces:
+            if len(w) > KEPT_LENGTH and (v := self.pop(w, None)) is not None:
+                self.held -= len(w) + ENTRY + (len(v) if isinstance(v, bytes) else 0)
+
+
+def slices(texts: list[bytes], most: int = SLICE) -> Iterator[list[bytes]]:
+    """The texts in turn, as many at once as hold about that many bytes."""
+    start = size = 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= most:
+            yield texts[start : i + 1]
+            start, size = i + 1, 0
+    if start < len(texts):
+        yield texts[start:]
+
+
 class Counter:
-    """Tokens of UTF-8 texts; the counts of pieces between white space of ASCII are kept."""
+    """Tokens of UTF-8 texts; what is new in a slice of a batch is merged at once."""
 
     def __init__(self, path: str) -> None:
-        self.bpe, self.known = Bpe(path), {}
+        self.bpe, self.known = Bpe(path), Kept()
+
+    def of(self, texts: list[bytes]) -> list[int]:
+        out = []
+        for some in slices(texts):
+            words = [t.split() for t in some]
+            new = set().union(*words).difference(self.known)
+            room = self.known.held
+            if new:
+                pieces = list(new)
+                self.known.take(dict(zip(pieces, self.bpe.counts([w.decode("utf-8", "replace") for w in pieces]), strict=True)))
+                if self.known.held < room:  # all that was kept has gone, and with it what this slice knew
+                    pieces = list(set().union(*words).difference(self.known))
+                    self.known.take(dict(zip(pieces, self.bpe.counts([w.decode("utf-8", "replace") for w in pieces]), strict=True)))
+            out += [sum(map(self.known.__getitem__, w)) for w in words]
+            self.known.drop_long(new)
+        return out
 
     def __call__(self, text: bytes) -> int:
-        words = text.split()
-        new = {w for w in words if w not in self.known}
-        if new:
-            if len(self.known) + len(new) > KEPT:
-                self.known.clear()
-                new = set(words)
-            self.known.update(zip(new, self.bpe.counts([w.decode("utf-8", "replace") for w in new]), strict=True))
-        return sum(map(self.known.__getitem__, words))
+        return self.of([text])[0]
 
 
 def counter(path: str) -> Counter:
