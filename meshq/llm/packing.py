@@ -28,10 +28,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshq.llm.common import materialize, worker_cache
-from meshq.llm.tokens import vocabulary_path
+from meshq.llm.tokens import Kept, read_vocabulary, slices, vocabulary_path
 
-#: Distinct pieces kept per Python worker; beyond, they are tokenized anew.
-KEPT = 1_000_000
 END = 1
 
 
@@ -45,34 +43,38 @@ def core(piece: str) -> tuple[str, str]:
 
 class Encoder:
     """Token ids as little-endian bytes, by the tokenizers library. White space of ASCII never joins two tokens, so that the ids of the
-    pieces between follow one another; those that come again are kept."""
+    pieces between follow one another; short ones are kept for when they come again, in bounded memory. What is known of the
+    vocabulary's steps is checked when it is read."""
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
+        read_vocabulary(path)
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-        self.cores: dict[str, bytes] = {}
+        self.known = Kept()
         self.marks = {m: array("I", self.tokenizer.encode(m, add_special_tokens=False).ids).tobytes() for m in ("", ".", ",")}
 
+    def made(self, pieces: set[bytes]) -> dict[bytes, bytes]:
+        parts = {w: core(w.decode("utf-8", "replace")) for w in pieces}
+        cores = list({c for c, _ in parts.values()})
+        ids = {c: array("I", e.ids).tobytes() for c, e in zip(cores, self.tokenizer.encode_batch_fast(cores, add_special_tokens=False), strict=True)}
+        return {w: ids[c] + self.marks[mark] for w, (c, mark) in parts.items()}
+
+    def of(self, texts: list[bytes]) -> Iterator[bytes]:
+        for some in slices(texts):
+            words = [t.split() for t in some]
+            new = set().union(*words).difference(self.known)
+            room = self.known.held
+            self.known.take(self.made(new))
+            if self.known.held < room:  # all that was kept has gone, and with it what this slice knew
+                self.known.take(self.made(set().union(*words).difference(self.known)))
+            for w in words:
+                yield b"".join(map(self.known.__getitem__, w))
+            self.known.drop_long(new)
+
     def encode(self, text: bytes) -> bytes:
-        words = text.split()
-        new = {w for w in words if w not in self.known}
-        if new:
-            if len(self.known) + len(new) > KEPT:
-                self.known.clear()
-                new = set(words)
-            parts = {w: core(w.decode("utf-8", "replace")) for w in new}
-            cores = list({c for c, _ in parts.values() if c not in self.cores})
-            if len(self.cores) + len(cores) > KEPT:
-                self.cores.clear()
-                cores = list({c for c, _ in parts.values()})
-            for c, e in zip(cores, self.tokenizer.encode_batch_fast(cores, add_special_tokens=False), strict=True):
-                self.cores[c] = array("I", e.ids).tobytes()
-            for w, (c, mark) in parts.items():
-                self.known[w] = self.cores[c] + self.marks[mark]
-        return b"".join(map(self.known.__getitem__, words))
+        return next(self.of([text]))
 
 
 def encoder(path: str) -> Encoder:
@@ -84,12 +86,12 @@ def pieces(documents: DataFrame, capacity: int, path: str | None = None) -> Data
     """doc_id, piece, start, length, ids_crc32."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path or vocabulary_path()).encode
+        encode = encoder(path or vocabulary_path()).of
         step, end = 4 * capacity, np.array([END], "<u4").tobytes()
         for b in batches:
             rows, cols = [], ([], [], [], [])
-            for i, x in enumerate(b.column(1).cast(pa.binary())):
-                ids = encode(x.as_py() or b"") + end
+            for i, ids in enumerate(encode([x.as_py() or b"" for x in b.column(1).cast(pa.binary())])):
+                ids += end
                 for k, at in enumerate(range(0, len(ids), step)):
                     part = ids[at : at + step]
                     rows.append(i)
@@ -107,8 +109,11 @@ def pieces(documents: DataFrame, capacity: int, path: str | None = None) -> Data
 #: and how many sequences there are.
 STATE = "what int, size long, at long, n long, each long, base long, gap long"
 PIECE, GAP, PLACED, MADE = range(4)
-#: Ranges of sizes that a superstep sweeps by themselves, and bands of lengths: each begins at the stated part of where it ends.
-RANGES, BAND, BANDS = 16, 4, 4
+#: Ranges of sizes that a superstep sweeps by themselves.
+RANGES = 16
+#: Bands of lengths end above these parts of a sequence. Pieces of one of the first fill a sequence so far that what is left holds none of
+#: their band, so that opening sequences for a whole band at once costs nothing.
+CUTS = (2, 3, 4, 5, 8, 16, 64)
 
 
 def successor_sweep(pieces: list[tuple[int, int, int]], gaps: list[tuple[int, int, int]]) -> tuple[list, list, list]:
@@ -212,17 +217,19 @@ def packing_plan(runs: DataFrame, capacity: int) -> DataFrame:
     a band supersteps are repeated until every piece has a place."""
     spark, done = runs.sparkSession, []
     state = spark.createDataFrame([(MADE, 0, 0, 0, 0, 0, 0)], STATE)
-    high = capacity
-    for band in range(BANDS):
-        low = high // BAND if band < BANDS - 1 else 0
+    lengths = [r.length for r in runs.select("length").collect()]  # at most capacity rows
+    lows = [capacity // c for c in CUTS] + [0]
+    for low, high in zip(lows, [capacity, *lows[:-1]], strict=True):
+        if not any(low < x <= high for x in lengths):
+            continue
         zero = F.lit(0).cast("long")
         mine = runs.filter((F.col("length") > low) & (F.col("length") <= high)).select(F.lit(PIECE).alias("what"), F.col("length").alias("size"), zero.alias("at"), "n", zero.alias("each"), zero.alias("base"), zero.alias("gap"))
-        state = state.unionByName(mine)
-        while state.filter(F.col("what") == PIECE).limit(1).count():
+        state, left = state.unionByName(mine), True
+        while left:
             got = materialize(superstep(state, low, capacity), "packing-step")
             done.append(got.filter(F.col("what") == PLACED))
             state = got.filter(F.col("what") != PLACED)
-        high = low
+            left = not got.filter(F.col("what") == PIECE).isEmpty()
     return reduce(DataFrame.unionByName, done) if done else state.filter("false")
 
 
