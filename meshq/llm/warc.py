@@ -2,12 +2,13 @@
 
 Archives: a text writer puts one record per row, so that any store Spark writes to will do and a lost task leaves nothing
 behind; payloads repeated from 1000 bytes on become revisit records. Index: captures sorted by their reversed-host key in
-compressed blocks, a line each, and a sparse directory with each block's first key and place. A lookup searches the directory by
-halves, reads the blocks by range, and reads the records by range.
+compressed blocks, a line each, and a sparse directory with each block's first key and place. A lookup takes its keys to the index
+files whose ranges hold them; there it searches the file's directory by halves, reads the blocks by range, searches them by halves,
+and then reads the records by range. No machine holds the directory of more than one file.
 
-Null html counts as empty; null or unusual URLs have the key they have as text; records of null ids keep a null id. Of repeated
-rows that hold the largest id of a payload, all are responses. An empty table gives an archive and an index without
-records. Columns other than page_id, url and html aren't read.
+Null html counts as empty; null or unusual URLs have the key they have as text, and any number of captures may share one; records of
+null ids keep a null id. Of repeated rows that hold the largest id of a payload, all are responses. Payloads of any length are written
+and read whole. An empty table gives an archive and an index without records. Columns other than page_id, url and html aren't read.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import base64
 import hashlib
 import re
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
@@ -30,6 +31,8 @@ from meshq.llm.common import materialize, new_path
 LEAST_REVISIT = 1000
 #: Repeated payloads up to this number (about 100 bytes each) are broadcast, so that payloads aren't shuffled; beyond, joined by hash.
 MOST_BROADCAST = 100_000
+#: Captures of an index file, index files at least and at most, and bytes of records that a task reads.
+FILE_CAPTURES, LEAST_FILES, MOST_FILES, TASK_BYTES = 300_000, 16, 20_000, 64 << 20
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 ID = "urn:meshq:page:"
 
@@ -70,6 +73,11 @@ def surt(url: Column) -> Column:
     return F.when(host == "", u).otherwise(F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), rest))
 
 
+def target_uri(url: Column) -> Column:
+    """The URL as a record's head has it, on one line."""
+    return F.regexp_replace(url, r"[\r\n]+", "%0A")
+
+
 def plan_records(pages: DataFrame) -> DataFrame:
     """page_id, url, payload, n, digest, keeper (null: a response)."""
     p = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload"))
@@ -87,7 +95,7 @@ def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00
     line = lambda name, value: F.when(value.isNotNull(), F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))).otherwise(F.lit(""))
     head = F.concat(
         F.lit("WARC/1.1\r\n"), line("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))), F.lit(f"WARC-Date: {date}\r\n"),
-        line("WARC-Record-ID", F.concat(F.lit(f"<{ID}"), F.coalesce(F.col("page_id").cast("string"), F.lit("none")), F.lit(">"))), line("WARC-Target-URI", F.regexp_replace("url", r"[\r\n]+", "%0A")),
+        line("WARC-Record-ID", F.concat(F.lit(f"<{ID}"), F.coalesce(F.col("page_id").cast("string"), F.lit("none")), F.lit(">"))), line("WARC-Target-URI", target_uri(F.col("url"))),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))), line("WARC-Refers-To", F.concat(F.lit(f"<{ID}"), F.col("keeper").cast("string"), F.lit(">"))),
         F.when(revisit, F.concat(F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nX-Payload-Length: "), F.col("n").cast("string"), F.lit("\r\n"))).otherwise(F.lit("")),
         F.lit("Content-Type: application/http; msgtype=response\r\nContent-Length: "), F.octet_length(block).cast("string"), F.lit("\r\n\r\n"),
@@ -107,7 +115,7 @@ def read_head(f) -> dict[str, str] | None:
     out = {}
     while (line := f.readline()).strip():
         name, _, value = line.decode("utf-8", "replace").partition(":")
-        out[name.strip().lower()] = value.strip()
+        out[name.strip().lower()] = value.removesuffix("\n").removesuffix("\r").removeprefix(" ")
     return out
 
 
@@ -139,30 +147,34 @@ def captures(spark: SparkSession, path: str) -> DataFrame:
     return over_files(spark, files(spark, path)).mapInArrow(run, "url string, file string, offset long, length long")
 
 
+DIRECTORY = "file string, first_key string, last_key string, offset long, length long, n long"
 KIND = pa.schema([("url", pa.string()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
 
 
 @dataclass
 class CaptureIndex:
-    """directory (first_key, file, offset, length, n): the blocks in order of their keys."""
+    """directory (file, first_key, offset, length, n): the blocks of the index files, in order of their keys. files (file, first_key,
+    last_key): where each index file begins and ends; no more than MOST_FILES rows."""
 
     directory: DataFrame
+    files: DataFrame
 
     @staticmethod
     def build(found: DataFrame, path: str, lines: int = 3000, parts: int | None = None) -> CaptureIndex:
-        """found (url, file, offset, length). A block line: first key, number, then the compressed entries, all but the number in
+        """found (url, file, offset, length). A block line: first key, last key, number, then the compressed entries, all but the number in
         base64."""
         spark = found.sparkSession
         s = found.select(surt(F.col("url")).alias("key"), "file", "offset", "length")
-        parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        parts = parts or min(MOST_FILES, max(LEAST_FILES, -(-found.count() // FILE_CAPTURES)))
         s = s.repartitionByRange(parts, "key", "file", "offset").sortWithinPartitions("key", "file", "offset")
+        coded = lambda key: base64.b64encode(key.encode()).decode() or "="
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: list[tuple] = []
 
             def out(rows):
                 body = "\n".join("\t".join((base64.b64encode(k.encode()).decode(), f, str(o), str(n))) for k, f, o, n in rows)
-                text = " ".join((base64.b64encode(rows[0][0].encode()).decode() or "=", str(len(rows)), base64.b64encode(zlib.compress(body.encode())).decode()))
+                text = " ".join((coded(rows[0][0]), coded(rows[-1][0]), str(len(rows)), base64.b64encode(zlib.compress(body.encode())).decode()))
                 return pa.RecordBatch.from_arrays([pa.array([text])], names=["value"])
 
             for b in batches:
@@ -174,6 +186,7 @@ class CaptureIndex:
                 yield out(held)
 
         s.mapInArrow(run, "value string").write.option("compression", "none").text(f"{path}/blocks")
+        plain = lambda key: "" if key == b"=" else base64.b64decode(key).decode()
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -181,41 +194,55 @@ class CaptureIndex:
                     at = 0
                     with opened(name) as f:
                         for line in f:
-                            key, n, _ = line.split(b" ", 2)
-                            first = "" if key == b"=" else base64.b64decode(key).decode()
-                            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (first, name, at, len(line), int(n))], names=["first_key", "file", "offset", "length", "n"])
+                            first, last, n, _ = line.split(b" ", 3)
+                            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (name, plain(first), plain(last), at, len(line), int(n))], names=["file", "first_key", "last_key", "offset", "length", "n"])
                             at += len(line)
 
-        d = over_files(spark, files(spark, f"{path}/blocks")).mapInArrow(scan, "first_key string, file string, offset long, length long, n long")
+        d = over_files(spark, files(spark, f"{path}/blocks")).mapInArrow(scan, DIRECTORY)
         d.write.parquet(f"{path}/directory")
         return CaptureIndex.load(spark, path)
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> CaptureIndex:
-        return CaptureIndex(spark.read.schema("first_key string, file string, offset long, length long, n long").parquet(f"{path}/directory"))
-
-    def entries(self) -> DataFrame:
-        """key, file, offset, length of all captures: every block is read by its range."""
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        d = spark.read.schema(DIRECTORY).parquet(f"{path}/directory")
+        return CaptureIndex(d, d.groupBy("file").agg(F.min("first_key").alias("first_key"), F.max("last_key").alias("last_key")))
+
+    def find(self, keys: DataFrame) -> DataFrame:
+        """keys (key): key, file, offset, length of all their captures. Equal keys are sought once."""
+        rows = sorted((r.first_key, r.last_key, r.file) for r in self.files.collect())
+        firsts, lasts, names = ([r[i] for r in rows] for i in range(3))
+        most = [max(lasts[: i + 1]) for i in range(len(lasts))]  # so far; rises, like the firsts
+        shared = keys.sparkSession.sparkContext.broadcast((firsts, lasts, most, names))
+
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            firsts, lasts, most, names = shared.value
             for b in batches:
-                for name, at, n in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*read_block(name, at, n), strict=True), (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["key", "file", "offset", "length"])
-
-        return self.directory.select("file", "offset", "length").mapInArrow(run, "key string, file string, offset long, length long")
+                out = [(k, names[i]) for k in b.column(0).to_pylist() for i in range(bisect_left(most, k), bisect_right(firsts, k)) if lasts[i] >= k]
+                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.string()) for i in (0, 1)], names=["key", "file"])
+
+        def search(blocks: pa.Table, wanted: pa.Table) -> pa.Table:
+            rows = sorted(zip(*(blocks.column(c).to_pylist() for c in ("first_key", "last_key", "offset", "length", "file")), strict=True))
+            begins, out, held, at = [r[0] for r in rows], [], [], None
+            for key in sorted(wanted.column("key").to_pylist()):
+                i = max(0, bisect_left(begins, key) - 1)
+                while i < len(rows) and begins[i] <= key:
+                    if rows[i][1] >= key:
+                        if at != i:
+                            held, at = read_block(rows[i][4], *rows[i][2:4]), i
+                        lo = bisect_left(held, (key,))
+                        while lo < len(held) and held[lo][0] == key:
+                            out.append(held[lo])
+                            lo += 1
+                    i += 1
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.int64())
+            return pa.table({n: pa.array([o[i] for o in out], k) for i, (n, k) in enumerate(zip(("key", "file", "offset", "length"), kinds, strict=True))})
+
+        dealt = keys.select("key").distinct().mapInArrow(deal, "key string, file string")
+        return self.directory.groupBy("file").cogroup(dealt.groupBy("file")).applyInArrow(search, "key string, file string, offset long, length long")
 
     def lookup(self, key: str) -> list[tuple[str, str, int, int]]:
-        """Entries of one key. The directory has one row for thousands of captures."""
-        rows = sorted(tuple(r) for r in self.directory.collect())
-        firsts = [r[0] for r in rows]
-        out = []
-        at = bisect_right(firsts, key) - 1
-        while at >= 0:
-            out += [e for e in read_block(*rows[at][1:4]) if e[0] == key]
-            if firsts[at] < key:
-                break
-            at -= 1
-        return out
+        """Entries of one key."""
+        return sorted(map(tuple, self.find(self.directory.sparkSession.createDataFrame([(key,)], "key string")).collect()))
 
 
 def read_range(name: str, at: int, n: int) -> bytes:
@@ -267,15 +294,16 @@ def read_captures(entries: DataFrame, parts: int | None = None) -> DataFrame:
                     f.__exit__(None, None, None)
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    parts = parts or int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or max(LEAST_FILES, -(-(entries.agg(F.sum("length")).first()[0] or 0) // TASK_BYTES))
     e = entries.select("file", "offset", "length").repartitionByRange(parts, "file", "offset").sortWithinPartitions("file", "offset")
     return e.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Writes the pages as archives, indexes them, and reads all captures back through the index."""
+    """Writes the pages as archives, indexes them, and reads back what the index finds for the URLs of all pages."""
     spark = pages.sparkSession
     path = new_path(spark, "warc")
     write_archives(pages, f"{path}/archives")
     index = CaptureIndex.build(captures(spark, f"{path}/archives"), f"{path}/index")
-    return read_captures(materialize(index.entries(), "captures"))
+    keys = pages.select(surt(target_uri(F.col("url"))).alias("key"))
+    return read_captures(materialize(index.find(keys), "captures"))

@@ -85,12 +85,30 @@ def test_warc_round_trip(spark, tmp_path):
     path = f"file://{tmp_path}"
     warc.write_archives(df, f"{path}/a")
     index = warc.CaptureIndex.build(warc.captures(spark, f"{path}/a"), f"{path}/i", lines=2, parts=2)
-    assert index.entries().count() == len(rows)
+    keys = df.select(warc.surt(warc.target_uri(F.col("url"))).alias("key"))
+    assert index.find(keys).count() == len(rows) and index.find(keys.limit(0)).count() == 0
     hit = index.lookup("com,example,www)/a?b")
     assert len(hit) == 1 and warc.parse_record(warc.read_range(*hit[0][1:]))[0] == 1
     assert index.lookup("zz)/") == [] and index.lookup("a") == []
 
 
+def test_find_equals_a_scan(spark, tmp_path, monkeypatch):
+    r = random.Random(13)
+    rows = [(i, r.choice([None, "", " x ", "http://a.b/" + "p" * r.randint(0, 3), f"http://h{r.randint(0, 30)}.org/{r.randint(0, 9)}"]), "z" * r.randint(0, 9)) for i in range(400)]
+    rows += [(1000 + i, "http://hot.org/", "same") for i in range(150)] + [(2000, "http://long.org/", "y" * 2_000_000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    path = f"file://{tmp_path}"
+    warc.write_archives(df, f"{path}/a")
+    index = warc.CaptureIndex.build(warc.captures(spark, f"{path}/a"), f"{path}/i", lines=7, parts=6)
+    assert index.files.count() > 3 and index.directory.count() > 20
+    keyed = df.select("page_id", warc.surt(warc.target_uri(F.col("url"))).alias("key")).collect()
+    for key in ("org,hot)/", "", " x ", "b,a)/pp", "org,h3)/4", "nowhere"):
+        got = [warc.parse_record(warc.read_range(*e[1:]))[0] for e in index.lookup(key)]
+        assert sorted(got) == sorted(x.page_id for x in keyed if x.key == key), key
+    monkeypatch.setattr(warc, "MOST_BROADCAST", 0)
+    assert sorted(x.page_id for x in warc.round_trip(df).collect()) == sorted(i for i, _, _ in rows)
+
+
 def test_surt(spark):
     keys = [r[0] for r in spark.createDataFrame([("HTTP://u@WWW.Ex.org:81/P?q#f",), ("http://ex.org",), ("x",), (None,)], "u string").select(warc.surt(F.col("u"))).collect()]
     assert keys == ["org,ex,www)/P?q", "org,ex)/", "x", ""]
