@@ -1,12 +1,14 @@
 """License scans: ordered signature rules behind a keyword prefilter.
 
-A rule is a regular expression on the lower-cased text with a keyword of one word that its matches hold; a blank stands for any white
-space and comment marks. A text is scanned by the rules whose keyword, and the second word it may have, it contains. A detection whose interval lies within an earlier or longer one is suppressed; of equal
-intervals, the first rule's stays. The labels of what is left are joined with those of three base phrases, which are found on
-words and always stay.
+A rule is a regular expression on the lower-cased text with a keyword that its matches hold; a blank stands for any white space and
+comment marks. The rules of one keyword are one expression, the earlier first, which a text is scanned by if it contains the keyword
+and the second word that may go with it; what it finds is the first rule's that it matches in full. Detections are resolved from left
+to right: one that lies within the last that stayed is suppressed; of two that overlap in part, that of the earlier rule stays. The
+labels of what is left are joined with those of three base phrases, which are found on words and always stay.
 
 Only DataFrame functions are used. Null text counts as empty; empty text has no words, no places, empty label strings and
-score 0. Ties and repeated rows are each scanned by themselves; an empty table gives no rows; no other column is read.
+score 0. Very long texts are scanned whole. Ties and repeated rows are each scanned by themselves; an empty table gives no rows; no
+other column is read.
 """
 
 from __future__ import annotations
@@ -18,129 +20,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meshq.llm.common import lower_ascii
+from meshq.llm.license_rules import RULES
 
 # The base phrases and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-# What a blank of an expression stands for: white space, with the comment marks of the lines that follow.
-GAP = r"[\x09-\x0d\x20\xa0]++(?:[*#/;%>|!-]++[\x09-\x0d\x20\xa0]++)*+"
-# A second word that every match of a keyword's rules holds: keywords that common prose has are sought with it.
-ALSO = {"general": "public", "common": "public", "commons": "attribution", "creative": "commons", "server": "side", "business": "source", "database": "licen", "documentation": "licen", "font": "licen", "european": "union", "python": "licen", "want": "public", "microsoft": "licen", "elastic": "licen", "ruby": "licen", "permission": "purpose", "hereby": "permission", "contributors": "neither", "reserved": "rights", "reproduced": "permission", "redistribute": "general", "domain": "public"}
-
-# Licenses: label, keyword, expression for the name, expression for versions (None: no version).
-_V = r"(?:,? ?(?:version|v\.?) ?|[ -])"
-FAMILIES = [
-    ("apache", "apache", r"apache(?: software)?(?: license)?", ["1.0", "1.1", "2.0"]),
-    ("mit", "mit", r"(?:expat|mit|x11)(?: license)?", None),
-    ("bsd-2-clause", "bsd", r"(?:simplified|2-clause|two-clause|freebsd) bsd(?: license)?", None),
-    ("bsd-3-clause", "bsd", r"(?:new|revised|modified|3-clause|three-clause) bsd(?: license)?", None),
-    ("bsd-4-clause", "bsd", r"(?:original|4-clause|four-clause) bsd(?: license)?", None),
-    ("bsd", "bsd", r"bsd(?:[- ]style)?(?: license)?", None),
-    ("agpl", "affero", r"(?:gnu )?affero general public license", ["1.0", "3"]),
-    ("lgpl", "lesser", r"(?:gnu )?lesser general public license", ["2.1", "3"]),
-    ("lgpl", "library", r"(?:gnu )?library general public license", ["2"]),
-    ("gpl", "general", r"(?:gnu )?general public license", ["1", "2", "3"]),
-    ("gfdl", "documentation", r"(?:gnu )?free documentation license", ["1.1", "1.2", "1.3"]),
-    ("mpl", "mozilla", r"mozilla public license", ["1.0", "1.1", "2.0"]),
-    ("epl", "eclipse", r"eclipse public license", ["1.0", "2.0"]),
-    ("cddl", "distribution", r"common development and distribution license", ["1.0", "1.1"]),
-    ("cpl", "common", r"common public license", ["1.0"]),
-    ("eupl", "european", r"european union public licen[cs]e", ["1.1", "1.2"]),
-    ("artistic", "artistic", r"artistic license", ["1.0", "2.0"]),
-    ("boost", "boost", r"boost software license", ["1.0"]),
-    ("zlib", "zlib", r"zlib(?:/libpng)?(?: license)?", None),
-    ("isc", "isc", r"isc license", None),
-    ("unlicense", "unlicense", r"(?:the )?unlicense", None),
-    ("wtfpl", "want", r"do what the f\S* you want to public license", None),
-    ("python", "python", r"python(?: software foundation)? license", ["2"]),
-    ("postgresql", "postgresql", r"postgresql license", None),
-    ("openssl", "openssl", r"openssl license", None),
-    ("odbl", "database", r"open database license", ["1.0"]),
-    ("odc-by", "commons", r"open data commons attribution license", ["1.0"]),
-    ("ofl", "font", r"(?:sil )?open font license", ["1.0", "1.1"]),
-    ("ms-pl", "microsoft", r"microsoft public license", None),
-    ("ms-rl", "reciprocal", r"microsoft reciprocal license", None),
-    ("openrail", "openrail", r"openrail(?:[+-]{1,2}m)?(?: license)?", None),
-    ("vim", "vim", r"vim license", None),
-    ("ruby", "ruby", r"ruby license", None),
-    ("php", "php", r"php license", ["3.0", "3.01"]),
-    ("w3c", "w3c", r"w3c(?: software)?(?: notice and)? license", None),
-    ("elastic", "elastic", r"elastic license", ["2.0"]),
-    ("sspl", "server", r"server side public license", ["1"]),
-    ("busl", "business", r"business source license", ["1.1"]),
-]
-CREATIVE = ["by", "by-sa", "by-nc", "by-nd", "by-nc-sa", "by-nc-nd"]
-CREATIVE_NAMES = {"by": "attribution", "sa": "share ?alike", "nc": "non-?commercial", "nd": "no ?deriv(?:ative)?s?(?: works)?"}
-CREATIVE_VERSIONS = ["1.0", "2.0", "2.5", "3.0", "4.0"]
-# Texts of licenses and notices, by a sentence of theirs.
-TEXTS = [
-    ("mit", "hereby", r"permission is hereby granted, free of charge, to any person obtaining a copy"),
-    ("isc", "permission", r"permission to use, copy, modify,? and/?(?:or)? distribute this software for any purpose"),
-    ("bsd", "redistribution", r"redistribution and use in source and binary forms, with or without modification"),
-    ("bsd-3-clause", "contributors", r"neither the names? of [\s\S]{1,200}? nor the names of (?:its|their) contributors"),
-    ("boost", "hereby", r"permission is hereby granted[\s\S]{1,120}?to any person or organization"),
-    ("zlib", "as-is", r"this software is provided 'as-is', without any express or implied warranty"),
-    ("unlicense", "unencumbered", r"this is free and unencumbered software released into the public domain"),
-    ("gpl", "redistribute", r"redistribute it and/or modify it under the terms of the gnu general public license"),
-    ("public-domain", "domain", r"(?:released|dedicated|placed) (?:in)?to the public domain"),
-    ("public-domain", "domain", r"in the public domain"),
-    ("cc0", "reserved", r"no rights reserved"),
-    ("reserved", "reserved", r"all rights reserved"),
-    ("copyright", "copyright", r"copyright (?:\(c\)|©)? ?(?:19|20)\d\d"),
-    ("copyright", "©", r"© ?(?:19|20)\d\d"),
-    ("proprietary", "proprietary", r"proprietary and confidential"),
-    ("proprietary", "reproduced", r"may not be reproduced (?:in any form )?without (?:prior )?(?:written )?permission"),
-    ("non-commercial", "commercial", r"for non-?commercial (?:use|purposes) only"),
-    ("research-only", "research", r"for research (?:use|purposes) only"),
-]
-
-
-def spaced(expression: str) -> str:
-    """The expression with GAP for its blanks."""
-    for old, new in (("[ -]+", f"(?:{GAP}|-)+"), ("[ -]", f"(?:{GAP}|-)"), ("[- ]", f"(?:{GAP}|-)"), (" ?", f"(?:{GAP})?"), (" ", GAP)):
-        expression = expression.replace(old, new)
-    return expression
-
-
-def rules() -> list[tuple[int, str, str, str, float]]:
-    """Priority, keyword, expression, label, weight; the specific come before the general."""
-    out = []
-    ver = lambda v: v.replace(".", r"\.")
-
-    def put(keyword, expression, label, weight):
-        out.append((len(out), keyword, spaced(expression), label, weight))
-
-    for kind in sorted(CREATIVE, key=lambda k: -len(k)):
-        words = "[ -]".join(kind.split("-"))
-        name = "-".join(CREATIVE_NAMES[x] for x in kind.split("-")).replace("-non-?", "[ -]+non-?").replace("-share", "[ -]+share").replace("-no ", "[ -]+no ")
-        for v in CREATIVE_VERSIONS:
-            put("cc", rf"\bcc[ -]{words}[ -]{ver(v)}\b", f"cc-{kind}-{v}", 0.98)
-            put("creative", rf"creative commons {name} {ver(v)}", f"cc-{kind}-{v}", 0.98)
-            put("creativecommons.org", rf"creativecommons\.org/licenses/{kind}/{ver(v)}", f"cc-{kind}-{v}", 0.99)
-        put("cc", rf"\bcc[ -]{words}\b", f"cc-{kind}", 0.9)
-        put("creative", rf"creative commons {name}", f"cc-{kind}", 0.9)
-    for v in ("", "1.0"):
-        put("cc0", rf"\bcc0{'[ -]' + ver(v) if v else ''}\b", "cc0" + f"-{v}" * bool(v), 0.9)
-    put("creativecommons.org", r"creativecommons\.org/publicdomain/zero/1\.0", "cc0-1.0", 0.99)
-    for label, keyword, name, versions in FAMILIES:
-        for v in reversed(versions or []):
-            tail = ver(v) + (r"(?:\.0)?" if "." not in v else "")
-            put(keyword, rf"(?:licensed|released|distributed) under (?:the )?(?:terms of the )?{name}{_V}{tail}\b", f"{label}-{v}", 0.99)
-            put(keyword, rf"\b{name}{_V}{tail}\b", f"{label}-{v}", 0.9)
-            put("spdx", rf"spdx-license-identifier: ?{label}-{tail}(?:-(?:only|or-later))?", f"{label}-{v}", 1.0)
-        put(keyword, rf"(?:licensed|released|distributed) under (?:the )?(?:terms of the )?{name}", label, 0.95)
-        put("spdx", rf"spdx-license-identifier: ?{label}(?![\w.-])", label, 1.0)
-        if "licen" in name and not name.endswith("(?: license)?"):
-            put(keyword, rf"\b{name}", label, 0.8)
-        elif name.endswith("(?: license)?"):
-            put(keyword, rf"\b{name.removesuffix('(?: license)?')} license\b", label, 0.8)
-    for label, keyword, expression in TEXTS:
-        put(keyword, expression, label, 0.7)
+
+def grouped() -> dict[tuple[str, str], list[int]]:
+    """The numbers of the rules of each keyword and second word, in order."""
+    out: dict[tuple[str, str], list[int]] = {}
+    for i, (_, _, keyword, also, _) in enumerate(RULES):
+        out.setdefault((keyword, also), []).append(i)
     return out
 
 
-RULES = rules()
-KEYWORDS = sorted({r[1] for r in RULES})
+GROUPS = grouped()
+
+
+def group_expression(rules: list[int]) -> str:
+    return "|".join(f"(?:{RULES[i][4]})" for i in rules)
 
 
 def base_places(words: Column, n_words: Column, phrase: str) -> tuple[Column, Column, Column]:
@@ -154,12 +52,17 @@ def base_places(words: Column, n_words: Column, phrase: str) -> tuple[Column, Co
     return n, F.when(n > 0, first), F.when(n > 0, n_words - after - len(p))
 
 
-def detections(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Adds out: the detections (start, stop, rule, label, weight) that aren't suppressed, for lower-cased text (null: none)."""
-    kind = "array<struct<start:int,stop:int,rule:int,label:string,weight:double>>"
-    table = F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(k).alias("keyword"), F.lit(ALSO.get(k, "")).alias("also"), F.lit(x).alias("x"), F.lit(lab).alias("label"), F.lit(w).alias("weight")) for i, k, x, lab, w in RULES])
-    t = F.col(text)
-    df = df.withColumn("_hits", F.when(t.isNull(), None).otherwise(F.transform(F.filter(table, lambda r: F.contains(t, r["keyword"]) & F.contains(t, r["also"])), lambda r: F.struct(r["rule"].alias("rule"), r["label"].alias("label"), r["weight"].alias("weight"), F.regexp_extract_all(t, r["x"], F.lit(0)).alias("found"), F.split(t, r["x"], -1).alias("rest")))))
+def _found(text: Column, keyword: str, also: str, rules: list[int]) -> Column:
+    """start, stop and rule of what the rules of a keyword find, for texts that hold it."""
+    kind, one = "array<struct<start:int,stop:int,rule:int>>", F.lit(group_expression(rules))
+    scanned = F.struct(F.regexp_extract_all(text, one, F.lit(0)).alias("found"), F.split(text, one, -1).alias("rest"))
+
+    def rule_of(x: Column) -> Column:
+        """The last needs no test: what is none of the others is its."""
+        out = F.lit(rules[-1])
+        for i in reversed(rules[:-1]):
+            out = F.when(x.rlike(rf"^(?:{RULES[i][4]})\z"), F.lit(i)).otherwise(out)
+        return out
 
     def spans(h: Column) -> Column:
         start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
@@ -167,22 +70,33 @@ def detections(df: DataFrame, text: str, out: str) -> DataFrame:
         def step(a, i):
             begin = a["at"] + F.length(F.get(h["rest"], i))
             stop = begin + F.length(F.get(h["found"], i))
-            one = F.struct(begin.alias("start"), stop.alias("stop"), h["rule"].alias("rule"), h["label"].alias("label"), h["weight"].alias("weight"))
-            return F.struct(stop.alias("at"), F.concat(a["out"], F.array(one)).alias("out"))
+            return F.struct(stop.alias("at"), F.concat(a["out"], F.array(F.struct(begin.alias("start"), stop.alias("stop"), rule_of(F.get(h["found"], i)).alias("rule")))).alias("out"))
+
+        return F.when(F.size(h["found"]) > 0, F.aggregate(F.sequence(F.lit(0), F.size(h["found"]) - 1), start, step)["out"]).otherwise(F.array().cast(kind))
+
+    held = F.contains(text, F.lit(keyword)) & F.contains(text, F.lit(also)) if also else F.contains(text, F.lit(keyword))
+    return F.when(held, F.flatten(F.transform(F.array(scanned), spans))).otherwise(F.array().cast(kind))
 
-        return F.aggregate(F.sequence(F.lit(0), F.size(h["found"]) - 1), start, step)["out"]
 
-    found = F.flatten(F.transform(F.filter("_hits", lambda h: F.size(h["found"]) > 0), spans))
-    order = F.array_sort(F.transform(found, lambda s: F.struct(s["start"].alias("start"), (-s["stop"]).alias("back"), s["rule"].alias("rule"), s["label"].alias("label"), s["weight"].alias("weight"))))
-    df = df.withColumn("_order", order)
+def detections(df: DataFrame, text: str, out: str) -> DataFrame:
+    """Adds out: the detections (start, stop, rule, label, weight) that aren't suppressed, for lower-cased text (null: none)."""
+    kind = "array<struct<start:int,back:int,rule:int>>"
+    every = F.concat(*[_found(F.col(text), keyword, also, rules) for (keyword, also), rules in GROUPS.items()])
+    df = df.withColumn("_every", every)
+    df = df.withColumn("_order", F.array_sort(F.transform("_every", lambda s: F.struct(s["start"].alias("start"), (-s["stop"]).alias("back"), s["rule"].alias("rule")))))
 
     def keep(a, s):
-        one = F.struct(s["start"].alias("start"), (-s["back"]).alias("stop"), s["rule"].alias("rule"), s["label"].alias("label"), s["weight"].alias("weight"))
-        new = -s["back"] > a["end"]
-        return F.struct(F.when(new, -s["back"]).otherwise(a["end"]).alias("end"), F.when(new, F.concat(a["out"], F.array(one))).otherwise(a["out"]).alias("out"))
+        last = F.get(a["out"], F.size(a["out"]) - 1)
+        begun = F.size(a["out"]) > 0
+        apart = ~begun | (s["start"] >= -last["back"])
+        instead = begun & ~apart & (-s["back"] > -last["back"]) & (s["rule"] < last["rule"])
+        kept = F.when(apart, F.concat(a["out"], F.array(s))).when(instead, F.concat(F.slice(a["out"], F.lit(1), F.size(a["out"]) - 1), F.array(s))).otherwise(a["out"])
+        return F.struct(kept.alias("out"))
 
-    kept = F.aggregate("_order", F.struct(F.lit(-1).alias("end"), F.array().cast(kind).alias("out")), keep)["out"]
-    return df.withColumn(out, F.coalesce(kept, F.array().cast(kind))).drop("_hits", "_order")
+    kept = F.aggregate("_order", F.struct(F.array().cast(kind).alias("out")), keep)["out"]
+    labels, weights = F.array(*[F.lit(r[0]) for r in RULES]), F.array(*[F.lit(r[1]) for r in RULES])
+    named = F.transform(kept, lambda s: F.struct(s["start"].alias("start"), (-s["back"]).alias("stop"), s["rule"].alias("rule"), F.get(labels, s["rule"]).alias("label"), F.get(weights, s["rule"]).alias("weight")))
+    return df.withColumn(out, F.coalesce(named, F.array().cast("array<struct<start:int,stop:int,rule:int,label:string,weight:double>>"))).drop("_every", "_order")
 
 
 def license_scan(documents: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -193,10 +107,9 @@ def license_scan(documents: DataFrame, id_col: str = "doc_id", text: str = "text
     low = F.lower("_text")
     d = d.select(id_col, "_text", n.cast("long").alias("n_words"), low.alias("_low"))
     based = reduce(or_, [F.contains("_low", F.lit(p.split()[-1])) & F.contains("_low", F.lit(p.split()[0])) for p in BASE])
-    gated = reduce(or_, [F.contains("_low", F.lit(k)) & F.contains("_low", F.lit(ALSO.get(k, ""))) for k in KEYWORDS])
     spaced = F.concat(F.lit(" "), F.trim(F.regexp_replace(lower_ascii(F.col("_text")), not_word, "  ")), F.lit(" "))
-    d = d.withColumns({"_spaced": F.when(based, spaced).otherwise(F.lit("")), "_scan": F.when(gated, F.col("_low"))})
-    d = detections(d, "_scan", "detections")
+    d = d.withColumn("_spaced", F.when(based, spaced).otherwise(F.lit("")))
+    d = detections(d, "_low", "detections")
     for i, p in enumerate(BASE):
         d = d.withColumn(f"_b{i}", F.when(F.col("_spaced") != "", F.struct(*[c.alias(k) for c, k in zip(base_places(F.col("_spaced"), F.col("n_words"), p), ("n", "first", "last"), strict=True)])))
     ns = [F.coalesce(F.col(f"_b{i}.n"), F.lit(0)) for i in range(len(BASE))]

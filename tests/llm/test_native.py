@@ -141,19 +141,29 @@ def test_licenses(spark):
 
 def brute_detections(t):
     found = []
-    for i, keyword, x, label, _ in licenses.RULES:
-        if keyword in t:
-            found += [(m.start(), m.end(), i, label) for m in re.finditer(x, t, re.ASCII)]
-    keep = set()
-    for a in found:
-        inside = any(b is not a and b[0] <= a[0] and b[1] >= a[1] and ((b[0], b[1]) != (a[0], a[1]) or b[2] < a[2]) for b in found)
-        if not inside:
-            keep.add((a[0], a[1], a[3]))
-    return keep
+    for (keyword, also), rules in licenses.GROUPS.items():
+        if keyword in t and also in t:
+            for m in re.finditer(licenses.group_expression(rules), t, re.ASCII):
+                rule = next(i for i in rules if re.fullmatch(licenses.RULES[i][4], m[0], re.ASCII))
+                found.append((m.start(), -m.end(), rule))
+    kept = []
+    for start, back, rule in sorted(found):
+        if not kept or start >= -kept[-1][1]:
+            kept.append((start, back, rule))
+        elif back < kept[-1][1] and rule < kept[-1][2]:
+            kept[-1] = (start, back, rule)
+    return {(start, -back, licenses.RULES[rule][0]) for start, back, rule in kept}
 
 
 def test_rules_are_many_and_ordered():
-    assert len(licenses.RULES) > 200 and len({r[2] for r in licenses.RULES}) > 200
+    assert len(licenses.RULES) > 200 and len({r[4] for r in licenses.RULES}) == len(licenses.RULES)
+
+
+def test_partial_overlaps(spark):
+    # The earlier rule's detection stays, whether it comes first or second in the text.
+    texts = ["under the creative commons attribution share alike 4.0 license", "gnu library general public license version 2 or later", "copyright 2020 all rights reserved, no rights reserved", "distributed under the terms of the bsd license and mit license", "cc-by cc-by-nc-sa-4.0 cc0-1.0", "the apache software license, version 1.1 public license"]
+    for r in licenses.license_scan(frame(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect():
+        assert {(d.start, d.stop, d.label) for d in r.detections} == brute_detections(texts[r.doc_id]), texts[r.doc_id]
 
 
 def test_secrets(spark):
