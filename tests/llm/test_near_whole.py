@@ -46,3 +46,72 @@ def test_rows_that_share_an_id(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     kept = [(x.doc_id, x.text) for x in simhash.without_copies(df).collect()]
     assert sorted(kept) == sorted([(7, texts[0]), (7, texts[1]), (9, texts[2]), (9, texts[3])])
+
+
+def brute_classes(rows):
+    """The least id that links of Jaccard similarity 0.8 reach, over all pairs."""
+    sets = {}
+    for i, t in rows:
+        w = t.lower().split()
+        sets[i] = {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set()
+    root = {i: i for i in sets}
+    find = lambda x: x if root[x] == x else find(root[x])
+    links = 0
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                links += 1
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {i: find(i) for i in sets}, links
+
+
+def mixed_corpus(seed=24):
+    """Copies with scattered and contiguous edits at all similarities, chains of them, passages that many texts share, short texts,
+    and texts of many more shingles than a plain sketch is for."""
+    r = random.Random(seed)
+    word = lambda: f"t{r.randint(0, 9000)}"
+    passage = [word() for _ in range(60)]
+    texts = []
+    for _ in range(12):
+        w = [word() for _ in range(r.choice([6, 12, 40, 150, 400]))]
+        for _ in range(5):
+            texts.append(" ".join(w))
+            w = list(w)
+            for _ in range(r.randint(1, 1 + len(w) // 30)):
+                w[r.randrange(len(w))] = word()
+            if r.random() < 0.4:
+                w = w[: len(w) - len(w) // r.choice([6, 9, 15])]
+    texts += [" ".join(passage + [word() for _ in range(r.choice([5, 12, 30, 200]))]) for _ in range(25)]
+    texts += [" ".join([word() for _ in range(r.choice([1, 2, 4, 5, 6]))]) for _ in range(10)] + ["one two", "one two", "One  two", "a b c d e f", "a b c d e g"]
+    long = [word() for _ in range(4000)]
+    for n in (0, 5, 60, 90, 130):
+        v = list(long)
+        for at in r.sample(range(len(v)), n):
+            v[at] = word()
+        texts.append(" ".join(v))
+    texts += [" ".join(long + [word() for _ in range(900)]), " ".join(long[:3300])]
+    r.shuffle(texts)
+    return list(enumerate(texts))
+
+
+def test_classes_equal_brute_force(spark):
+    rows = mixed_corpus()
+    want, links = brute_classes(rows)
+    assert links > 30 and classes_of(spark, rows) == want
+
+
+def test_far_sides_agree(spark, monkeypatch):
+    rows = mixed_corpus(25)
+    want, _ = brute_classes(rows)
+    for name in ("MOST_BROADCAST", "MOST_KEYS", "PAIRS_EACH"):
+        monkeypatch.setattr(simhash, name, 0)
+    monkeypatch.setattr(simhash, "COMMON", 0)
+    assert classes_of(spark, rows) == want
+
+
+def test_recall_of_pairs_on_documents(spark):
+    """Every pair that is similar enough, found by an inverted index over all shingles, is in one class."""
+    docs = [(d.doc_id, d.text) for d in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    want, links = brute_classes([(i, t or "") for i, t in docs])
+    assert links and classes_of(spark, docs) == want
