@@ -2,7 +2,14 @@
 mixed to their targets, and the mix is packed.
 
 Every stage takes (spark, docs, sf_dir) and gets all rows that the stage before it kept; all but the last return the columns of
-documents. The toxicity stage learns from the table labels of the folder. SQL can't express the stages.
+documents, in their order, others than doc_id, text, source and n_chars as they came, whatever their names. The toxicity stage
+learns from the table labels of the folder. SQL can't express the stages: tests hold each against a brute-force version.
+
+Null texts count as empty, are never toxic unless all is, hold no secret, and add nothing to the mix, whose rows are those with words
+to give. Texts are read whole, however long. Rows with a null id are scored like others and kept by the near-duplicate stage, for no
+class has them; null sources are a source of their own. Of repeated rows, and of rows with one id and text, one stays; rows that share
+an id but not the text are told apart. Ties are broken by id and text, so that a run again gives the same rows. An empty table, or one
+of which a stage leaves nothing, gives no rows.
 """
 
 from __future__ import annotations
