@@ -42,3 +42,13 @@ def step_select(clusters: DataFrame, k: int, lower: str = "lb", radius: str = "r
     limit = c.filter(~F.coalesce(covered, F.lit(False))).groupBy(*names).agg(F.greatest(F.lit(0.0), F.max(F.col(lower) + 2 * F.col(radius))).alias("_t"))
     c = c.join(F.broadcast(limit) if not by else limit, names)
     return c.filter(~F.coalesce(covered, F.lit(False)) | (F.col(lower) <= F.col("_t"))).drop("_edge", "_sum", "_t", "_all")
+
+
+def step_limit(clusters: DataFrame, k: int, lower: str = "lb", radius: str = "radius", n: str = "n", tie: str = "node_id") -> float:
+    """The greatest upper bound of the clusters that cover k points, 0 at least: one number, so that a plan that uses it needs no join.
+    For clusters none of which is empty, as an index has them; infinite if all together have fewer points."""
+    first = clusters.select(F.col(lower).alias("_l"), F.col(tie).alias("_tie"), F.col(radius).alias("_r"), F.col(n).alias("_n")).orderBy("_l", "_tie").limit(k)
+    w = Window.orderBy("_l", "_tie").rowsBetween(Window.unboundedPreceding, -1)  # over k rows at most
+    first = first.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    got = first.agg(F.max(F.when(F.col("_before") < k, F.col("_l") + 2 * F.col("_r"))), F.sum("_n")).first()
+    return float("inf") if got[1] is None or got[1] < k else max(0.0, got[0])

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshq.operators.parts import ROWS_EACH, with_position
-from meshq.operators.prune import step_select
+from meshq.operators.prune import step_limit
 
 KEY = ("seq", "dtype")
 
@@ -80,8 +80,8 @@ def nearest_candidates(grouped: DataFrame, seq: int, target_us: int, k: int, n:
     like any cluster by its least and greatest distance."""
     near = F.greatest(F.col("first_us") - target_us, target_us - F.col("last_us"), F.lit(0)).cast("double")
     far = F.greatest(F.abs(F.col("first_us") - target_us), F.abs(F.col("last_us") - target_us)).cast("double")
-    d = grouped.filter(F.col("seq") == seq).withColumns({"_near": near, "_radius": (far - near) / 2})
-    return step_select(d, k, lower="_near", radius="_radius", n=n, tie="item_no").drop("_near", "_radius")
+    d = grouped.filter((F.col("seq") == seq) & (F.col(n) > 0)).withColumns({"_near": near, "_radius": (far - near) / 2})
+    return d.filter(F.col("_near") <= step_limit(d, k, "_near", "_radius", n, "item_no")).drop("_near", "_radius")
 
 
 def candidates(records: DataFrame, wanted: DataFrame, key: str) -> DataFrame:

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from meshq.functions.vectors import as_double, box_distance_squared, in_box, is_finite, l2, l2_squared, vector
 from meshq.operators import cluster
 from meshq.operators.parts import against
-from meshq.operators.prune import box_may_hit, knn_bounds, step_select
+from meshq.operators.prune import box_may_hit, knn_bounds, step_limit, step_select
+from meshq.shared import scratch
 
 
 def plan_levels(n: int, ratios: list[int]) -> list[int]:
@@ -117,8 +118,8 @@ class MeshIndex:
 
     def _near(self, q, k: int):
         def keep(t):
-            d = t.withColumn("_d", l2(F.col("centroid"), vector(q)))
-            return step_select(d.withColumn("lb", knn_bounds(F.col("_d"), F.col("radius"))[0]), k)
+            d = t.withColumn("lb", knn_bounds(l2(F.col("centroid"), vector(q)), F.col("radius"))[0])
+            return d.filter(F.col("lb") <= step_limit(d, k))
 
         return keep
 
@@ -151,8 +152,10 @@ class MeshIndex:
         for level in range(self.levels):
             t = self.nodes.filter(F.col("level") == level)
             t = against(t, queries) if alive is None else t.join(alive.select(F.col("node_id").alias("parent_id"), "qid", "q"), "parent_id")
-            t = t.withColumn("lb", knn_bounds(l2(F.col("centroid"), F.col("q")), F.col("radius"))[0])
-            alive = step_select(t, k, by=("qid",))
+            # Written, for it is read several times, and the next level is made from it.
+            path = scratch(t.sparkSession, "survivors")
+            t.withColumn("lb", knn_bounds(l2(F.col("centroid"), F.col("q")), F.col("radius"))[0]).write.parquet(path)
+            alive = step_select(t.sparkSession.read.parquet(path), k, by=("qid",))
         d = self.points.join(alive.select("node_id", "qid", "q"), "node_id").select("qid", "id", l2_squared(F.col("coords"), F.col("q")).alias("d2"))
         w = Window.partitionBy("qid").orderBy("d2", "id")
         return d.withColumn("rnk", F.row_number().over(w)).filter(F.col("rnk") <= k)

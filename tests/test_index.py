@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from meshq.operators import cluster
 from meshq.operators.parts import against
-from meshq.operators.prune import step_select
+from meshq.operators.prune import step_limit, step_select
 from meshq.plans.index import MeshIndex, plan_levels
 
 
@@ -48,6 +48,9 @@ def test_step_equals_loop(spark):
             seen += n
         df = spark.createDataFrame(rows, "node_id int, lb double, radius double, n int")
         assert sorted(x.node_id for x in step_select(df, k).collect()) == sorted(took), case
+        full = df.filter("n > 0")
+        limit = step_limit(full, k)
+        assert sorted(x.node_id for x in full.filter(F.col("lb") <= limit).collect()) == sorted(x.node_id for x in step_select(full, k).collect()), case
 
 
 def test_saved_points_are_the_input(spark, tmp_path):
