@@ -93,20 +93,20 @@ cc-by-sa 0.9 creative+commons creative commons attribution[ -]+share ?alike
 cc-by 0.9 creative+commons creative commons attribution
 cc0 0.9 creative+commons creative commons (?:zero|cc0)
 creative-commons 0.6 creative+commons creative commons licen[cs]e
-cc-by-nc-nd-4.0 0.97 cc \bcc[ -]by[ -]nc[ -]nd[ -]4\.0\b
-cc-by-nc-sa-4.0 0.97 cc \bcc[ -]by[ -]nc[ -]sa[ -]4\.0\b
-cc-by-nc-4.0 0.97 cc \bcc[ -]by[ -]nc[ -]4\.0\b
-cc-by-nd-4.0 0.97 cc \bcc[ -]by[ -]nd[ -]4\.0\b
-cc-by-sa-4.0 0.97 cc \bcc[ -]by[ -]sa[ -]4\.0\b
-cc-by-4.0 0.97 cc \bcc[ -]by[ -]4\.0\b
-cc-by-sa-3.0 0.97 cc \bcc[ -]by[ -]sa[ -]3\.0\b
-cc-by-3.0 0.97 cc \bcc[ -]by[ -]3\.0\b
-cc-by-nc-nd 0.9 cc \bcc[ -]by[ -]nc[ -]nd\b
-cc-by-nc-sa 0.9 cc \bcc[ -]by[ -]nc[ -]sa\b
-cc-by-nc 0.9 cc \bcc[ -]by[ -]nc\b
-cc-by-nd 0.9 cc \bcc[ -]by[ -]nd\b
-cc-by-sa 0.9 cc \bcc[ -]by[ -]sa\b
-cc-by 0.85 cc \bcc[ -]by\b
+cc-by-nc-nd-4.0 0.97 cc+by \bcc[ -]by[ -]nc[ -]nd[ -]4\.0\b
+cc-by-nc-sa-4.0 0.97 cc+by \bcc[ -]by[ -]nc[ -]sa[ -]4\.0\b
+cc-by-nc-4.0 0.97 cc+by \bcc[ -]by[ -]nc[ -]4\.0\b
+cc-by-nd-4.0 0.97 cc+by \bcc[ -]by[ -]nd[ -]4\.0\b
+cc-by-sa-4.0 0.97 cc+by \bcc[ -]by[ -]sa[ -]4\.0\b
+cc-by-4.0 0.97 cc+by \bcc[ -]by[ -]4\.0\b
+cc-by-sa-3.0 0.97 cc+by \bcc[ -]by[ -]sa[ -]3\.0\b
+cc-by-3.0 0.97 cc+by \bcc[ -]by[ -]3\.0\b
+cc-by-nc-nd 0.9 cc+by \bcc[ -]by[ -]nc[ -]nd\b
+cc-by-nc-sa 0.9 cc+by \bcc[ -]by[ -]nc[ -]sa\b
+cc-by-nc 0.9 cc+by \bcc[ -]by[ -]nc\b
+cc-by-nd 0.9 cc+by \bcc[ -]by[ -]nd\b
+cc-by-sa 0.9 cc+by \bcc[ -]by[ -]sa\b
+cc-by 0.85 cc+by \bcc[ -]by\b
 cc0-1.0 0.95 cc0 \bcc0[ -]1\.0\b
 cc0 0.85 cc0 \bcc0\b
 # GNU licenses: their own notices, then names
@@ -154,14 +154,14 @@ apache 0.8 apache contributor license agreements?\. see the notice file[\s\S]{1,
 mit 0.95 hereby+permission permission is hereby granted, free of charge, to any person obtaining a copy
 boost 0.9 hereby+permission permission is hereby granted[\s\S]{1,120}?to any person or organization
 mit-modern 0.8 hereby+permission permission to use, copy, modify, and distribute this software and its documentation for any purpose,? (?:and without fee )?is hereby granted
-mit 0.95 mit (?:licensed|released|distributed) under (?:the )?(?:terms of the )?mit(?: license)?
-mit 0.9 mit \bmit license(?: \(mit\))?
-mit 0.9 mit \blicense: ?mit\b
+mit 0.95 mit+under (?:licensed|released|distributed) under (?:the )?(?:terms of the )?mit(?: license)?
+mit 0.9 mit+licen \bmit license(?: \(mit\))?
+mit 0.9 mit+licen \blicense: ?mit\b
 x11 0.9 x11 \bx11 license\b
 expat 0.9 expat \bexpat license\b
 mit 0.6 noninfringement fitness for a particular purpose and noninfringement
 isc 0.95 permission+purpose permission to use, copy, modify,? and/?(?:or)? distribute this software for any purpose
-isc 0.9 isc \bisc license\b
+isc 0.9 isc+licen \bisc license\b
 bsd-0-clause 0.9 0bsd \b0bsd\b
 # BSD
 bsd-4-clause 0.95 acknowledgement all advertising materials mentioning features or use of this software must display the following acknowledgement
@@ -190,25 +190,25 @@ cddl 0.85 distribution+development common development and distribution license
 cddl 0.8 cddl \bcddl[ -]1\.[01]\b
 cpl-1.0 0.95 common+public common public license,? ?(?:version |v\.? ?)?1\.0
 cpl 0.85 common+public common public license
-ipl-1.0 0.9 ibm \bibm public license(?:,? (?:version |v\.? ?)?1\.0)?
-spl-1.0 0.9 sun \bsun public license(?:,? (?:version |v\.? ?)?1\.0)?
+ipl-1.0 0.9 ibm+public \bibm public license(?:,? (?:version |v\.? ?)?1\.0)?
+spl-1.0 0.9 sun+public \bsun public license(?:,? (?:version |v\.? ?)?1\.0)?
 # Languages, tools and foundations
 python-2.0 0.95 python+licen python software foundation license,? ?(?:version |v\.? ?)?2
 python 0.85 python+licen python(?: software foundation)? license
-php-3.01 0.95 php \bphp license,? ?(?:version |v\.? ?)?3\.01
-php-3.0 0.95 php \bphp license,? ?(?:version |v\.? ?)?3\.0
-php 0.8 php \bphp license\b
+php-3.01 0.95 php+licen \bphp license,? ?(?:version |v\.? ?)?3\.01
+php-3.0 0.95 php+licen \bphp license,? ?(?:version |v\.? ?)?3\.0
+php 0.8 php+licen \bphp license\b
 ruby 0.8 ruby+licen \bruby license\b
-perl 0.85 perl under the same terms as perl itself
+perl 0.85 perl+terms under the same terms as perl itself
 artistic-2.0 0.95 artistic artistic license,? ?(?:version |v\.? ?)?2\.0
 artistic-1.0 0.95 artistic artistic license,? ?(?:version |v\.? ?)?1\.0
 artistic 0.85 artistic artistic license
 postgresql 0.9 postgresql postgresql license
 openssl 0.9 openssl openssl (?:license|toolkit)
 openssl 0.8 openssl this product includes software developed by the openssl project
-vim 0.8 vim \bvim license\b
-curl 0.8 curl \bcurl license\b
-tcl 0.8 tcl \btcl/tk license\b
+vim 0.8 vim+licen \bvim license\b
+curl 0.8 curl+licen \bcurl license\b
+tcl 0.8 tcl+licen \btcl/tk license\b
 zpl-2.1 0.9 zope \bzope public license(?:,? (?:version |v\.? ?)?2\.[01])?
 w3c 0.9 w3c w3c(?:®)? software(?: and document)?(?: notice and)? license
 unicode 0.9 unicode \bunicode(?:,? inc\.)? license(?: agreement)?
@@ -232,8 +232,8 @@ unlicense 0.95 unencumbered this is free and unencumbered software released into
 unlicense 0.85 unlicense \b(?:the )?unlicense\b
 wtfpl 0.9 want+public do what the f\S* you want to public license
 wtfpl 0.85 wtfpl \bwtfpl\b
-beerware 0.9 beer \bbeer-?ware license\b
-json 0.8 evil the software shall be used for good, not evil
+beerware 0.9 beer+licen \bbeer-?ware license\b
+json 0.8 evil+software the software shall be used for good, not evil
 # Fonts, data, models, source-available
 ofl-1.1 0.95 font+licen (?:sil )?open font license,? ?(?:version |v\.? ?)?1\.1
 ofl-1.0 0.95 font+licen (?:sil )?open font license,? ?(?:version |v\.? ?)?1\.0
