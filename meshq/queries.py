@@ -82,6 +82,12 @@ def point_box_distance(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(vectors.box_distance_squared(vectors.as_double("embedding"), vectors.vector(LO), vectors.vector(HI)), 9).alias("d2"))
 
 
+@query("select vec_id from embeddings where len(list_filter(embedding::DOUBLE[], lambda x: x < -0.35 or x > 0.35)) = 0")
+def range_array(spark, sf_dir):
+    """A box over coordinates that are one array."""
+    return search.box_array(table(spark, sf_dir, "embeddings"), "embedding", [-0.35] * 64, [0.35] * 64).select("vec_id")
+
+
 # A fixed tree over part: 50 leaves by size, 5 tops of ten sizes each, points (size, price). Centroids are rounded, so that
 # the order of summing doesn't show.
 _TREE = """pts as (select p_partkey, p_size::DOUBLE as x, p_retailprice as y, p_size as leaf, ((p_size - 1) // 10)::INT as top from part),
