@@ -1,7 +1,5 @@
 import re
 
-import pytest
-
 from meshq.llm import licenses
 
 BSD = """Redistribution and use in source and binary forms, with or without
@@ -25,13 +23,18 @@ def marked(text, mark):
     return "\n".join(mark + x for x in text.split("\n"))
 
 
-@pytest.mark.parametrize("mark", ["", " * ", "# ", "// ", ";; ", "   "])
-def test_wrapped_texts(spark, mark):
+MARKS = ["", " * ", "# ", "// ", ";; ", "   "]
+
+
+def test_wrapped_texts(spark):
     want = {BSD: {"bsd", "bsd-3-clause"}, ISC: {"isc"}, ZLIB: {"zlib"}, MIT: {"mit"}, BOOST: {"boost"}, GPL: {"gpl"}} | {t: {x} for t, x in NAMES.items()}
-    texts = list(want)
-    df = spark.createDataFrame([(i, marked(t, mark)) for i, t in enumerate(texts)], "doc_id long, text string")
-    for r in licenses.license_scan(df).collect():
-        assert want[texts[r.doc_id]] <= set(r.labels.split(",")), (mark, texts[r.doc_id], r.labels)
+    rows = [(m, t) for m in MARKS for t in want]
+    df = spark.createDataFrame([(i, marked(t, m)) for i, (m, t) in enumerate(rows)], "doc_id long, text string")
+    got = licenses.license_scan(df).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        mark, text = rows[r.doc_id]
+        assert want[text] <= set(r.labels.split(",")), (mark, text, r.labels)
 
 
 def test_keywords_are_single_words():
