@@ -16,6 +16,7 @@ checksum. Very long texts are read whole. An empty table gives no rows. Only the
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -41,6 +42,11 @@ def core(piece: str) -> tuple[str, str]:
     return (rest.lower() if rest.isascii() and "<|" not in rest else rest), mark
 
 
+def one_word(piece: str) -> bool:
+    """Whether the piece is one run of letters, in its normal form and in lower case too."""
+    return piece.isalpha() and (piece.isascii() or (unicodedata.is_normalized("NFC", piece) and piece.lower().isalpha()))
+
+
 class Encoder:
     """Token ids as little-endian bytes, by the tokenizers library. White space of ASCII never joins two tokens, so that the ids of the
     pieces between follow one another; short ones are kept for when they come again, in bounded memory. What is known of the
@@ -50,15 +56,34 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        read_vocabulary(path)
+        model = read_vocabulary(path)["model"]
         self.tokenizer = Tokenizer.from_file(path)
+        self.ends = np.zeros(max(model["vocab"].values()) + 1, bool)
+        self.ends[[i for t, i in model["vocab"].items() if t.endswith(model["end_of_word_suffix"])]] = True
         self.known = Kept()
         self.marks = {m: array("I", self.tokenizer.encode(m, add_special_tokens=False).ids).tobytes() for m in ("", ".", ",")}
 
+    def ids_of_words(self, words: list[str]) -> dict[str, bytes] | None:
+        """Of pieces that are one pre-token each, as one text: each ends with a token that ends a word. None if that doesn't come out."""
+        if not words:
+            return {}
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        ends = np.flatnonzero(self.ends[np.minimum(ids, len(self.ends) - 1)]) + 1
+        if len(ends) != len(words) or ends[-1] != len(ids):
+            return None
+        raw, ends = ids.tobytes(), (4 * ends).tolist()
+        return {w: raw[a:b] for w, a, b in zip(words, [0, *ends[:-1]], ends, strict=True)}
+
     def made(self, pieces: set[bytes]) -> dict[bytes, bytes]:
         parts = {w: core(w.decode("utf-8", "replace")) for w in pieces}
         cores = list({c for c, _ in parts.values()})
-        ids = {c: array("I", e.ids).tobytes() for c, e in zip(cores, self.tokenizer.encode_batch_fast(cores, add_special_tokens=False), strict=True)}
+        words = [c for c in cores if one_word(c)]
+        ids = self.ids_of_words(words)
+        if ids is None:
+            words, ids = [], {}
+        known = set(words)
+        cores = [c for c in cores if c not in known]
+        ids |= {c: array("I", e.ids).tobytes() for c, e in zip(cores, self.tokenizer.encode_batch_fast(cores, add_special_tokens=False), strict=True)}
         return {w: ids[c] + self.marks[mark] for w, (c, mark) in parts.items()}
 
     def of(self, texts: list[bytes]) -> Iterator[bytes]:
