@@ -183,14 +183,16 @@ def classes(documents: DataFrame, id_col: str = "doc_id", text: str = "text", sh
 # Near duplicates by shingle similarity. Texts whose fingerprints the Golay keys link are compared first; an exact path finds the rest: two
 # sets that are similar enough share one of the first n - ceil(similarity * n) + 1 of the n shingles of each, in any one order of all
 # shingles. Texts are filed under these, so that every link shares a key, however the words that differ lie.
-#: A shingle is common if so many texts, or the stated part of all texts, are filed under it; common ones come last in the order.
-COMMON, COMMON_PART = 16, 4000
+#: Common shingles come last in the order. They are those that so many texts, or the stated part of all texts, are filed under, by an
+#: estimate from one text in SAMPLED: any order gives the same links, and this one gives few texts to a key.
+COMMON, COMMON_PART, SAMPLED = 16, 4000, 8
 #: The exact join begins when it compares at most so many pairs for each row filed, or when pivots no longer halve their number.
 PAIRS_EACH = 64
 #: Bits of a parity sketch of a text of up to PARITY_FOR shingles; twice as many for each doubling beyond.
 PARITY, PARITY_FOR = 512, 1024
-#: Texts up to this number are picked by a broadcast of their hashes (about 100 bytes each); beyond, by a join on them.
-MOST_BROADCAST = 100_000
+#: Texts up to this number are picked by a broadcast of their hashes (about 100 bytes each), and keys up to this number by one of the keys
+#: (8 bytes each); beyond, by joins on them.
+MOST_BROADCAST, MOST_KEYS = 100_000, 2_000_000
 
 
 def shingle_set(text: bytes, n: int) -> tuple[list[int], np.ndarray]:
@@ -207,14 +209,42 @@ def parity_of(known: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
-def prefix_size(n, similarity: float):
-    return np.minimum(n, n - np.ceil(n * similarity - 1e-9).astype(np.int64) + 1)
+def prefix_of(known: np.ndarray, similarity: float, common: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """The shingles that a set is filed under: the first by how common they are, and then by hash."""
+    n = len(known)
+    size = min(n, n - int(np.ceil(n * similarity - 1e-9)) + 1)
+    if common is not None and len(common[0]):
+        at = np.minimum(np.searchsorted(common[0], known), len(common[0]) - 1)
+        known = known[np.lexsort((known, np.where(common[0][at] == known, common[1][at], 0)))]
+    return known[:size]
+
+
+def _lists(values: list[np.ndarray]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, values)]).astype(np.int32)), pa.array(np.concatenate(values) if values else np.zeros(0, np.int64)))
+
+
+def common_shingles(documents: DataFrame, text: str, shingle: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """The common shingles in ascending order, and how many sampled texts are filed under each. There are at most COMMON_PART of them for
+    each shingle of a mean prefix, whatever the number of texts."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    d = documents.select(F.lower(t).alias("text"), F.xxhash64(t).alias("hash")).filter(F.pmod("hash", F.lit(SAMPLED)) == 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(1), _lists([prefix_of(shingle_set(x.as_py(), shingle)[1], similarity) for x in b.column(0).cast(pa.binary())])], names=["hash", "prefix"])
+
+    sample = materialize(d.mapInArrow(run, "hash long, prefix array<long>").groupBy("hash").agg(F.first("prefix").alias("prefix")), "near-sample")
+    least = max(COMMON // SAMPLED, sample.count() // COMMON_PART)
+    table = sample.select(F.explode("prefix").alias("key")).groupBy("key").agg(F.count("*").alias("c")).filter(F.col("c") >= least).orderBy("key").toArrow()
+    drop(sample)
+    return table["key"].to_numpy(), table["c"].to_numpy()
 
 
 def sketches(documents: DataFrame, id_col: str, text: str, shingle: int, similarity: float) -> DataFrame:
     """id, hash of the text, fp (the fingerprint), n distinct shingles, prefix and parity, of the text in lower case."""
+    common = documents.sparkSession.sparkContext.broadcast(common_shingles(documents, text, shingle, similarity))
     t = F.coalesce(F.col(text), F.lit(""))
-    d = documents.select(F.col(id_col).alias("id"), F.md5(t).alias("hash"), F.lower(t).alias("text"))
+    d = documents.select(F.col(id_col).alias("id"), F.unhex(F.md5(t)).alias("hash"), F.lower(t).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -223,12 +253,11 @@ def sketches(documents: DataFrame, id_col: str, text: str, shingle: int, similar
                 each, known = shingle_set(x.as_py(), shingle)
                 fp.append(majority(each))
                 n.append(len(known))
-                prefix.append(known[: prefix_size(np.int64(len(known)), similarity)] if len(known) else known)
+                prefix.append(prefix_of(known, similarity, common.value))
                 parity.append(parity_of(known))
-            lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, c)]).astype(np.int32)), pa.array(np.concatenate(c) if c else np.zeros(0, np.int64))) for c in (prefix, parity)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(fp, dtype=np.uint64).view(np.int64)), pa.array(n, pa.int32()), *lists], names=["id", "hash", "fp", "n", "prefix", "parity"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(fp, dtype=np.uint64).view(np.int64)), pa.array(n, pa.int32()), _lists(prefix), _lists(parity)], names=["id", "hash", "fp", "n", "prefix", "parity"])
 
-    return d.mapInArrow(run, f"id {d.schema['id'].dataType.simpleString()}, hash string, fp long, n int, prefix array<long>, parity array<long>")
+    return d.mapInArrow(run, f"id {d.schema['id'].dataType.simpleString()}, hash binary, fp long, n int, prefix array<long>, parity array<long>")
 
 
 def sets_of(documents: DataFrame, texts: DataFrame, nodes: DataFrame, id_col: str, text: str, shingle: int) -> DataFrame:
@@ -237,14 +266,12 @@ def sets_of(documents: DataFrame, texts: DataFrame, nodes: DataFrame, id_col: st
     w = wanted.select(F.col("node").alias("_node"), F.col("id").alias("_id"), F.col("hash").alias("_hash"))
     t = F.coalesce(F.col(text), F.lit(""))
     d = documents.select(F.col(id_col).alias("id"), t.alias("text"))
-    d = d.join(F.broadcast(w) if w.count() <= MOST_BROADCAST else w, (F.col("id") == F.col("_id")) & (F.md5("text") == F.col("_hash")))
+    d = d.join(F.broadcast(w) if w.count() <= MOST_BROADCAST else w, (F.col("id") == F.col("_id")) & (F.unhex(F.md5("text")) == F.col("_hash")))
     d = d.select(F.col("_node").alias("node"), F.lower("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingle_set(x.as_py(), shingle)[1] for x in b.column(1).cast(pa.binary())]
-            flat = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]).astype(np.int32)), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), flat], names=["node", "set"])
+            yield pa.RecordBatch.from_arrays([b.column(0), _lists([shingle_set(x.as_py(), shingle)[1] for x in b.column(1).cast(pa.binary())])], names=["node", "set"])
 
     out = materialize(d.mapInArrow(run, "node long, set array<long>").groupBy("node").agg(F.first("set").alias("set")), "near-sets")
     drop(wanted)
@@ -268,37 +295,6 @@ def with_nodes(texts: DataFrame) -> DataFrame:
         salt += 1
 
 
-def with_rare_prefixes(documents: DataFrame, texts: DataFrame, id_col: str, text: str, shingle: int, similarity: float) -> DataFrame:
-    """texts with the prefixes in the order of how many texts are filed under a shingle, if it is common, and then by hash. Prefixes
-    without common shingles are the same in both orders. The number of common ones follows the mean size of a prefix, not the rows."""
-    least = max(COMMON, texts.count() // COMMON_PART)
-    keys = texts.select("node", F.explode("prefix").alias("key"))
-    common = materialize(keys.groupBy("key").agg(F.count("*").alias("c")).filter(F.col("c") >= least), "near-common")
-    table = common.orderBy("key").toArrow()
-    if not table.num_rows:
-        return texts
-    order = documents.sparkSession.sparkContext.broadcast((table["key"].to_numpy(), table["c"].to_numpy()))
-    having = keys.join(F.broadcast(common), "key", "left_semi").select("node").distinct()
-    sets = sets_of(documents, texts, having, id_col, text, shingle)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counts = order.value
-        for b in batches:
-            each, flat = b.column(1).value_lengths().to_numpy().astype(np.int64), b.column(1).flatten().to_numpy()
-            at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
-            row = np.repeat(np.arange(len(each)), each)
-            by = np.lexsort((flat, np.where(known[at] == flat, counts[at], 0), row))
-            size = prefix_size(each, similarity)
-            first = np.arange(len(flat)) - np.repeat(np.cumsum(each) - each, each) < size[row]
-            offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat[by][first]))], names=["node", "rare"])
-
-    rare = sets.select("node", "set").mapInArrow(run, "node long, rare array<long>")
-    out = materialize(texts.join(rare, "node", "left").withColumn("prefix", F.coalesce("rare", "prefix")).drop("rare"), "near-rare")
-    drop(sets, common)
-    return out
-
-
 def code_pairs(texts: DataFrame) -> DataFrame:
     """a and b, distinct: each text with the least of its fingerprint, and the least of each two fingerprints that Golay keys link."""
     fps = materialize(texts.filter("n > 0").groupBy("fp").agg(F.min("node").alias("rep")), "near-fps")
@@ -309,12 +305,11 @@ def code_pairs(texts: DataFrame) -> DataFrame:
 
 
 def shared_keys(texts: DataFrame) -> DataFrame:
-    """key, node, n, at (the key's place in the node's order), pivot: texts under the shingles of their prefixes, if others stand there
-    too; the least node is the pivot. Keys are grouped by map-side least and greatest nodes, and a hot key's rows are split by
-    adaptive execution."""
+    """key, node, n, at (the key's place in the node's order): texts under the shingles of their prefixes, if others stand there too. Keys are
+    counted on the map side first, and a hot key's rows are split by adaptive execution."""
     filed = texts.select("node", "n", F.posexplode("prefix").alias("at", "key"))
-    several = filed.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).filter("pivot < last").drop("last")
-    return filed.join(several, "key")
+    several = materialize(filed.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key"), "near-keys")
+    return filed.join(F.broadcast(several) if several.count() <= MOST_KEYS else several, "key")
 
 
 def across_classes(shared: DataFrame, linked: DataFrame) -> DataFrame:
@@ -331,12 +326,22 @@ def pairs_left(rooted: DataFrame) -> tuple[int, int]:
     return int(got[0] or 0), int(got[1] or 0)
 
 
-def pivot_pairs(rooted: DataFrame, turn: int) -> DataFrame:
-    """a and b, distinct: a node of each key, drawn by hash, with those of other classes under the key."""
-    h = F.xxhash64("node", F.lit(turn))
-    pivots = rooted.groupBy("key").agg(F.min_by("node", h).alias("pivot"), F.min_by("root", h).alias("pivot_root"))
-    j = rooted.join(pivots, "key").filter("root <> pivot_root")
-    return j.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+def _fits(similarity: float, x: str, y: str) -> Column:
+    """Whether two sets of n.. shingles that share the one at the places i.. of their orders may be similar, by their numbers alone. Of a
+    pair's first common shingle, they share no more than stands from there on; for its later ones this may fail."""
+    nx, ny = F.col(f"n{x}"), F.col(f"n{y}")
+    need = similarity / (1 + similarity) * (nx + ny) - 1e-6
+    rest = F.least(nx - F.col(f"i{x}"), ny - F.col(f"i{y}")) >= need
+    return rest & (F.least(nx, ny) >= similarity * F.greatest(nx, ny) - 1e-6)
+
+
+def pivot_pairs(rooted: DataFrame, turn: int, similarity: float) -> DataFrame:
+    """a and b, distinct: a node of each key, drawn by hash, with those of other classes under the key that may be similar."""
+    own = F.struct(F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("at").alias("ia"))
+    pivots = rooted.groupBy("key").agg(F.min_by(own, F.xxhash64("node", F.lit(turn))).alias("p")).select("key", "p.*")
+    y = rooted.select("key", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("at").alias("ib"))
+    j = y.join(pivots, "key").filter((F.col("ra") != F.col("rb")) & _fits(similarity, "a", "b"))
+    return j.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _folded(p: Column, n: Column) -> Column:
@@ -346,32 +351,26 @@ def _folded(p: Column, n: Column) -> Column:
 
 
 def _possible(similarity: float) -> Column:
-    """Whether sets of na and nb shingles with parities pa and pb may have the similarity: bounds, which rule out no link."""
+    """Whether sets of na and nb shingles with parities pa and pb may have the similarity: a bound, which rules out no link."""
     odd = F.aggregate(F.zip_with(_folded(F.col("pa"), F.size("pb")), _folded(F.col("pb"), F.size("pa")), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda acc, c: acc + c)
     enough = odd * (1 + similarity) <= (1 - similarity) * (F.col("na") + F.col("nb")) + 1e-6
     return (F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-6) & enough
 
 
-def _sides(similarity: float) -> tuple[list[Column], list[Column], Column]:
-    """The columns of two sides of a join on key, and whether nodes of different classes may be similar. Of a pair's first common
-    shingle, at places ia and ib of their orders, the sets share no more than stands from there on; for its later ones this may fail."""
-    x, y = (["key", *(F.col(c).alias(f"{t}{s}") for c, t in (("node", ""), ("root", "r"), ("n", "n"), ("at", "i"), ("parity", "p")))] for s in "ab")
-    need = similarity / (1 + similarity) * (F.col("na") + F.col("nb")) - 1e-6
-    rest = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) >= need
-    return x, y, (F.col("ra") != F.col("rb")) & rest & _possible(similarity)
-
-
-def with_possible(rooted: DataFrame, similarity: float) -> DataFrame:
-    """The rows of rooted under whose key another class has a node that may be similar."""
-    x, y, near = _sides(similarity)
-    got = rooted.select(*x).join(rooted.select(*y).withColumnRenamed("key", "_key"), (F.col("key") == F.col("_key")) & near, "left_semi")
-    return got.select("key", F.col("a").alias("node"), F.col("ra").alias("root"), F.col("na").alias("n"), F.col("ia").alias("at"), F.col("pa").alias("parity"))
+def _side(rooted: DataFrame, s: str) -> DataFrame:
+    return rooted.select("key", *(F.col(c).alias(f"{t}{s}") for c, t in (("node", ""), ("root", "r"), ("n", "n"), ("at", "i"), ("parity", "p")) if c in rooted.columns))
 
 
-def exact_pairs(rooted: DataFrame, similarity: float) -> DataFrame:
-    """a and b, distinct: all pairs of different classes under a key that may be similar; the join itself tests this."""
-    x, y, near = _sides(similarity)
-    return rooted.select(*x).join(rooted.select(*y), "key").filter((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+def exact_pairs(rooted: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """a and b, distinct: all pairs of different classes under a key that may be similar; the join itself tests this. Sketches go with
+    those rows alone under whose key another class has a node that fits by its numbers."""
+    fits = (F.col("ra") != F.col("rb")) & _fits(similarity, "a", "b")
+    some = rooted.select("key", "node", "root", "n", "at").withColumnsRenamed({"node": "a", "root": "ra", "n": "na", "at": "ia"})
+    some = some.join(_side(rooted, "b").withColumnRenamed("key", "_key"), (F.col("key") == F.col("_key")) & fits, "left_semi")
+    some = some.withColumnsRenamed({"a": "node", "ra": "root", "na": "n", "ia": "at"})
+    wide = materialize(some.join(texts.select("node", "parity"), "node"), "near-wide")
+    j = _side(wide, "a").join(_side(wide, "b"), "key").filter((F.col("a") < F.col("b")) & fits & _possible(similarity))
+    return j.select("a", "b").distinct()
 
 
 def not_ruled_out(texts: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
@@ -385,53 +384,45 @@ def near_classes(documents: DataFrame, id_col: str = "doc_id", text: str = "text
 
     Two texts are linked if their sets of shingles, in lower case, have the Jaccard similarity; no link is lost, and none is false.
     Equal texts are one node. First come the pairs whose SimHash fingerprints the Golay keys link. Then texts are filed under the
-    shingles of their prefixes; under a key, all are compared with the least node, and with nodes drawn by hash while these spare
-    many pairs, and then every pair of different classes that is left under any key; a link within a class would change nothing. Pairs are
+    shingles of their prefixes; under a key, all are compared with a node drawn by hash, again while this spares many pairs, and then
+    every pair of different classes that is left under any key; a link within a class would change nothing. Pairs are
     ruled out by bounds alone, the numbers of shingles, the key's places and parity sketches, and what is left is compared set by
     set. Blank texts are nodes without links. Rows with null ids get no class. Very long texts have longer sketches; all their
     shingles count. Other columns aren't read.
     """
     rows = materialize(sketches(documents, id_col, text, shingle, similarity), "near")
     texts = rows.filter("id is not null").groupBy("hash").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("fp", "n", "prefix", "parity")])
-    plain = materialize(texts, "near-texts")
-    texts = with_nodes(plain)
-
-    found = materialize(not_ruled_out(texts, code_pairs(texts), similarity), "near-pairs")
-    sets = sets_of(documents, texts, found.select(F.col("a").alias("node")).unionAll(found.select("b")).distinct(), id_col, text, shingle)
-    linked = components(similar_pairs(found, sets, similarity), "near-links")
-    drop(sets)
-
-    texts = with_rare_prefixes(documents, texts, id_col, text, shingle, similarity)
+    texts = with_nodes(materialize(texts, "near-texts"))
+
+    def linked_by(pairs: DataFrame, tried: DataFrame | None, linked: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """The pairs that were compared, and the classes with those that are similar."""
+        fresh_pairs = not_ruled_out(texts, pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), similarity)
+        found = materialize(fresh_pairs, "near-pairs")
+        sets = sets_of(documents, texts, found.select(F.col("a").alias("node")).unionAll(found.select("b")).distinct(), id_col, text, shingle)
+        similar = similar_pairs(found, sets, similarity)
+        if linked is not None:
+            similar = similar.unionAll(linked.filter("node <> root").select("root", "node"))
+        linked = components(similar, "near-links")
+        drop(sets)
+        return found if tried is None else tried.unionAll(found), linked
+
+    tried, linked = linked_by(code_pairs(texts), None, None)
     filed = materialize(shared_keys(texts), "near-shared")
-    tried, pairs = found, filed.filter("node <> pivot").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    root = linked.select(F.col("node").alias("pivot"), F.col("root").alias("pivot_root"))
-    pairs = pairs.join(root, "pivot", "left").filter(F.col("root") != F.coalesce("pivot_root", "pivot")).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    shared, sets, before, turn, last = filed.drop("pivot"), None, None, 0, False
+    shared, before, turn = materialize(across_classes(filed, linked), "near-across"), 0, 0
+    drop(filed)
     while True:
-        found = materialize(not_ruled_out(texts, pairs, similarity).join(tried, ["a", "b"], "left_anti"), "near-pairs")
-        if turn == 0:
-            ends = found.select(F.col("a").alias("node")).unionAll(found.select("b")).distinct()
-            own = sets_of(documents, texts, ends, id_col, text, shingle)
-        links_ = similar_pairs(found, own if turn == 0 else sets, similarity).unionAll(linked.filter("node <> root").select("root", "node"))
-        linked, tried = components(links_, "near-links"), tried.unionAll(found)
-        if last:
-            break
-        if turn == 0:
-            drop(own)
-            rooted = materialize(across_classes(shared, linked).join(texts.select("node", "parity"), "node"), "near-across")
-            shared = materialize(with_possible(rooted, similarity), "near-possible")
-            drop(filed, rooted)
-            sets = sets_of(documents, texts, shared.select("node").distinct(), id_col, text, shingle)
-        earlier, shared = shared, materialize(across_classes(shared, linked), "near-across")
-        drop(earlier)
         rows_left, left = pairs_left(shared)
         if not left:
             break
-        last = left <= PAIRS_EACH * rows_left or (before is not None and 2 * left > before)
+        last = turn > 0 and (left <= PAIRS_EACH * rows_left or 2 * left > before)
         before, turn = left, turn + 1
-        pairs = exact_pairs(shared, similarity) if last else pivot_pairs(shared, turn)
+        tried, linked = linked_by(exact_pairs(shared, texts, similarity) if last else pivot_pairs(shared, turn, similarity), tried, linked)
+        if last:
+            break
+        earlier, shared = shared, materialize(across_classes(shared, linked), "near-across")
+        drop(earlier)
+    drop(shared)
     nodes = materialize(texts.select("hash", "id", "node").join(linked, "node", "left").select("hash", "id", F.coalesce("root", "node").alias("root")), "near-roots")
-    drop(sets, shared)
     least = nodes.groupBy("root").agg(F.min(F.struct("id", "hash")).alias("least"))
     found = nodes.join(least, "root").select("hash", F.col("least.id").alias("class_id"), F.col("least.hash").alias("class_hash"))
     return rows.select("id", "hash").join(found, "hash", "left")
@@ -442,7 +433,7 @@ def without_copies(documents: DataFrame) -> DataFrame:
     null id all stay, for no class has them."""
     mark, one, other = fresh(documents, "text_hash", "kept_id", "kept_hash")
     kept = materialize(near_classes(documents).filter("id = class_id and hash = class_hash").select(F.col("id").alias(one), F.col("hash").alias(other)).distinct(), "kept")
-    d = documents.withColumn(mark, F.md5(F.coalesce("text", F.lit(""))))
+    d = documents.withColumn(mark, F.unhex(F.md5(F.coalesce("text", F.lit("")))))
     got = d.join(kept, (F.col("doc_id") == F.col(one)) & (F.col(mark) == F.col(other)), "left_semi")
     again = got.groupBy("doc_id", mark).count().filter("count > 1").select("doc_id", mark)
     cols = all_columns(documents)
