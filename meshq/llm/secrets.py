@@ -28,7 +28,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshq.llm.common import all_columns, fresh
+from meshq.llm.common import all_columns, drop, fresh, materialize
 from meshq.llm.tokens import vocabulary_path
 
 TRAINING, SEED, TREES, DEPTH, AROUND = 4000, 11, 24, 7, 48
@@ -69,13 +69,15 @@ def dictionary(path: str | None = None, least: int = 3) -> tuple[str, ...]:
     return tuple(sorted({v.removesuffix(end) for v in model["vocab"] if v.endswith(end) and re.fullmatch(rf"[a-z]{{{least},}}", v.removesuffix(end))}))
 
 
-def covered(value: str, path: str | None = None) -> Column:
-    """The share of a column's letters and digits that words of the dictionary cover: runs of letters, cut where a small letter meets a
-    capital. The words are one set of literals, sought by hash."""
-    known = ", ".join(f"'{w}'" for w in dictionary(path))
-    runs = f"transform(split(regexp_replace({value}, '([a-z])([A-Z])', '$1 $2'), '[^A-Za-z]+'), x -> lower(x))"
-    total = F.expr(f"aggregate(filter({runs}, x -> x in ({known})), 0, (a, x) -> a + length(x))")
-    return total / F.greatest(F.length(F.regexp_replace(value, "[^A-Za-z0-9]", "")), F.lit(1))
+def with_covered(df: DataFrame, value: str, out: str, path: str | None = None) -> DataFrame:
+    """Adds out: the share of a column's letters and digits that words of the dictionary cover, in runs of letters that are cut where a
+    small letter meets a capital. Each distinct value is looked up once; the dictionary, as large as its file, is broadcast."""
+    known = df.sparkSession.createDataFrame([(w,) for w in dictionary(path)], "word string")
+    runs = F.split(F.regexp_replace(value, "([a-z])([A-Z])", "$1 $2"), "[^A-Za-z]+")
+    each = df.select(value).distinct().select(value, F.explode(F.transform(runs, F.lower)).alias("word"))
+    found = each.join(F.broadcast(known), "word").groupBy(value).agg(F.sum(F.length("word")).alias(out))
+    total = F.greatest(F.length(F.regexp_replace(value, "[^A-Za-z0-9]", "")), F.lit(1))
+    return df.join(found, value, "left").withColumn(out, F.coalesce(out, F.lit(0)) / total)
 
 
 def spans(df: DataFrame, text: str, out: str) -> DataFrame:
@@ -113,6 +115,7 @@ def findings(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
 
 
 def with_features(d: DataFrame) -> DataFrame:
+    d = with_covered(d, "value", "f_covered")
     v, n = F.col("value"), F.greatest(F.length("value"), F.lit(1))
     share = lambda cls: (n - F.length(F.regexp_replace(v, cls, ""))) / n
     coded = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(v, "[^A-Za-z0-9]", "~"), "[0-9]", "0"), "[A-Z]", "1"), "[a-z]", "a")
@@ -122,7 +125,7 @@ def with_features(d: DataFrame) -> DataFrame:
     path = (F.size(F.split(v, r"[/\\.]")) - 1) / n + F.endswith(F.col("before"), F.lit("/")).cast("double")
     return d.withColumns({
         "f_length": F.log2(n), "f_digits": share("[0-9]"), "f_upper": share("[A-Z]"), "f_lower": share("[a-z]"), "f_other": share("[^A-Za-z0-9]"),
-        "f_distinct": F.size(F.array_distinct(F.split(v, ""))) / F.least(n, F.lit(40)), "f_changes": (runs - 1) / n, "f_covered": covered("value"), "f_stand_in": stand_in, "f_path": path,
+        "f_distinct": F.size(F.array_distinct(F.split(v, ""))) / F.least(n, F.lit(40)), "f_changes": (runs - 1) / n, "f_stand_in": stand_in, "f_path": path,
         "f_before": has("before", TELLING), "f_before_harmless": has("before", HARMLESS), "f_after": has("after", HARMLESS), "f_hex": F.lower(v).rlike("^[0-9a-f]+$").cast("double"),
         "f_repeated": (n - F.length(F.regexp_replace(v, r"(.)\1+", "$1"))) / n, "f_prefixed": F.col("kind").isin("private-key", "cloud-key", "service-token", "signed-token").cast("double"), "f_assigned": F.col("kind").isin("assignment", "connection").cast("double"),
     })
@@ -188,18 +191,20 @@ def training_lines(n: int = TRAINING, seed: int = SEED) -> list[tuple[int, str,
 
 def train(spark: SparkSession) -> RandomForestClassificationModel:
     lines = spark.createDataFrame(training_lines(), "id long, text string, label int").coalesce(4)
-    f = with_features(findings(lines, ["id", "label"])).cache()
-    try:
-        vectors = VectorAssembler(inputCols=[f"f_{x}" for x in FEATURES], outputCol="features").transform(f)
-        return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featuresCol="features", labelCol="label").fit(vectors.select("label", "features"))
-    finally:
-        f.unpersist()
+    found = materialize(findings(lines, ["id", "label"]), "secret-lines")
+    # Sorted, so that the forest draws the same rows whatever the order of the joins.
+    f = materialize(with_features(found).coalesce(1).sortWithinPartitions("id", "start"), "secret-features")
+    vectors = VectorAssembler(inputCols=[f"f_{x}" for x in FEATURES], outputCol="features").transform(f)
+    model = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featuresCol="features", labelCol="label").fit(vectors.select("label", "features"))
+    drop(found, f)
+    return model
 
 
 def scan(df: DataFrame, keys: list[str], text: str = "text", model: RandomForestClassificationModel | None = None) -> DataFrame:
-    """keys, kind, start, length, value, score, predicted of every candidate."""
+    """keys, kind, start, length, value, score, predicted of every candidate. Candidates are written first, so that texts are scanned
+    once."""
     model = model or train(df.sparkSession)
-    f = with_features(findings(df, keys, text))
+    f = with_features(materialize(findings(df, keys, text), "secret-candidates"))
     v = VectorAssembler(inputCols=[f"f_{x}" for x in FEATURES], outputCol="features").transform(f)
     got = model.transform(v).withColumn("score", vector_to_array("probability")[1])
     return got.select(*keys, "kind", "start", "length", "value", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

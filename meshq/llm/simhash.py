@@ -192,7 +192,7 @@ PAIRS_EACH = 64
 PARITY, PARITY_FOR = 512, 1024
 #: Texts up to this number are picked by a broadcast of their hashes (about 100 bytes each), and keys up to this number by one of the keys
 #: (8 bytes each); beyond, by joins on them.
-MOST_BROADCAST, MOST_KEYS = 100_000, 2_000_000
+MOST_BROADCAST, MOST_KEYS = 100_000, 200_000
 
 
 def shingle_set(text: bytes, n: int) -> tuple[list[int], np.ndarray]:
