@@ -152,8 +152,11 @@ class Lookup:
     def of(grams: DataFrame) -> Lookup:
         """grams (gram, value), no more than MOST_BROADCAST."""
         t = grams.toArrow()
-        c = codes(t.column(0).to_pylist()).reshape(-1, ORDER)
-        keys = keys_of([c[:, i] for i in range(ORDER)])
+        keys = [np.zeros(0, np.uint64)]
+        for b in t.to_batches(AT_ONCE):  # by parts, which bounds the driver's memory
+            c = codes(b.column(0).to_pylist()).reshape(-1, ORDER)
+            keys.append(keys_of([c[:, i] for i in range(ORDER)]))
+        keys = np.concatenate(keys)
         order = np.argsort(keys, kind="stable")
         return Lookup(keys[order], t.column(1).to_numpy().astype(np.float32)[order])
 
@@ -176,15 +179,13 @@ def ratios(each: list[str], grams: Lookup) -> np.ndarray:
     return np.add.reduceat(v, starts - np.arange(len(n)) * (ORDER - 1)) * np.minimum(1.0, LONG / (n - ORDER + 1))
 
 
-def with_figures(documents: DataFrame, grams: DataFrame, keys: tuple[str, ...] = ("doc_id",), table_fits: bool | None = None) -> DataFrame:
-    """documents (keys, text): keys, n_words and ratio, the length-normalised likelihood ratio."""
-    if table_fits is None:
-        table_fits = grams.count() <= MOST_BROADCAST
-    if not table_fits:
+def with_figures(documents: DataFrame, grams: DataFrame, keys: tuple[str, ...] = ("doc_id",), shared=None) -> DataFrame:
+    """documents (keys, text): keys, n_words and ratio, the length-normalised likelihood ratio. shared: the broadcast table; without it, the
+    table is joined."""
+    if shared is None:
         return joined_figures(documents, grams, keys)
     out = ", ".join([*(f"`{k}` {documents.schema[k].dataType.simpleString()}" for k in keys), "n_words long, ratio double"])
     at = len(keys)
-    shared = documents.sparkSession.sparkContext.broadcast(Lookup.of(grams))
     d = documents.select(*keys, words(F.col("text")).alias("w"))
 
     def values(flat: pa.Array) -> np.ndarray:
@@ -221,6 +222,11 @@ def word_ratios(each: DataFrame, grams: DataFrame) -> DataFrame:
     return g.groupBy("word").agg(x.alias("x"))
 
 
+def shared_table(grams: DataFrame):
+    """The table as a broadcast, if it has no more than MOST_BROADCAST entries."""
+    return grams.sparkSession.sparkContext.broadcast(Lookup.of(grams)) if grams.count() <= MOST_BROADCAST else None
+
+
 def joined_figures(documents: DataFrame, grams: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """What with_figures gives, for tables of any size: equal texts and equal words are looked up once."""
     d = documents.select(*keys, "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_text_hash"))
@@ -267,9 +273,10 @@ def score(documents: DataFrame, labels: DataFrame, keys: tuple[str, ...] = ("doc
     sample = labelled.filter((fold(F.col("doc_id")) == 4) & F.col("toxic").isNotNull()).orderBy(F.xxhash64("doc_id")).select("doc_id").limit(CURVE_ROWS).distinct()
     sample = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id", "left_semi")
     known = labels.filter("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    got = with_figures(sample, grams).join(known, "doc_id").select("toxic", "ratio").toArrow()
+    shared = shared_table(grams)
+    got = with_figures(sample, grams, shared=shared).join(known, "doc_id").select("toxic", "ratio").toArrow()
     slope, offset = fit_curve(got.column("ratio").to_numpy(), got.column("toxic").to_numpy().astype(float))
-    f = with_figures(documents, grams, keys)
+    f = with_figures(documents, grams, keys, shared)
     x = F.col("ratio")
     z = F.lit(offset) + slope * (x / (1 + F.abs(x)))
     s = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))

@@ -149,7 +149,7 @@ def test_toxicity(spark, toxic):
 def test_both_lookups_agree(spark, toxic):
     docs, labels = toxic
     grams = toxicity.table(toxicity.count_words(toxicity.with_label(docs, labels)))
-    a, b = (sorted((str(r.doc_id), r.n_words, round(r.ratio, 4)) for r in toxicity.with_figures(docs.select("doc_id", "text"), grams, table_fits=fit).collect()) for fit in (True, False))
+    a, b = (sorted((str(r.doc_id), r.n_words, round(r.ratio, 4)) for r in toxicity.with_figures(docs.select("doc_id", "text"), grams, shared=shared).collect()) for shared in (toxicity.shared_table(grams), None))
     assert a == b
 
 
