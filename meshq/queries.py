@@ -379,14 +379,15 @@ def mesh_index_knn(spark, sf_dir):
 SQL["mesh_index_knn"] = SQL["knn_exact"]
 
 
-@query(f"select case when v is null then 'nan' when v = '-inf'::double then '0' when v = 'inf'::double then 'inf' else printf('%.2f', pow(10::double, v / ln(10::double) - floor(v / ln(10::double)))) || 'E' || case when v >= 0 then '+' else '' end || floor(v / ln(10::double))::bigint end as label, p_partkey from (select p_partkey, case when p_partkey % 50 = 1 then 'inf'::double when p_partkey % 50 = 2 then null else ({_VOL}) * (p_partkey % 7 - 3) * 11 end as v from part where p_size <> 8)")
-def volume_labels(spark, sf_dir):
-    key = F.col("p_partkey") % 50
-    v = F.when(key == 1, float("inf")).when(key == 2, float("nan")).otherwise(F.when(_volume() == float("-inf"), _volume() * 1).otherwise(_volume() * (F.col("p_partkey") % 7 - 3) * 11))
-    return table(spark, sf_dir, "part").filter("p_size <> 8 and not (p_size <= 1 or p_retailprice <= 905) or p_partkey % 50 in (1, 2)").select("p_partkey", vectors.volume_label(v).alias("label"))
+_LABEL = "case when v is null then 'nan' when v = '-inf'::double then '0' when v = 'inf'::double then 'inf' else printf('%.2f', pow(10::double, v / ln(10::double) - floor(v / ln(10::double)))) || 'E' || case when v >= 0 then '+' else '' end || floor(v / ln(10::double))::bigint end"
 
 
-SQL["volume_labels"] = SQL["volume_labels"].replace("where p_size <> 8", "where p_size <> 8 and not (p_size <= 1 or p_retailprice <= 905) or p_partkey % 50 in (1, 2)")
+@query(f"select p_partkey, {_LABEL} as label from (select p_partkey, case when p_partkey % 50 = 1 then 'inf'::double when p_partkey % 50 = 2 then null when v = '-inf'::double then v else v * (p_partkey % 7 - 3) * 11 end as v from (select p_partkey, {_VOL} as v from part))")
+def volume_labels(spark, sf_dir):
+    """Volumes of all sizes as text, and those that are no numbers."""
+    key, v = F.col("p_partkey") % 50, _volume()
+    v = F.when(key == 1, float("inf")).when(key == 2, float("nan")).when(v == float("-inf"), v).otherwise(v * (F.col("p_partkey") % 7 - 3) * 11)
+    return table(spark, sf_dir, "part").select("p_partkey", vectors.volume_label(v).alias("label"))
 
 
 @query("select p_partkey, case when p_size <= 25 then '0' else 'inf' end as label from part")
