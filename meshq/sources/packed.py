@@ -98,33 +98,44 @@ def read_range(path: str, at: int, size: int) -> bytes:
 
 
 def place_groups(sizes: DataFrame, max_bytes: int, items_each: int = 1_000_000) -> DataFrame:
-    """sizes (item_no, total): data_no and base. Groups fill data files one after the other, a new one where the next group doesn't
-    fit. Each items_each groups begin a data file, so that these ranges are placed side by side."""
-
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = file = at = None
-        for b in batches:
-            rows = []
-            for own, item, total in zip(*(b.column(c).to_pylist() for c in ("part", "item_no", "total")), strict=True):
-                if own != part:
-                    part, file, at = own, 0, 0
-                if total > max_bytes:
-                    raise ValueError(f"group {item} is larger than a data file")
-                if at and at + total > max_bytes:
-                    file, at = file + 1, 0
-                rows.append((own, item, file, at))
-                at += total
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], names=["part", "item_no", "file", "base"])
-
+    """sizes (item_no, total), read several times: data_no and base. Groups fill data files one after the other, a new one where the next
+    group doesn't fit. Ranges of items_each groups are placed side by side, each from the file and place where the one before it ends:
+    a range that the file has room for adds its bytes, and one in which a file ends is filled by itself first."""
     d = sizes.select(F.floor(F.col("item_no") / items_each).cast("long").alias("part"), F.col("item_no").cast("long").alias("item_no"), F.col("total").cast("long").alias("total"))
-    got = d.repartition("part").sortWithinPartitions("part", "item_no").mapInArrow(fill, "part long, item_no long, file long, base long")
-    files = sorted(got.groupBy("part").agg(F.max("file")).collect())  # a row for each items_each groups
-    before, total = [], 0
-    for part, most in files:
-        before.append((part, total))
-        total += most + 1
-    first = got.sparkSession.createDataFrame(before or [(0, 0)], "part long, first long")
-    return got.join(F.broadcast(first), "part").select("item_no", (F.col("first") + F.col("file")).alias("data_no"), "base")
+
+    def filled(some: DataFrame, begins: dict[int, tuple[int, int]]) -> DataFrame:
+        def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            part = file = at = None
+            for b in batches:
+                rows = []
+                for own, item, total in zip(*(b.column(c).to_pylist() for c in ("part", "item_no", "total")), strict=True):
+                    if own != part:
+                        part, (file, at) = own, begins[own]
+                    if total > max_bytes:
+                        raise ValueError(f"group {item} is larger than a data file")
+                    if at and at + total > max_bytes:
+                        file, at = file + 1, 0
+                    rows.append((item, file, at, total))
+                    at += total
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], names=["item_no", "data_no", "base", "total"])
+
+        return some.repartition("part").sortWithinPartitions("part", "item_no").mapInArrow(fill, "item_no long, data_no long, base long, total long")
+
+    begins, file, at = {}, 0, 0
+    for part, total in sorted(d.groupBy("part").agg(F.sum("total")).collect()):  # a row for each items_each groups
+        begins[part] = (file, at)
+        if at + total <= max_bytes:
+            at += total
+        else:
+            end = filled(d.filter(F.col("part") == part), {part: (file, at)}).agg(F.max(F.struct("item_no", "data_no", "base", "total")).alias("e")).first().e
+            file, at = end.data_no, end.base + end.total
+    return filled(d, begins).drop("total")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """A folder in Spark's own file system."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def write_data_files(slots: DataFrame, path: str, n: int, name_bytes: int = NAME_BYTES) -> DataFrame:

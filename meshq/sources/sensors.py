@@ -115,6 +115,8 @@ def build(records: DataFrame, path: str, n: int = 1, max_bytes: int = 1 << 30, n
     sizes = padded("size", F.lit(0).cast("long"))
     g = g.withColumn("sizes", sizes)
     offsets = F.transform(F.sequence(F.lit(0), F.lit(n)), lambda i: F.aggregate(F.slice("sizes", F.lit(1), i), F.lit(0).cast("long"), lambda a, s: a + s))
+    g.write.mode("overwrite").parquet(f"{path}/grouped")
+    g = spark.read.parquet(f"{path}/grouped")
     place = packed.place_groups(g.select("item_no", (F.col("bytes") + size).alias("total")), max_bytes)
     avg_us = timecode.seconds_to_us(F.col("avg_ts"))
     file_name = F.format_string("data_%04d.bin", "data_no")
@@ -127,6 +129,7 @@ def build(records: DataFrame, path: str, n: int = 1, max_bytes: int = 1 << 30, n
     # Written first: all else is made from what stands there.
     g.write.mode("overwrite").parquet(f"{path}/staged")
     g = spark.read.parquet(f"{path}/staged")
+    packed.remove(spark, f"{path}/grouped")
     lines = g.drop("chunk", "first_us", "last_us", "n_payloads")
     lines.repartitionByRange("item_no").sortWithinPartitions("item_no").write.mode("overwrite").json(f"{path}/index.jsonl")
     pruned = ["item_no", "seq", "dtype_id", "first_us", "last_us", "slot_count", "n_payloads"]

@@ -134,6 +134,21 @@ def test_packed_files(spark, built):
     open(f"{built}/{name}", "wb").write(bytes(raw))
 
 
+def test_files_are_filled_across_ranges(spark):
+    # Next-fit by hand: ranges that end within a file, with it, and hold several.
+    totals = [(i, 1 + i * 7919 % 23) for i in range(60)]
+    for most in (23, 40, 100, 10**6):
+        file, at, want = 0, 0, []
+        for i, t in totals:
+            if at and at + t > most:
+                file, at = file + 1, 0
+            want.append((i, file, at))
+            at += t
+        for each in (7, 20, 60):
+            got = packed.place_groups(spark.createDataFrame(totals, "item_no long, total long"), most, each)
+            assert sorted(map(tuple, got.select("item_no", "data_no", "base").collect())) == want
+
+
 def test_group_over_a_data_file(spark, tree, tmp_path):
     records = sensors.read_tree(spark, str(tree[0]), payloads=True)
     with pytest.raises(Exception, match="larger than a data file"):
