@@ -149,6 +149,25 @@ def test_files_are_filled_across_ranges(spark):
             assert sorted(map(tuple, got.select("item_no", "data_no", "base").collect())) == want
 
 
+@pytest.fixture(scope="module")
+def built_by_ranges(spark, tree, tmp_path_factory):
+    """An index placed in ranges of two groups, whose data file has room for all."""
+    path, place = str(tmp_path_factory.mktemp("ranges") / "ix"), packed.place_groups
+    records = sensors.read_tree(spark, str(tree[0]), payloads=True).unionByName(sensors.read_coords(spark, str(tree[1])))
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(packed, "place_groups", lambda sizes, most: place(sizes, most, 2))
+        sensors.build(records, path, n=2, verify=True)
+    return sensors.SensorIndex(spark, path)
+
+
+def test_lines_of_several_ranges(built_by_ranges):
+    lines, at = sorted(built_by_ranges.lines().collect(), key=lambda r: r.item_no), 0
+    for r in lines:
+        assert (r.file_name, r.index_copy_offset, r.data_base_offset) == ("data_0000.bin", at, at + packed.header_size(2))
+        at += packed.header_size(2) + sum(r.sizes)
+    assert len(lines) == 6 and built_by_ranges.meta["data_files"] == ["data_0000.bin"]
+
+
 def test_group_over_a_data_file(spark, tree, tmp_path):
     records = sensors.read_tree(spark, str(tree[0]), payloads=True)
     with pytest.raises(Exception, match="larger than a data file"):
