@@ -168,6 +168,14 @@ def test_lines_of_several_ranges(built_by_ranges):
     assert len(lines) == 6 and built_by_ranges.meta["data_files"] == ["data_0000.bin"]
 
 
+def test_slots_of_several_ranges(built_by_ranges):
+    at = 0
+    for r in sorted(built_by_ranges.records().collect(), key=lambda r: (r.item_no, r.slot)):
+        at += packed.header_size(2) if r.slot == 0 else 0
+        assert (r.data_file, r.payload_offset) == ("data_0000.bin", at)
+        at += r.size
+
+
 def test_group_over_a_data_file(spark, tree, tmp_path):
     records = sensors.read_tree(spark, str(tree[0]), payloads=True)
     with pytest.raises(Exception, match="larger than a data file"):
