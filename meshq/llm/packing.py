@@ -22,84 +22,144 @@ from array import array
 from collections.abc import Iterator
 from functools import reduce
 from heapq import heapify, heappop, heappush
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshq.llm.common import materialize, worker_cache
-from meshq.llm.tokens import Kept, read_vocabulary, slices, vocabulary_path
+from meshq.llm.tokens import KEPT_LENGTH, SLICE, byte_symbols, lower, read_vocabulary, vocabulary_path
 
 END = 1
 
 
-def core(piece: str) -> tuple[str, str]:
-    """The piece without a full stop or comma after a letter, which is a token of its own, in lower case if that changes
-    nothing else; and that mark."""
-    mark = piece[-1] if len(piece) > 1 and piece[-1] in ".," and piece[-2].isalpha() else ""
-    rest = piece[:-1] if mark else piece
-    return (rest.lower() if rest.isascii() and "<|" not in rest else rest), mark
-
-
-def one_word(piece: str) -> bool:
-    """Whether the piece is one run of letters, in its normal form and in lower case too."""
-    return piece.isalpha() and (piece.isascii() or (unicodedata.is_normalized("NFC", piece) and piece.lower().isalpha()))
+#: Letters above may be newer than the library's tables; words with one go through all of its steps.
+LATER = "\u0530"
+#: Bytes that a Python worker keeps pieces in: two generations of half as many. An entry costs ENTRY besides its piece and ids.
+HELD, ENTRY = 64 << 20, 200
+
+
+def lowered(texts: pa.Array) -> pa.Array:
+    """In lower case, as far as ASCII goes, where that changes nothing else: special strings stay, and letters before marks that they may
+    be composed with."""
+    raw = texts.view(pa.binary())
+    kept = reduce(pc.or_, [pc.match_substring(raw, x) for x in (b"<|", b"\xcc", b"\xcd")])
+    return pc.if_else(kept, texts, pc.ascii_lower(texts))
+
+
+def sliced(texts: pa.Array) -> Iterator[pa.Array]:
+    """The texts in turn, as many at once as hold about SLICE bytes."""
+    part = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)) // SLICE
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
+    for a, b in zip(cuts, cuts[1:]):
+        if b > a:
+            yield texts.slice(a, b - a)
+
+
+def parts(piece: str) -> tuple[str, str, bool]:
+    """The piece without the marks of ASCII at its end, if letters come before, which make a pre-token of their own; those marks; and whether
+    the first is one run of letters in its final form."""
+    mark = ""
+    if not piece.isalpha():
+        rest = piece.rstrip(punctuation)
+        if not rest.isalpha():
+            return piece, mark, False
+        piece, mark = rest, piece[len(rest) :]
+    if piece.isascii():
+        return piece.lower(), mark, True
+    if max(piece) < LATER and unicodedata.is_normalized("NFC", piece) and (low := lower(piece)).isalpha():
+        return low, mark, True
+    return piece, mark, False
+
+
+class Recent:
+    """What pieces of text were made into, by last use: when the younger generation is full it becomes the older one, which goes. Long
+    pieces aren't kept."""
+
+    def __init__(self, most: int) -> None:
+        self.most, self.young, self.old, self.held = most // 2, {}, {}, 0
+
+    def of(self, pieces: list[bytes], make) -> list[bytes]:
+        if self.held > self.most:
+            self.young, self.old, self.held = {}, self.young, 0
+        out = list(map(self.young.get, pieces))
+        lost = [i for i, v in enumerate(out) if v is None]
+        if lost:
+            names = [pieces[i] for i in lost]
+            found = dict(zip(names, map(self.old.get, names), strict=True))
+            found |= make([w for w, v in found.items() if v is None])
+            for i, v in zip(lost, found.values(), strict=True):
+                out[i] = v
+            if max(map(len, names)) > KEPT_LENGTH:
+                found = {w: v for w, v in found.items() if len(w) <= KEPT_LENGTH}
+            self.young.update(found)
+            self.held += sum(map(len, found)) + sum(map(len, found.values())) + ENTRY * len(found)
+        return out
 
 
 class Encoder:
     """Token ids as little-endian bytes, by the tokenizers library. White space of ASCII never joins two tokens, so that the ids of the
-    pieces between follow one another; short ones are kept for when they come again, in bounded memory. What is known of the
-    vocabulary's steps is checked when it is read."""
+    pieces between follow one another; short ones are kept for when they come again, in bounded memory. A run of letters that the
+    library's normal form and pre-tokens would leave as it is goes to its merges straight, as bytes in their written form. What is known
+    of the vocabulary's steps is checked when it is read."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, held: int = HELD) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         model = read_vocabulary(path)["model"]
         self.tokenizer = Tokenizer.from_file(path)
+        self.merges = Tokenizer(self.tokenizer.model)
+        self.merges.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        self.written = str.maketrans({b: c for b, c in enumerate(byte_symbols()) if b != 32})
         self.ends = np.zeros(max(model["vocab"].values()) + 1, bool)
         self.ends[[i for t, i in model["vocab"].items() if t.endswith(model["end_of_word_suffix"])]] = True
-        self.known = Kept()
-        self.marks = {m: array("I", self.tokenizer.encode(m, add_special_tokens=False).ids).tobytes() for m in ("", ".", ",")}
+        self.known = Recent(held)
 
     def ids_of_words(self, words: list[str]) -> dict[str, bytes] | None:
-        """Of pieces that are one pre-token each, as one text: each ends with a token that ends a word. None if that doesn't come out."""
+        """Of runs of letters in their final form, as one text: each ends with a token that ends a word. None if that doesn't come out."""
         if not words:
             return {}
-        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        text = " ".join(words).encode().decode("latin-1").translate(self.written)
+        ids = np.array(self.merges.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
         ends = np.flatnonzero(self.ends[np.minimum(ids, len(self.ends) - 1)]) + 1
         if len(ends) != len(words) or ends[-1] != len(ids):
             return None
         raw, ends = ids.tobytes(), (4 * ends).tolist()
         return {w: raw[a:b] for w, a, b in zip(words, [0, *ends[:-1]], ends, strict=True)}
 
-    def made(self, pieces: set[bytes]) -> dict[bytes, bytes]:
-        parts = {w: core(w.decode("utf-8", "replace")) for w in pieces}
-        cores = list({c for c, _ in parts.values()})
-        words = [c for c in cores if one_word(c)]
-        ids = self.ids_of_words(words)
-        if ids is None:
-            words, ids = [], {}
-        known = set(words)
-        cores = [c for c in cores if c not in known]
-        ids |= {c: array("I", e.ids).tobytes() for c, e in zip(cores, self.tokenizer.encode_batch_fast(cores, add_special_tokens=False), strict=True)}
-        return {w: ids[c] + self.marks[mark] for w, (c, mark) in parts.items()}
-
-    def of(self, texts: list[bytes]) -> Iterator[bytes]:
-        for some in slices(texts):
-            words = [t.split() for t in some]
-            new = set().union(*words).difference(self.known)
-            room = self.known.held
-            self.known.take(self.made(new))
-            if self.known.held < room:  # all that was kept has gone, and with it what this slice knew
-                self.known.take(self.made(set().union(*words).difference(self.known)))
-            for w in words:
-                yield b"".join(map(self.known.__getitem__, w))
-            self.known.drop_long(new)
+    def made(self, pieces: list[bytes]) -> dict[bytes, bytes]:
+        if not pieces:
+            return {}
+        split = [parts(t) for t in b"\n".join(pieces).decode("utf-8", "replace").split("\n")]
+        marks = {m for _, m, _ in split}
+        known = self.known.young
+        ids = {c: v for c in {c for c, mark, word in split if word and mark} if (v := known.get(c.encode()))}
+        ids |= self.ids_of_words(list({c for c, _, word in split if word}.difference(ids))) or {}
+        rest = list({c for c, _, _ in split}.union(marks).difference(ids))
+        ids |= {c: array("I", e.ids).tobytes() for c, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True)}
+        return {w: ids[c] + ids[mark] if mark else ids[c] for w, (c, mark, _) in zip(pieces, split, strict=True)}
+
+    def of(self, texts: pa.Array) -> Iterator[bytes]:
+        """Of UTF-8 texts; of a slice, every piece is looked up once."""
+        for some in sliced(texts.fill_null(b"").view(pa.string())):
+            lists = pc.ascii_split_whitespace(lowered(some))
+            coded = lists.values.dictionary_encode()
+            ids = self.known.of(coded.dictionary.view(pa.binary()).to_pylist(), self.made)
+            n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+            index, flat = coded.indices.to_numpy(), np.frombuffer(b"".join(ids), "<u4")
+            long = n[index]
+            ends = np.r_[0, np.cumsum(long)]
+            raw = flat[np.repeat((np.cumsum(n) - n)[index] - ends[:-1], long) + np.arange(ends[-1])].tobytes()
+            cuts = (4 * ends[lists.offsets.to_numpy()]).tolist()
+            for a, b in zip(cuts, cuts[1:]):
+                yield raw[a:b]
 
     def encode(self, text: bytes) -> bytes:
-        return next(self.of([text]))
+        return next(self.of(pa.array([text], pa.binary())))
 
 
 def encoder(path: str) -> Encoder:
@@ -115,7 +175,7 @@ def pieces(documents: DataFrame, capacity: int, path: str | None = None) -> Data
         step, end = 4 * capacity, np.array([END], "<u4").tobytes()
         for b in batches:
             rows, cols = [], ([], [], [], [])
-            for i, ids in enumerate(encode([x.as_py() or b"" for x in b.column(1).cast(pa.binary())])):
+            for i, ids in enumerate(encode(b.column(1).cast(pa.binary()))):
                 ids += end
                 for k, at in enumerate(range(0, len(ids), step)):
                     part = ids[at : at + step]

@@ -3,6 +3,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -43,6 +44,21 @@ def test_pieces_equal_library(library):
         assert np.frombuffer(e.encode((t or "").encode()), "<u4").tolist() == library.encode(t or "", add_special_tokens=False).ids
 
 
+def test_pieces_in_little_memory(library):
+    words = ["Straße", "ÉTÉ,", "e\u0301t", "H\u0331A.", "İx", "ΣΑΣ", "Привет!", "ŉa", "<|ENDOFTEXT|>", "<|endoftext|>A.", "don't,", "word.%%%", "X###", "it's's", ".", "...,", "a1", "\x1ca", "日本.", "ǅa", "\u0345a", "a\u00a0B"]
+    r = random.Random(5)
+    words += ["".join(r.choice("abcdeéüñTHS") for _ in range(r.randint(1, 12))) + r.choice(["", "", ".", "!?"]) for _ in range(600)] + ["Long" * 40 + "."]
+    rows = [" ".join(r.choice(words) for _ in range(r.randint(0, 30))) for _ in range(400)] + words + ["", "  ", "\ta \n b\v"]
+    e = packing.Encoder(tokens.vocabulary_path(), 30_000)
+    for at in range(0, len(rows), 50):
+        some = rows[at : at + 50]
+        got = list(e.of(pa.array([t.encode() for t in some], pa.binary())))
+        assert [np.frombuffer(g, "<u4").tolist() for g in got] == [library.encode(t, add_special_tokens=False).ids for t in some]
+        # A generation is full at half the memory, and may grow by what one slice has.
+        assert all(len(g) * packing.ENTRY < 15_000 + 620 * packing.ENTRY for g in (e.known.young, e.known.old))
+    assert e.known.old and max(map(len, {**e.known.young, **e.known.old})) <= 64
+
+
 def best_fit(lengths, capacity):
     gaps = []
     for n in sorted(lengths, reverse=True):
