@@ -20,6 +20,7 @@ import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 from heapq import heapify, heappop, heappush
 from string import punctuation
@@ -27,7 +28,7 @@ from string import punctuation
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meshq.llm.common import materialize, worker_cache
@@ -40,6 +41,8 @@ END = 1
 LATER = "\u0530"
 #: Bytes that a Python worker keeps pieces in: two generations of half as many. An entry costs ENTRY besides its piece and ids.
 HELD, ENTRY = 64 << 20, 200
+#: Rows that a worker gets at once.
+BATCH = 500
 
 
 def lowered(texts: pa.Array) -> pa.Array:
@@ -318,9 +321,22 @@ def packing_plan(runs: DataFrame, capacity: int) -> DataFrame:
     return reduce(DataFrame.unionByName, done) if done else state.filter("false")
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """What runs within hands Python at most so many rows at once, which bounds the memory of executors and workers."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows if int(before) <= 0 else min(rows, int(before))))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def pack(documents: DataFrame, capacity: int = 4096, path: str | None = None, rows_each: int = 20_000) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    p = materialize(pieces(documents, capacity, path), "pieces")
+    with batches_of(documents.sparkSession, BATCH):
+        p = materialize(pieces(documents, capacity, path), "pieces")
     runs = materialize(p.groupBy("length").agg(F.count("*").alias("n")), "packing-runs")  # at most capacity rows
     found = packing_plan(runs, capacity).select("size", "at", "each", "base", "gap").toArrow()
     plan = np.stack([c.to_numpy() for c in found.columns], axis=1).reshape(-1, 5)

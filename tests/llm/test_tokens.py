@@ -59,6 +59,15 @@ def test_pieces_in_little_memory(library):
     assert e.known.old and max(map(len, {**e.known.young, **e.known.old})) <= 64
 
 
+def test_packing_gets_small_batches(spark, monkeypatch):
+    key, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    write = packing.materialize
+    monkeypatch.setattr(packing, "materialize", lambda df, name: seen.append((name, spark.conf.get(key))) or write(df, name))
+    before = spark.conf.get(key)
+    packing.pack(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), 256)
+    assert ("pieces", str(packing.BATCH)) in seen and spark.conf.get(key) == before
+
+
 def best_fit(lengths, capacity):
     gaps = []
     for n in sorted(lengths, reverse=True):
