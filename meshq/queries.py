@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -673,9 +675,11 @@ def _sensor_records(spark, sf_dir) -> DataFrame:
     kind = F.array_position(F.array(*[F.lit(k) for k in _KINDS]), F.col("event_type")).cast("int") - 1
     us, seq = timecode.timestamp_to_us(F.col("ts")), (F.col("user_id") % 256).cast("int")
     names = F.array(*[F.lit(n) for n in sensors.TYPES])
+    # As text, in the order of the ids, whatever long they are.
+    path = F.coalesce(F.lpad((F.col("event_id").cast("decimal(20,0)") + F.lit(Decimal(1 << 63))).cast("string"), 20, "0"), F.lit("null"))
     return table(spark, sf_dir, "events").select(
         seq.alias("seq"), F.format_string("seq%04d", seq).alias("seq_name"), F.get(names, kind).alias("dtype"), kind.alias("dtype_id"), (us / 1e6).alias("ts"), us.alias("ts_us"),
-        F.octet_length("props").cast("long").alias("size"), F.format_string("%012d", "event_id").alias("path"), F.encode("props", "UTF-8").alias("payload"),
+        F.octet_length("props").cast("long").alias("size"), path.alias("path"), F.encode("props", "UTF-8").alias("payload"),
     )
 
 

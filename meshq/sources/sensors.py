@@ -103,14 +103,16 @@ def with_header(lines: DataFrame, n: int, name_bytes: int = NAME_BYTES) -> DataF
 def build(records: DataFrame, path: str, n: int = 1, max_bytes: int = 1 << 30, name_bytes: int = NAME_BYTES, verify: bool = False) -> None:
     """records (seq, seq_name, dtype, dtype_id, ts, ts_us, size, path, payload) to path: index.jsonl, a line for each n records of a sequence and
     type, data files with their headers and payloads, groups (what queries prune), and meta.json, which is written last. Ties in time go
-    to the smaller path; groups are numbered by sequence, mean time, type number and chunk. verify reads all headers back."""
+    to the smaller path; groups are numbered by sequence, mean time, type number and chunk. The mean is that of whole microseconds, whose
+    sum is exact, so that groups of equal means tie. verify reads all headers back."""
     if not 1 <= n <= MOST_SLOTS:
         raise ValueError(f"a group has 1 to {MOST_SLOTS} slots")
     spark, size = records.sparkSession, header_size(n, name_bytes)
     c = sensor.chunk(records, n, "path")
     own = F.sort_array(F.collect_list(F.struct("slot", "ts", "ts_us", "size"))).alias("own")
-    more = [F.avg("ts").alias("avg_ts"), F.first("dtype_id").alias("dtype_id"), F.min("seq_name").alias("seq_name"), F.count_if(F.col("size") > 0).alias("n_payloads"), own]
-    g = sensor.item_numbers(sensor.groups(c, *more), "avg_ts", ("dtype_id", "chunk"))
+    mean_us = F.sum(F.col("ts_us").cast("decimal(38,0)")).cast("double") / F.count("*")
+    more = [mean_us.alias("mean_us"), F.first("dtype_id").alias("dtype_id"), F.min("seq_name").alias("seq_name"), F.count_if(F.col("size") > 0).alias("n_payloads"), own]
+    g = sensor.item_numbers(sensor.groups(c, *more), "mean_us", ("dtype_id", "chunk")).withColumn("avg_ts", F.col("mean_us") / 1e6)
     padded = lambda field, last: F.concat(F.transform("own", lambda s: s[field]), F.array_repeat(last, F.lit(n) - F.size("own")))
     sizes = padded("size", F.lit(0).cast("long"))
     g = g.withColumn("sizes", sizes)

@@ -176,6 +176,21 @@ def test_slots_of_several_ranges(built_by_ranges):
         at += r.size
 
 
+@pytest.fixture(scope="module")
+def built_of_ties(spark, tmp_path_factory):
+    """Seven records of one time, in groups of four: the times of the last three, added as seconds, come to less than three times as much."""
+    path, ts_us = str(tmp_path_factory.mktemp("ties") / "ix"), next(us for us in range(1704067211172425, 1704067212172425) if sum([us / 1e6] * 3) / 3 < us / 1e6)
+    rows = [(1, "seq0001", "image", 0, ts_us / 1e6, ts_us, i, f"{i}", b"a" * i) for i in range(1, 8)]
+    sensors.build(spark.createDataFrame(rows, "seq int, seq_name string, dtype string, dtype_id int, ts double, ts_us long, size long, path string, payload binary"), path, n=4, verify=True)
+    return sensors.SensorIndex(spark, path)
+
+
+def test_lines_of_equal_means(built_of_ties):
+    lines = sorted(built_of_ties.lines().collect(), key=lambda r: r.item_no)
+    assert [(r.item_no, r.valid_count, r.index_copy_offset) for r in lines] == [(0, 4, 0), (1, 3, packed.header_size(4) + 10)]
+    assert len({r.avg_timestamp for r in lines}) == 1 and lines[0].avg_timestamp_us == lines[0].timestamp_us[0]
+
+
 def test_group_over_a_data_file(spark, tree, tmp_path):
     records = sensors.read_tree(spark, str(tree[0]), payloads=True)
     with pytest.raises(Exception, match="larger than a data file"):
