@@ -191,6 +191,11 @@ def test_lines_of_equal_means(built_of_ties):
     assert len({r.avg_timestamp for r in lines}) == 1 and lines[0].avg_timestamp_us == lines[0].timestamp_us[0]
 
 
+def test_slots_of_equal_means(built_of_ties):
+    got = sorted((r.item_no, r.slot, r.size) for r in built_of_ties.records().collect())
+    assert got == [(i // 4, i % 4, (i + 1) % 8) for i in range(8)]
+
+
 def test_group_over_a_data_file(spark, tree, tmp_path):
     records = sensors.read_tree(spark, str(tree[0]), payloads=True)
     with pytest.raises(Exception, match="larger than a data file"):
