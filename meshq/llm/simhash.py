@@ -190,6 +190,12 @@ COMMON, COMMON_PART, SAMPLED = 16, 4000, 8
 PAIRS_EACH = 64
 #: Bits of a parity sketch of a text of up to PARITY_FOR shingles; twice as many for each doubling beyond.
 PARITY, PARITY_FOR = 512, 1024
+#: Groups of near copies are linked early over bands: texts whose least shingles agree under each of a band's hashes.
+BANDS, BAND_HASHES = 6, 2
+#: How many texts of each band the others are compared with, one turn after the other.
+DRAWS = (4, 4)
+#: Odd factors, which permute 64-bit hashes.
+FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * BAND_HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Texts up to this number are picked by a broadcast of their hashes (about 100 bytes each), and keys up to this number by one of the keys
 #: (8 bytes each); beyond, by joins on them.
 MOST_BROADCAST, MOST_KEYS = 100_000, 200_000
@@ -209,6 +215,16 @@ def parity_of(known: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
+def bands_of(known: np.ndarray) -> np.ndarray:
+    """A key for each band: its number and the shingles that come first by its hashes. No key for an empty set."""
+    if not len(known):
+        return np.zeros(0, np.int64)
+    # Products are mixed once: their low bits depend on the low bits of a hash alone.
+    mixed = np.stack([(h := known.view(np.uint64) * f) ^ (h >> np.uint64(32)) for f in FACTORS])
+    least = mixed.min(axis=1).reshape(BANDS, BAND_HASHES)
+    return np.array([xxhash.xxh64_intdigest(b.tobytes(), SEED + i) for i, b in enumerate(least)], "<u8").view(np.int64)
+
+
 def prefix_of(known: np.ndarray, similarity: float, common: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
     """The shingles that a set is filed under: the first by how common they are, and then by hash."""
     n = len(known)
@@ -241,23 +257,24 @@ def common_shingles(documents: DataFrame, text: str, shingle: int, similarity: f
 
 
 def sketches(documents: DataFrame, id_col: str, text: str, shingle: int, similarity: float) -> DataFrame:
-    """id, hash of the text, fp (the fingerprint), n distinct shingles, prefix and parity, of the text in lower case."""
+    """id, hash of the text, fp (the fingerprint), n distinct shingles, prefix, parity and bands, of the text in lower case."""
     common = documents.sparkSession.sparkContext.broadcast(common_shingles(documents, text, shingle, similarity))
     t = F.coalesce(F.col(text), F.lit(""))
     d = documents.select(F.col(id_col).alias("id"), F.unhex(F.md5(t)).alias("hash"), F.lower(t).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp, n, prefix, parity = [], [], [], []
+            fp, n, prefix, parity, bands = [], [], [], [], []
             for x in b.column(2).cast(pa.binary()):
                 each, known = shingle_set(x.as_py(), shingle)
                 fp.append(majority(each))
                 n.append(len(known))
                 prefix.append(prefix_of(known, similarity, common.value))
                 parity.append(parity_of(known))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(fp, dtype=np.uint64).view(np.int64)), pa.array(n, pa.int32()), _lists(prefix), _lists(parity)], names=["id", "hash", "fp", "n", "prefix", "parity"])
+                bands.append(bands_of(known))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(fp, dtype=np.uint64).view(np.int64)), pa.array(n, pa.int32()), _lists(prefix), _lists(parity), _lists(bands)], names=["id", "hash", "fp", "n", "prefix", "parity", "bands"])
 
-    return d.mapInArrow(run, f"id {d.schema['id'].dataType.simpleString()}, hash binary, fp long, n int, prefix array<long>, parity array<long>")
+    return d.mapInArrow(run, f"id {d.schema['id'].dataType.simpleString()}, hash binary, fp long, n int, prefix array<long>, parity array<long>, bands array<long>")
 
 
 def sets_of(documents: DataFrame, texts: DataFrame, nodes: DataFrame, id_col: str, text: str, shingle: int) -> DataFrame:
@@ -304,6 +321,15 @@ def code_pairs(texts: DataFrame) -> DataFrame:
     return own.unionByName(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
 
 
+def banded(texts: DataFrame, filed: DataFrame) -> DataFrame:
+    """key, node, n, at, alone: texts under their bands, if others stand there too. alone is the part of a prefix, in sixteenths, under
+    which no other text is filed: of near copies, that from which they were made has the fewest shingles of its own."""
+    keyed = texts.select("node", "n", F.lit(0).alias("at"), F.size("prefix").alias("filed"), F.explode("bands").alias("key"))
+    keyed = keyed.join(keyed.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key"), "key")
+    keyed = keyed.join(filed.groupBy("node").agg(F.count("*").alias("shared")), "node", "left")
+    return keyed.select("key", "node", "n", "at", F.floor(16 - 16 * F.coalesce("shared", F.lit(0)) / F.col("filed")).alias("alone"))
+
+
 def shared_keys(texts: DataFrame) -> DataFrame:
     """key, node, n, at (the key's place in the node's order): texts under the shingles of their prefixes, if others stand there too. Keys are
     counted on the map side first, and a hot key's rows are split by adaptive execution."""
@@ -335,10 +361,13 @@ def _fits(similarity: float, x: str, y: str) -> Column:
     return rest & (F.least(nx, ny) >= similarity * F.greatest(nx, ny) - 1e-6)
 
 
-def pivot_pairs(rooted: DataFrame, turn: int, similarity: float) -> DataFrame:
-    """a and b, distinct: a node of each key, drawn by hash, with those of other classes under the key that may be similar."""
+def pivot_pairs(rooted: DataFrame, turn: int, similarity: float, draws: int = 1) -> DataFrame:
+    """a and b, distinct: so many nodes of each key, drawn by hash (where rooted has alone, from those that have the least of it), with those
+    of other classes under the key that may be similar."""
     own = F.struct(F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("at").alias("ia"))
-    pivots = rooted.groupBy("key").agg(F.min_by(own, F.xxhash64("node", F.lit(turn))).alias("p")).select("key", "p.*")
+    by = [F.xxhash64("node", F.lit(turn))] if draws == 1 else [F.xxhash64("node", "key", F.lit(turn), F.lit(i)) for i in range(draws)]
+    by = [F.struct("alone", x) for x in by] if "alone" in rooted.columns else by
+    pivots = rooted.groupBy("key").agg(F.array_distinct(F.array(*[F.min_by(own, x) for x in by])).alias("p")).select("key", F.explode("p").alias("p")).select("key", "p.*")
     y = rooted.select("key", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("at").alias("ib"))
     j = y.join(pivots, "key").filter((F.col("ra") != F.col("rb")) & _fits(similarity, "a", "b"))
     return j.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -391,7 +420,7 @@ def near_classes(documents: DataFrame, id_col: str = "doc_id", text: str = "text
     shingles count. Other columns aren't read.
     """
     rows = materialize(sketches(documents, id_col, text, shingle, similarity), "near")
-    texts = rows.filter("id is not null").groupBy("hash").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("fp", "n", "prefix", "parity")])
+    texts = rows.filter("id is not null").groupBy("hash").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("fp", "n", "prefix", "parity", "bands")])
     texts = with_nodes(materialize(texts, "near-texts"))
 
     def linked_by(pairs: DataFrame, tried: DataFrame | None, linked: DataFrame | None) -> tuple[DataFrame, DataFrame]:
@@ -408,6 +437,10 @@ def near_classes(documents: DataFrame, id_col: str = "doc_id", text: str = "text
 
     tried, linked = linked_by(code_pairs(texts), None, None)
     filed = materialize(shared_keys(texts), "near-shared")
+    bands = materialize(banded(texts, filed), "near-bands")
+    for turn, draws in enumerate(DRAWS):
+        tried, linked = linked_by(pivot_pairs(across_classes(bands, linked), turn, similarity, draws), tried, linked)
+    drop(bands)
     shared, before, turn = materialize(across_classes(filed, linked), "near-across"), 0, 0
     drop(filed)
     while True:

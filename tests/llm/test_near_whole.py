@@ -115,3 +115,26 @@ def test_recall_of_pairs_on_documents(spark):
     docs = [(d.doc_id, d.text) for d in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
     want, links = brute_classes([(i, t or "") for i, t in docs])
     assert links and classes_of(spark, docs) == want
+
+
+def test_large_groups_are_linked_before_pairs(spark, monkeypatch):
+    """Copies of one text that share an end with more texts of other words: the group is one class before all pairs are compared, though a
+    node drawn from a common key seldom belongs to it."""
+    r = random.Random(26)
+    word = lambda: f"t{r.randint(0, 10**6)}"
+    end, base = [word() for _ in range(40)], [word() for _ in range(110)]
+    rows = [(0, " ".join(base + end))]
+    for i in range(1, 151):
+        at = r.randrange(90)
+        rows.append((i, " ".join(base[:at] + [word() for _ in range(9)] + base[at + 9 :] + end)))
+    rows += [(1000 + i, " ".join([word() for _ in range(110)] + end)) for i in range(400)]
+    compared, exact = [], simhash.exact_pairs
+
+    def counted(*args):
+        compared.append(exact(*args).count())
+        return exact(*args)
+
+    monkeypatch.setattr(simhash, "exact_pairs", counted)
+    want, links = brute_classes(rows)
+    assert links > 1000 and classes_of(spark, rows) == want
+    assert sum(compared) < 150
