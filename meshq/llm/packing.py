@@ -40,7 +40,7 @@ END = 1
 #: Letters above may be newer than the library's tables; words with one go through all of its steps.
 LATER = "\u0530"
 #: Bytes that a Python worker keeps pieces in: two generations of half as many. An entry costs ENTRY besides its piece and ids.
-HELD, ENTRY = 64 << 20, 200
+HELD, ENTRY = 192 << 20, 200
 #: Rows that a worker gets at once.
 BATCH = 500
 

@@ -123,3 +123,17 @@ def test_pack(spark, library):
     best = best_fit([w[3] for w in want], 256)
     assert len(seqs) <= best + max(1, best // 50)
     assert packing.pack(df.filter("doc_id < 0"), 256).count() == 0
+
+
+def test_words_are_kept_for_when_they_come_again():
+    known, made = packing.Recent(packing.HELD), []
+    words = [f"w{i:09d}".encode() for i in range(340_000)]
+
+    def make(lost):
+        made.append(len(lost))
+        return dict.fromkeys(lost, bytes(16))
+
+    for _ in range(2):
+        for i in range(0, len(words), 10_000):
+            known.of(words[i : i + 10_000], make)
+    assert sum(made) == len(words)
