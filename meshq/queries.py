@@ -668,7 +668,7 @@ def batch_log(spark, sf_dir):
 
 # Events as sensor records: the sequence is the user's, the type the kind of event, the payload its properties.
 _KINDS = ["click", "error", "purchase", "signup", "view"]
-_BUILT: dict[tuple[str, str], sensors.SensorIndex] = {}
+_BUILT: dict[tuple, sensors.SensorIndex] = {}
 
 
 def _sensor_records(spark, sf_dir) -> DataFrame:
@@ -684,8 +684,9 @@ def _sensor_records(spark, sf_dir) -> DataFrame:
 
 
 def _sensors(spark, sf_dir) -> sensors.SensorIndex:
-    """The events' index, of groups of four, built once for a session and folder."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The events' index, of groups of four, built once for a session, a folder and the files that it holds: other files, another index."""
+    files = table(spark, sf_dir, "events").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    key = (spark.sparkContext.applicationId, sf_dir, *files.agg(F.count("*"), F.sum(F.xxhash64(*files.columns).cast("decimal(38,0)"))).first())
     if key not in _BUILT:
         path = scratch(spark, "sensors")
         sensors.build(_sensor_records(spark, sf_dir), path, 4)

@@ -30,3 +30,13 @@ def test_equals_sql(spark, duck, name):
 
 def test_every_query_has_sql():
     assert set(queries.SQL) == set(queries.QUERIES)
+
+
+def test_slots_of_events_that_changed(spark, tmp_path):
+    """The same folder with other events: the index of those before isn't used again."""
+    for copies in (1, 3):
+        rows = f"select event_id + i * 1000000 as event_id, ts, user_id, event_type, value, props from '{DIR}/events.parquet', range({copies}) r(i)"
+        duckdb.sql(f"copy ({rows}) to '{tmp_path}/events.parquet'")
+        got = queries.QUERIES["sensor_slots"](spark, str(tmp_path))
+        want = duckdb.sql(f"with events as (from '{tmp_path}/events.parquet') select {', '.join(got.columns)} from ({queries.SQL['sensor_slots']})").fetchall()
+        assert sorted(map(tuple, got.collect())) == sorted(want)
