@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import math
 import tempfile
 import uuid
@@ -68,6 +69,13 @@ def drop(*tables: DataFrame | None) -> None:
             del df._written_to
 
 
+def release(spark: SparkSession) -> None:
+    """Lets go of what earlier queries hold. Their plans, broadcasts and shuffle files stay until the driver collects its garbage, which it
+    puts off while its heap may grow."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names that no column of df has, in any case."""
     taken = {c.lower() for c in df.columns}

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meshq.llm.common import all_columns, drop, fresh, materialize
+from meshq.llm.common import all_columns, drop, fresh, materialize, release
 from meshq.llm.components import components
 
 SEED = 42
@@ -199,6 +199,8 @@ FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * BAND_HASHES,
 #: Texts up to this number are picked by a broadcast of their hashes (about 100 bytes each), and keys up to this number by one of the keys
 #: (8 bytes each); beyond, by joins on them.
 MOST_BROADCAST, MOST_KEYS = 100_000, 200_000
+#: Up to so many links the driver links the classes (some 200 bytes each); beyond, stars do.
+MOST_LINKS = 100_000
 
 
 def shingle_set(text: bytes, n: int) -> tuple[list[int], np.ndarray]:
@@ -431,8 +433,9 @@ def near_classes(documents: DataFrame, id_col: str = "doc_id", text: str = "text
         similar = similar_pairs(found, sets, similarity)
         if linked is not None:
             similar = similar.unionAll(linked.filter("node <> root").select("root", "node"))
-        linked = components(similar, "near-links")
+        linked = components(similar, "near-links", MOST_LINKS)
         drop(sets)
+        release(documents.sparkSession)
         return found if tried is None else tried.unionAll(found), linked
 
     tried, linked = linked_by(code_pairs(texts), None, None)

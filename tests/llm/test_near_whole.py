@@ -1,6 +1,6 @@
 import random
 
-from meshq.llm import simhash
+from meshq.llm import components, simhash
 
 
 def classes_of(spark, rows):
@@ -138,3 +138,29 @@ def test_large_groups_are_linked_before_pairs(spark, monkeypatch):
     want, links = brute_classes(rows)
     assert links > 1000 and classes_of(spark, rows) == want
     assert sum(compared) < 150
+
+
+def test_few_links_take_no_rounds(spark, monkeypatch):
+    """A chain of copies: linked by the driver, and with equal classes by stars."""
+    r = random.Random(31)
+    w = [f"t{i}" for i in range(300)]
+    rows = []
+    for i in range(12):
+        w = w if not i else w[8:] + [f"new{r.randint(0, 10**9)}" for _ in range(8)]
+        rows.append((i, " ".join(w)))
+    rows += [(100 + i, " ".join(f"x{r.randint(0, 10**9)}" for _ in range(50))) for i in range(5)]
+    rounds, star = [], components._star
+    monkeypatch.setattr(components, "_star", lambda edges, large: rounds.append(large) or star(edges, large))
+    got = classes_of(spark, rows)
+    assert not rounds and got == {i: 0 if i < 12 else i for i, _ in rows}
+    monkeypatch.setattr(simhash, "MOST_LINKS", 0)
+    assert classes_of(spark, rows) == got and rounds
+
+
+def test_linked_by_the_driver(spark):
+    r = random.Random(32)
+    edges = [(r.randint(-400, 400), r.randint(-400, 400)) for _ in range(300)] + [(2**62, -(2**62)), (5, 5)]
+    d = spark.createDataFrame([*edges, (None, 7)], "a long, b long")
+    stars, here = ({(x.node, x.root) for x in components.components(d, most_here=most).collect()} for most in (0, 1000))
+    assert here == stars and len(here) > 300
+    assert components.components(d.filter("a = b"), most_here=1000).count() == 0
