@@ -14,28 +14,51 @@ of which a stage leaves nothing, gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from meshq.llm import mixing, packing, secrets, simhash, toxicity
-from meshq.llm.common import materialize
+from meshq.llm.common import materialize, release
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def released(stage: Stage) -> Stage:
+    """The stage, before which the driver lets go of what earlier ones hold, and after its steps, before its result is made, of theirs."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark)
+        out = stage(spark, docs, sf_dir)
+        release(spark)
+        return out
+
+    return run
 
 
+@released
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+@released
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.without_copies(docs)
 
 
+@released
 def blank_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return secrets.redact(docs)
 
 
+@released
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(docs)
 
 
+@released
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, 4096)
 

@@ -8,6 +8,7 @@ import math
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,9 +72,34 @@ def drop(*tables: DataFrame | None) -> None:
 
 def release(spark: SparkSession) -> None:
     """Lets go of what earlier queries hold. Their plans, broadcasts and shuffle files stay until the driver collects its garbage, which it
-    puts off while its heap may grow."""
+    puts off while its heap may grow; native memory that was freed stays with its C library."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    trim(spark)
+
+
+def trim(spark: SparkSession) -> bool:
+    """Has the driver's JVM give the native memory that it has freed back to the system, and says whether it could. Compilers and the
+    threads of many exchanges leave some hundreds of MB, which the C library keeps. Of JVMs only newer ones on Linux can."""
+    jvm, new_array = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
+
+    def array(kind, values: list):
+        out = new_array(kind, len(values))
+        for i, x in enumerate(values):
+            out[i] = x
+        return out
+
+    named = jvm.java.lang.Class.forName
+    try:
+        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        # By the interface's method, for the class of the server isn't exported.
+        takes = array(jvm.java.lang.Class, [named(x) for x in ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")])
+        command = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        given = array(jvm.java.lang.Object, [command, "systemTrimNativeHeap", array(jvm.java.lang.Object, []), array(jvm.java.lang.String, [])])
+        named("javax.management.MBeanServer").getMethod("invoke", takes).invoke(server, given)
+    except Py4JError:
+        return False
+    return True
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
